@@ -23,12 +23,15 @@ _DOMAIN = ADDRESS_PATTERN.split("@")[1]
 # Finds what ADDRESS_PATTERN finds, in linear time. A run of local-part characters can only lead
 # to an address from its first word boundary (what follows the run is the same for all of them),
 # so each run is entered once: at its start, or where the last match stopped (\G).
-_FIND = rf"(?U)(?:(?<!{_LOCAL})|\G)(?>{_LOCAL}*?\b)({_LOCAL}++@{_DOMAIN})"
+_FIND = rf"(?U)(?={_LOCAL})(?:(?<!{_LOCAL})|\G)(?>{_LOCAL}*?\b)({_LOCAL}++@{_DOMAIN})"
 
 _AT = rf"(?:\[{SPACE}*+at{SPACE}*+\]|\({SPACE}*+at{SPACE}*+\))"
 _DOT = rf"(?:\[{SPACE}*+dot{SPACE}*+\]|\({SPACE}*+dot{SPACE}*+\))"
-# One run of blanks is tried once: from its start.
-_BLANKS_BEFORE = rf"(?:(?<!{SPACE}){SPACE}+)?"
+
+
+def _with_blanks(core: str) -> str:
+    """The core with all blanks around it. A run of blanks is tried once: from its start."""
+    return rf"(?:{SPACE}(?<!{SPACE}{SPACE}){SPACE}*+{core}|{core}){SPACE}*+"
 
 
 def find_addresses(text: Column) -> Column:
@@ -43,25 +46,35 @@ def may_hold_address(text: Column) -> Column:
     return text.contains("@") | text.rlike(rf"(?Ui){_AT}")
 
 
+# Characters that an address or one of its spellings can have, blanks included. Nothing below
+# reaches across any other character, so a stretch of these without an "@" or a bracket holds no
+# address and can go; the characters around the other stretches stay.
+_STRETCH = r"A-Za-z0-9._%+\-\s\x1c-\x1f\])\u017f\u212a\u0130\u0131"
+_NO_ADDRESS = rf"(?U)(?<![{_STRETCH}@\[(])[{_STRETCH}]++(?![@\[(])"
+
+
 def spell_out(text: Column) -> Column:
     """Text with ``[at]``/``(dot)`` spellings resolved and blanks around ``@`` and ``.`` removed."""
-    text = F.regexp_replace(
+    resolved = F.regexp_replace(
         text,
-        rf"(?Ui)(?<!{_LOCAL})({_LOCAL}++){SPACE}*+{_AT}{SPACE}*"
-        r"([A-Za-z0-9._%+\-\s\x1c-\x1f\[\]()]+)",
-        "$1@$2",
+        rf"(?Ui)(?<={_LOCAL}){SPACE}*+{_AT}{SPACE}*([A-Za-z0-9._%+\-\s\x1c-\x1f\[\]()]+)",
+        "@$1",
     )
-    text = F.regexp_replace(text, rf"(?Ui){_BLANKS_BEFORE}{_DOT}{SPACE}*+", ".")
-    text = F.regexp_replace(text, rf"(?U){_BLANKS_BEFORE}@{SPACE}*+", "@")
-    return F.regexp_replace(text, rf"(?U){_BLANKS_BEFORE}\.{SPACE}*+", ".")
+    resolved = F.regexp_replace(resolved, rf"(?Ui){_with_blanks(_DOT)}", ".")
+    # most texts have no brackets
+    bracketed = text.contains("[") | text.contains("(")
+    text = F.when(bracketed, resolved).otherwise(text)
+    text = F.regexp_replace(text, rf"(?U){_with_blanks('@')}", "@")
+    return F.regexp_replace(text, rf"(?U){_with_blanks('[.]')}", ".")
 
 
 def find_obfuscated(text: Column) -> Column:
     """Addresses of the spelled-out text, cleaned."""
-    return F.when(
-        may_hold_address(text),
-        F.transform(find_addresses(spell_out(text)), clean),
-    ).otherwise(F.array().cast("array<string>"))
+    relevant = F.regexp_replace(text, _NO_ADDRESS, "")
+    found = F.regexp_extract_all(spell_out(relevant), F.lit(_FIND), F.lit(1))
+    return F.when(may_hold_address(text), F.transform(found, clean)).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def find_in_text(text: Column) -> Column:

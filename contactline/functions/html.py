@@ -51,7 +51,8 @@ _PRIORITY = frozenset(PRIORITY_TAGS)
 _ZONES = frozenset(LINK_ZONE_TAGS)
 _CLASSES = frozenset(PRIORITY_CLASSES)
 _IDS = frozenset(PRIORITY_IDS)
-_TRIM = " \t\n\r\f\v"
+# Elements that matter by their name; others only by their attributes.
+_MARKED = _TEXT_APART | _HIDDEN | _PRIORITY | _ZONES | {"a"}
 
 
 def _is_hidden(tag: str, attrs: dict) -> bool:
@@ -78,6 +79,9 @@ class _OpenElements(HTMLParser):
         self.open_count: dict[str, int] = {}
         self.pending: list[str] = []
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
     # hooks
     def opened(self, tag: str, attrs: dict) -> object: ...
     def closed(self, tag: str, note: object) -> None: ...
@@ -147,6 +151,8 @@ class _Page(_OpenElements):
         self.hidden = self.apart = self.zones = 0
 
     def opened(self, tag, attrs):
+        if not attrs and tag not in _MARKED:
+            return None
         href = attrs.get("href") if tag == "a" else None
         hidden, apart, zone = _is_hidden(tag, attrs), tag in _TEXT_APART, tag in _ZONES
         span = None
@@ -163,6 +169,8 @@ class _Page(_OpenElements):
         return hidden, apart, zone, span
 
     def closed(self, tag, note):
+        if note is None:
+            return
         hidden, apart, zone, span = note
         self.hidden -= hidden
         self.apart -= apart
@@ -225,7 +233,13 @@ def _if_address(text: str) -> str:
     return text if _MAYBE_ADDRESS.search(text) else ""
 
 
-@F.pandas_udf(TEXTS_TYPE)
+def _parser(kind):
+    """A page function that is evaluated once per page. Left as deterministic, the optimizer would
+    also evaluate it in the filters it infers from exploding the result."""
+    return lambda fn: F.pandas_udf(fn, kind).asNondeterministic()
+
+
+@_parser(TEXTS_TYPE)
 def parse_texts(html: pd.Series) -> pd.DataFrame:
     """mailto links, text of the priority elements and all visible text of each page."""
     pages = (read_page(h) for h in html)
@@ -235,13 +249,13 @@ def parse_texts(html: pd.Series) -> pd.DataFrame:
     )
 
 
-@F.pandas_udf(LINKS_TYPE)
+@_parser(LINKS_TYPE)
 def parse_links(html: pd.Series, base: pd.Series) -> pd.Series:
     """Anchors of each page, resolved against the URL it was asked for."""
     return pd.Series([read_page(h, b).links for h, b in zip(html, base)], dtype=object)
 
 
-@F.pandas_udf(PAGE_TYPE)
+@_parser(PAGE_TYPE)
 def parse_page(html: pd.Series, base: pd.Series) -> pd.DataFrame:
     """Everything at once. Texts that cannot hold an address come back empty: most pages have
     none, and their text need not travel back to the JVM."""

@@ -114,7 +114,8 @@ def candidates(homes: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
         F.concat("links", common_pages(F.col("base_url"), rules))
     )
     rows = (
-        homes.select("site_key", "base_url", "final_url", F.explode(everything).alias("c"))
+        homes.select("site_key", "base_url", "final_url", F.explode_outer(everything).alias("c"))
+        .where("c IS NOT NULL")
         .withColumn("page_key", urls.canonical(F.col("c.url")))
         .where(
             (F.col("page_key") != urls.canonical(F.col("base_url")))

@@ -113,7 +113,9 @@ def judge(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
 def page_addresses(parsed: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """One row per raw address of a page, judged."""
     rest = [c for c in parsed.columns if c not in ("found", "links")]
-    return judge(parsed.select(*rest, F.inline("found")), rules)
+    # inline would have the optimizer test the list for being empty, and so compute it twice
+    rows = parsed.select(*rest, F.inline_outer("found")).where("raw IS NOT NULL")
+    return judge(rows, rules)
 
 
 def page_report(judged: DataFrame, keys: list[str]) -> DataFrame:

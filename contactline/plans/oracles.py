@@ -163,20 +163,23 @@ _RESULTS = f"""results AS (
 
 def _located(services: str = "services") -> str:
     """Website and site key of each service, from ``services`` and ``results``."""
-    return f"""allowed AS (
-  SELECT service_num, rank, link FROM results
-  WHERE link <> '' AND NOT ({_under(_block_host('link'), _BLOCKED)})),
-found AS (
-  SELECT service_num, {_homepage('link')} AS website FROM (
-    SELECT *, row_number() OVER (PARTITION BY service_num ORDER BY rank) AS rn FROM allowed)
-  WHERE rn = 1),
+    # each URL part is a column of its own, so that it is worked out once per row
+    return f"""result_hosts AS (
+  SELECT service_num, rank, link, {_block_host('link')} AS host FROM results WHERE link <> ''),
+listed_hosts AS (
+  SELECT host FROM (SELECT DISTINCT host FROM result_hosts) WHERE {_under('host', _BLOCKED)}),
+best AS (
+  SELECT service_num, link,
+         row_number() OVER (PARTITION BY service_num ORDER BY rank) AS rn
+  FROM result_hosts WHERE host NOT IN (SELECT host FROM listed_hosts)),
+found AS (SELECT service_num, {_homepage('link')} AS website FROM best WHERE rn = 1),
 websites AS (
   SELECT s.service_num, s.service_name, coalesce({_absent('s.service_website')}, f.website) AS website
   FROM {services} s LEFT JOIN found f ON s.service_num = f.service_num),
+website_hosts AS (SELECT *, {_host_of('website')} AS host FROM websites),
 located AS (
-  SELECT service_num, service_name, website,
-         nullif({_root(_host_of('website'))}, '') AS site_key
-  FROM websites),
+  SELECT service_num, service_name, website, nullif({_root('host')}, '') AS site_key
+  FROM website_hosts),
 sites AS (
   SELECT site_key, CASE WHEN regexp_matches(trim(website), '^https?://') THEN trim(website)
                         ELSE 'https://' || trim(website) END AS base_url
@@ -319,7 +322,7 @@ def _shown(html: str) -> str:
     """Text of regular markup: without scripts, styles, comments, tags; known entities decoded."""
     t = (rf"regexp_replace({html}, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>',"
          r" ' ', 'gs')")
-    for entity, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")):
+    for entity, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&"), ("&amp", "&")):
         t = f"replace({t}, '{entity}', '{char}')"
     return t
 
