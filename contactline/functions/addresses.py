@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contactline.functions.text import SPACE, any_of, strip
+from contactline.functions.text import SPACE, any_of, once, strip
 from contactline.rules import (
     ADDRESS_PATTERN,
     ADDRESS_STRIP,
@@ -121,7 +121,14 @@ def _quoting(text: str, words, fits) -> Column:
 def ignore_reason(email: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """Why a cleaned address is not used; null for a valid one. The first rule that applies
     answers. Where several names of a list fit, the longest is quoted."""
-    user, domain = local_part(email), domain_part(email)
+    return once(
+        F.struct(email.alias("email"), local_part(email).alias("user"),
+                 domain_part(email).alias("domain")),
+        lambda e: _reason(e.email, e.user, e.domain, rules),
+    )
+
+
+def _reason(email: Column, user: Column, domain: Column, rules: Rules) -> Column:
     return (
         F.when(F.coalesce(~email.contains("@"), F.lit(True)), "Invalid email format")
         .when(~email.rlike(rf"(?U)\A{ADDRESS_PATTERN}\z"), "Failed standard regex validation")
@@ -155,8 +162,10 @@ def ignore_reason(email: Column, rules: Rules = DEFAULT_RULES) -> Column:
 
 def category(address: Column) -> Column:
     """Category of an address by its local part."""
-    user = local_part(F.lower(address))
-    first = F
-    for name, words in CATEGORY_WORDS.items():
-        first = first.when(user.rlike(any_of(words)), name)
-    return first.when(user.startswith(INFO_PREFIX), CATEGORIES[4]).otherwise(CATEGORIES[5])
+    def by_words(user: Column) -> Column:
+        steps = F
+        for name, words in CATEGORY_WORDS.items():
+            steps = steps.when(user.rlike(any_of(words)), name)
+        return steps.when(user.startswith(INFO_PREFIX), CATEGORIES[4]).otherwise(CATEGORIES[5])
+
+    return once(local_part(F.lower(address)), by_words)

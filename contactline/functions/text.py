@@ -27,6 +27,12 @@ def absent_to_null(c: Column) -> Column:
     return F.when(~F.lower(s).isin("", "nan"), s)
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used. Otherwise the
+    optimizer writes out the expression behind it at every place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def any_of(words) -> str:
     """A Java alternation of quoted words."""
     return "|".join(re.escape(w) for w in words)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contactline.functions.text import any_of, ends_with_domain, strip
+from contactline.functions.text import any_of, ends_with_domain, once, strip
 from contactline.rules import DEFAULT_RULES, SECOND_LEVEL_LABELS, Rules
 
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
@@ -38,8 +38,11 @@ def path(url: Column) -> Column:
 
 
 def host_or_first_segment(url: Column) -> Column:
-    host = netloc(url)
-    return F.when(host != "", host).otherwise(F.split_part(path(url), F.lit("/"), F.lit(1)))
+    def pick(u: Column) -> Column:
+        host = netloc(u)
+        return F.when(host != "", host).otherwise(F.split_part(path(u), F.lit("/"), F.lit(1)))
+
+    return once(url, pick)
 
 
 def bare_host(host: Column) -> Column:
@@ -75,19 +78,25 @@ def canonical(url: Column) -> Column:
 
 def homepage(url: Column) -> Column:
     """scheme://host/ of a URL, https when it names no scheme or no host."""
-    whole = F.when((scheme(url) != "") & (netloc(url) != ""), url).otherwise(
-        F.concat(F.lit("https://"), url)
-    )
-    return F.when(url == "", url).otherwise(
-        F.concat(scheme(whole), F.lit("://"), netloc(whole), F.lit("/"))
-    )
+    def complete(u: Column) -> Column:
+        return F.when((scheme(u) != "") & (netloc(u) != ""), u).otherwise(
+            F.concat(F.lit("https://"), u)
+        )
+
+    def front(u: Column) -> Column:
+        return F.concat(scheme(u), F.lit("://"), netloc(u), F.lit("/"))
+
+    return once(url, lambda u: F.when(u == "", u).otherwise(once(complete(u), front)))
 
 
 def host_for_blocklist(url: Column) -> Column:
     """Host of a URL, also when it is written without a scheme; port removed."""
-    host = netloc(url)
-    host = F.when(host != "", host).otherwise(netloc(F.concat(F.lit("http://"), url)))
-    return F.split_part(F.lower(host), F.lit(":"), F.lit(1))
+    def pick(u: Column) -> Column:
+        host = netloc(u)
+        host = F.when(host != "", host).otherwise(netloc(F.concat(F.lit("http://"), u)))
+        return F.split_part(F.lower(host), F.lit(":"), F.lit(1))
+
+    return once(url, pick)
 
 
 def has_broken_brackets(url: Column) -> Column:
@@ -98,11 +107,13 @@ def has_broken_brackets(url: Column) -> Column:
 
 def is_blocked(url: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """True for an absent or unparsable URL and for hosts of the blocklist."""
-    host = host_for_blocklist(url)
-    listed = ends_with_domain(
-        host, [s.lstrip(".") for s in rules.blocked_suffixes] + list(rules.blocked_domains)
-    )
-    return F.coalesce((url == "") | has_broken_brackets(url) | listed, F.lit(True))
+    listed = [s.lstrip(".") for s in rules.blocked_suffixes] + list(rules.blocked_domains)
+
+    def judge(u: Column) -> Column:
+        known = ends_with_domain(host_for_blocklist(u), listed) if listed else F.lit(False)
+        return F.coalesce((u == "") | has_broken_brackets(u) | known, F.lit(True))
+
+    return once(url, judge)
 
 
 def host_suffixes(host: Column) -> Column:
