@@ -36,6 +36,10 @@ def _with_blanks(core: str) -> str:
 
 def find_addresses(text: Column) -> Column:
     """All addresses in a text, as written, in order."""
+    return once(text, _plain)
+
+
+def _plain(text: Column) -> Column:
     return F.when(
         text.contains("@"), F.regexp_extract_all(text, F.lit(_FIND), F.lit(1))
     ).otherwise(F.array().cast("array<string>"))
@@ -70,8 +74,12 @@ def spell_out(text: Column) -> Column:
 
 def find_obfuscated(text: Column) -> Column:
     """Addresses of the spelled-out text, cleaned."""
+    return once(text, _spelled_out)
+
+
+def _spelled_out(text: Column) -> Column:
     relevant = F.regexp_replace(text, _NO_ADDRESS, "")
-    found = F.regexp_extract_all(spell_out(relevant), F.lit(_FIND), F.lit(1))
+    found = F.regexp_extract_all(once(relevant, spell_out), F.lit(_FIND), F.lit(1))
     return F.when(may_hold_address(text), F.transform(found, clean)).otherwise(
         F.array().cast("array<string>")
     )
@@ -79,7 +87,7 @@ def find_obfuscated(text: Column) -> Column:
 
 def find_in_text(text: Column) -> Column:
     """Addresses of a visible text: spelled-out ones, then plain ones."""
-    return F.concat(find_obfuscated(text), find_addresses(text))
+    return once(text, lambda t: F.concat(_spelled_out(t), _plain(t)))
 
 
 def mailto_address(href: Column) -> Column:

@@ -44,21 +44,28 @@ def sites_of(services: DataFrame) -> DataFrame:
 
 def replay(sites: DataFrame, fetches: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """One record per site from a table of parsed fetches (see ``parse_pages``)."""
-    return ct.site_records(*_visit_sites(sites, fetches, rules))
+    homes, within_budget = visited_pages(sites, fetches, rules)
+    visited, addresses, domains = until_complete(within_budget, fetches, rules)
+    # A site has at most max_pages pages here, so its addresses need no spreading.
+    flagged = ct.flag_own_domain(addresses, domains, spread=1)
+    return ct.site_records(cr.site_reasons(visited, homes), ct.contacts_by_site(flagged))
 
 
 def visited_pages(
     sites: DataFrame, fetches: DataFrame, rules: Rules = DEFAULT_RULES
 ) -> tuple[DataFrame, DataFrame]:
-    """(outcome of every site's homepage, all pages that fit the budget)."""
+    """(outcome of every site's homepage, all pages that fit the budget).
+
+    Both are small next to the pages and read by several later steps, so they are written.
+    """
     index = cr.fetch_index(fetches)
-    homes = cr.home_outcome(index, sites)
+    homes = materialise(cr.home_outcome(index, sites), "homes")
     loaded = homes.where("has_html")
     links = loaded.select("site_key", "base_url", "final_url", "fetch_id").join(
         fetches.select("fetch_id", "links"), "fetch_id"
     )
     planned = cr.candidates(links, rules)
-    return homes, cr.visit(loaded, planned, index, rules)
+    return homes, materialise(cr.visit(loaded, planned, index, rules), "visits")
 
 
 def until_complete(
@@ -90,14 +97,6 @@ def until_complete(
     return cut(visited, "page_seq"), cut(addresses, "page_seq"), cut(domains, "first_seq")
 
 
-def _visit_sites(sites: DataFrame, fetches: DataFrame, rules: Rules):
-    homes, within_budget = visited_pages(sites, fetches, rules)
-    visited, addresses, domains = until_complete(within_budget, fetches, rules)
-    # A site has at most max_pages pages here, so its addresses need no spreading.
-    flagged = ct.flag_own_domain(addresses, domains, spread=1)
-    return cr.site_reasons(visited, homes), ct.contacts_by_site(flagged)
-
-
 def assemble(services: DataFrame, records: DataFrame) -> DataFrame:
     """Services with their site's record; the website shown is the service's own.
 

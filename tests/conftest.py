@@ -12,7 +12,9 @@ from contactline.runtime import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = str(tmp_path_factory.mktemp("shared"))
-    session = local_session(4, 4, **{"spark.checkpoint.dir": shared})
+    # Tiny inputs: compiling generated code would take longer than running the plans.
+    session = local_session(
+        4, 4, **{"spark.checkpoint.dir": shared, "spark.sql.codegen.wholeStage": "false"})
     yield session
     session.stop()
 

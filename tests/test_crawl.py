@@ -7,6 +7,7 @@ from contactline.operators import contacts as ct
 from contactline.operators import pages as pg
 from contactline.plans.enrich import enrich, replay, until_complete, visited_pages
 from contactline.rules import CATEGORIES, Rules
+from contactline.runtime import materialise
 from contactline.sources import results as rs
 from contactline.sources.pages import PAGE_FETCH, read_page_fetches
 
@@ -20,7 +21,7 @@ def load(i, path="/", html="<p>hi</p>", status=200, final=None, attempt=1, error
 
 
 def parsed(spark, loads, rules=Rules()):
-    return pg.parse_pages(spark.createDataFrame(loads, PAGE_FETCH), rules)
+    return materialise(pg.parse_pages(spark.createDataFrame(loads, PAGE_FETCH), rules), "parsed")
 
 
 def sites(spark, *keys):
