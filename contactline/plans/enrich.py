@@ -9,6 +9,7 @@ from contactline.functions import urls
 from contactline.operators import contacts as ct
 from contactline.operators import crawl as cr
 from contactline.operators.pages import page_addresses, parse_pages
+from contactline.operators.skew import hot_key_left_join
 from contactline.operators.websites import choose_websites
 from contactline.rules import (
     CATEGORIES,
@@ -100,11 +101,10 @@ def until_complete(
 def assemble(services: DataFrame, records: DataFrame) -> DataFrame:
     """Services with their site's record; the website shown is the service's own.
 
-    Many services may share a site. Records have one row per site, and adaptive execution splits
-    the services of such a site.
+    Many services may share a site, or have none: see ``hot_key_left_join``.
     """
     found = F.col("website").isNotNull()
-    joined = services.join(records, "site_key", "left")
+    joined = hot_key_left_join(services, records, "site_key", "service_num")
     return enriched_table(joined.select(
         "service_num",
         F.col("service_name").alias(SERVICE_NAME),

@@ -412,7 +412,8 @@ def domain_reuse(spark, sf_dir):
 
 def _enriched(spark, sf_dir) -> DataFrame:
     services = _services(spark, sf_dir)
-    located = with_site_key(ws.choose_websites(services, _results(spark, sf_dir, services)))
+    chosen = ws.choose_websites(services, _results(spark, sf_dir, services))
+    located = materialise(with_site_key(chosen), "located")
     homes, visited = _loads(spark, sf_dir)
     contacts = ct.contacts_by_site(_flagged(spark, sf_dir))
     return assemble(located, ct.site_records(cr.site_reasons(visited, homes), contacts))
