@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -27,33 +30,31 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf) ->
 
 
 @cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="contactline-")
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="contactline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder for intermediate tables: the one the cluster names, a temporary one in local mode."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: ``spark.checkpoint.dir``. Where it is unset, a session whose
+    tasks run in this process has one of its own, removed at the end; a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    return _local_folder() if context.master.startswith("local") else None
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return _own_folder()
+    raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    root = shared_folder(spark)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return f"{root}/contactline/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/contactline/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, required: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several branches read, and read it back: columnar, and safe when
-    executors are lost. Without a shared folder the plan is returned as it is, unless the result
-    depends on the table being written (``required``)."""
+    executors are lost."""
     spark = df.sparkSession
-    if shared_folder(spark) is None and not required:
-        return df
     folder = new_folder(spark, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
