@@ -23,8 +23,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def numbered(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """``row`` (long, unique, in the order of ``key``), ``key`` and ``columns``.
+def numbered(df: DataFrame, key: str, *columns: str) -> tuple[DataFrame, bool]:
+    """``row`` (long, unique, in the order of ``key``), ``key`` and ``columns``; whether ``row`` is
+    the key itself.
 
     Where the keys are unique and not null, ``row`` is the key and nothing is moved. Otherwise all
     rows are sorted by key (nulls last) and numbered, so rows that repeat a key count as later ones.
@@ -32,10 +33,26 @@ def numbered(df: DataFrame, key: str, *columns: str) -> DataFrame:
     df = df.select(F.col(key).cast("long").alias(key), *columns)
     odd = df.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1))
     if odd.isEmpty():
-        return df.select(F.col(key).alias("row"), key, *columns)
+        return df.select(F.col(key).alias("row"), key, *columns), True
     order = df.orderBy(F.col(key).asc_nulls_last(), *columns)
     return materialise(
-        order.select(F.monotonically_increasing_id().alias("row"), key, *columns), "numbered")
+        order.select(F.monotonically_increasing_id().alias("row"), key, *columns), "numbered"), False
+
+
+def named(rows: DataFrame, plain: bool, key: str, found: DataFrame, *columns: str) -> DataFrame:
+    """Results by row number (``row, component`` and ``columns`` of longs) for all rows of
+    ``numbered``: components are named by their key, and rows without a result stand alone."""
+    found = found.withColumnRenamed("row", "_row")
+    named = rows.join(found, rows["row"] == found["_row"], "left").select(
+        "row", key, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in columns],
+        F.coalesce("component", "row").alias("component"))
+    if plain:
+        named = named.withColumn("component_id", F.col("component"))
+    else:
+        keys = rows.select(F.col("row").alias("component"), F.col(key).alias("component_id"))
+        named = named.join(keys, "component")
+    return named.select(
+        key, *columns, "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 # ---- words as 64-bit hashes, many texts at once ------------------------------------------------

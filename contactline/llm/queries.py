@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactline.llm import chat, mixing, urls
+from contactline.llm import chat, embeddings, mixing, quality, tokens, urls, warc
 from contactline.llm.common import table
+from contactline.runtime import new_folder
 
 #: Rules of the URL query.
 URL_RULES = {
@@ -43,10 +44,33 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.attribute(table(spark, sf_dir, "documents"))
+
+
+def op6_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_chat_windows": op2_chat_windows,
     "op3_url_rules": op3_url_rules,
+    "op4_section_tokens": op4_section_tokens,
+    "op6_archives": op6_archives,
+    "op7_quality_rules": op7_quality_rules,
     "op9_mixture": op9_mixture,
+    "op10_vector_links": op10_vector_links,
 }
 
 ORACLES = {"op9_mixture": mixing.SQL}
