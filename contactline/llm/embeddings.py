@@ -106,43 +106,27 @@ def forest(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _join(pairs: DataFrame, cosine: float) -> DataFrame:
-    """Rows of two blocks each to ``row, n_links, linked``: links of a vector inside the pair of
-    blocks (copies counted) and the vector that stands for its tree there."""
-
-    def block(value: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        unit = np.frombuffer(b"".join(v["unit"] for v in value), np.float64)
-        get = lambda k, t: np.array([v[k] for v in value], t)
-        return get("row", np.int64), get("n", np.int64), get("own", bool), unit.reshape(len(value), -1)
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1).to_pylist()[0]
-                row, n, own, x = block(one["a"])
-                same = one["i"] == one["j"]
-                row2, n2, own2, y = (row, n, own, x) if same else block(one["b"])
-                # A link between cells is made in the lower cell, where one end is a copy.
-                hit = (x @ y.T >= cosine) & (own[:, None] | own2[None, :])
-                if same:
-                    np.fill_diagonal(hit, False)
-                    nodes, linked, count = row, hit, hit @ n
-                else:
-                    nodes = np.concatenate([row, row2])
-                    linked = np.zeros((len(nodes),) * 2, bool)
-                    linked[: len(row), len(row) :] = hit
-                    linked |= linked.T
-                    count = np.concatenate([hit @ n2, n @ hit])
-                some = np.flatnonzero(count)
-                if len(some):
-                    order = np.argsort(nodes, kind="stable")
-                    tree = np.empty(len(nodes), np.int64)
-                    tree[order] = nodes[order][forest(linked[np.ix_(order, order)])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(nodes[some]), pa.array(count[some]), pa.array(tree[some])],
-                        names=["row", "n_links", "linked"])
-
-    return pairs.mapInArrow(per_batch, "row long, n_links long, linked long")
+def _join_blocks(table: pa.Table, cosine: float) -> pa.Table:
+    """Two blocks of a cell to ``row, n_links, linked``: links of a vector inside the pair of blocks
+    (copies counted) and the vector that stands for its tree there."""
+    get = lambda c: table.column(c).to_numpy()
+    row, n, own = get("row"), get("n"), get("own")
+    unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(row), -1)
+    first = get("block") == get("i")
+    second = get("block") == get("j")  # the same rows, if a block is joined with itself
+    x, y = np.flatnonzero(first), np.flatnonzero(second)
+    # A link between cells is made in the lower cell, where one end is a copy.
+    hit = (unit[x] @ unit[y].T >= cosine) & (own[x][:, None] | own[y][None, :])
+    linked = np.zeros((len(row),) * 2, bool)
+    linked[np.ix_(x, y)] = hit
+    linked |= linked.T
+    np.fill_diagonal(linked, False)
+    count = linked @ n
+    order = np.argsort(row, kind="stable")
+    tree = np.empty(len(row), np.int64)
+    tree[order] = row[order][forest(linked[np.ix_(order, order)])]
+    some = count > 0
+    return pa.table({"row": row[some], "n_links": count[some], "linked": tree[some]})
 
 
 def link(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
@@ -170,18 +154,19 @@ def link(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
 
     cell = ["label", "dim", "cell"]
     blocks_of = cells.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    entry = F.struct("row", "n", "own", "unit")
-    blocks = materialise(
+    # Every pair of blocks of a cell is a group: a row goes to those that its block is part of.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = (
         cells.join(blocks_of, cell)
         .withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
-        .groupBy(*cell, "block").agg(
-            F.first("blocks").alias("blocks"), F.collect_list(entry).alias("entries")),
-        "blocks")
-    left = blocks.select(*cell, F.col("block").alias("i"), F.col("entries").alias("a"), "blocks").select(
-        *cell, "i", "a", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
-    right = blocks.select(*cell, F.col("block").alias("j"), F.col("entries").alias("b"))
-    pairs = left.join(right, [*cell, "j"]).select("i", "j", "a", "b")
-    found = materialise(_join(pairs, cosine), "found")
+        .withColumn("other", other)
+        .select(*cell, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                "block", "row", "n", "own", "unit")
+    )
+    found = materialise(
+        placed.groupBy(*cell, "i", "j").applyInArrow(
+            lambda table: _join_blocks(table, cosine), "row long, n_links long, linked long"),
+        "found")
 
     in_links = found.groupBy("row").agg(F.sum("n_links").alias("_others"))
     comps = components(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactline.llm import chat, embeddings, mixing, quality, tokens, urls, warc
+from contactline.llm import chat, embeddings, minhash, mixing, quality, tokens, urls, warc
 from contactline.llm.common import table
 from contactline.runtime import new_folder
 
@@ -48,6 +48,10 @@ def op4_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -67,6 +71,7 @@ QUERIES = {
     "op2_chat_windows": op2_chat_windows,
     "op3_url_rules": op3_url_rules,
     "op4_section_tokens": op4_section_tokens,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_archives": op6_archives,
     "op7_quality_rules": op7_quality_rules,
     "op9_mixture": op9_mixture,
