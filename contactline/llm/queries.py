@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactline.llm import chat, embeddings, minhash, mixing, quality, tokens, urls, warc
+from contactline.llm import chat, embeddings, minhash, mixing, quality, suffixes, tokens, urls, warc
 from contactline.llm.common import table
 from contactline.runtime import new_folder
 
@@ -40,6 +40,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, labelled.select("url", "bad"), URL_RULES)
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove(table(spark, sf_dir, "documents"))
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_archives": op6_archives,
     "op7_quality_rules": op7_quality_rules,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_mixture": op9_mixture,
     "op10_vector_links": op10_vector_links,
 }
