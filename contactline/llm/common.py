@@ -28,13 +28,14 @@ def numbered(df: DataFrame, key: str, *columns: str) -> tuple[DataFrame, bool]:
     the key itself.
 
     Where the keys are unique and not null, ``row`` is the key and nothing is moved. Otherwise all
-    rows are sorted by key (nulls last) and numbered, so rows that repeat a key count as later ones.
+    rows are sorted by key (nulls last) and the first of the columns and numbered, so rows that
+    repeat a key count as later ones.
     """
     df = df.select(F.col(key).cast("long").alias(key), *columns)
-    odd = df.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1))
+    odd = df.select(key).groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1))
     if odd.isEmpty():
         return df.select(F.col(key).alias("row"), key, *columns), True
-    order = df.orderBy(F.col(key).asc_nulls_last(), *columns)
+    order = df.orderBy(F.col(key).asc_nulls_last(), columns[0])
     return materialise(
         order.select(F.monotonically_increasing_id().alias("row"), key, *columns), "numbered"), False
 
@@ -55,6 +56,29 @@ def named(rows: DataFrame, plain: bool, key: str, found: DataFrame, *columns: st
         key, *columns, "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def numbered_whole(docs: DataFrame) -> DataFrame:
+    """``row, text`` and ``rest``, a struct of all columns but the text: see ``restored``."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return numbered(docs.select("doc_id", "text", rest.alias("rest")), "doc_id", "text", "rest")[0]
+
+
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in columns])
+
+
+#: Row numbers (8 bytes each) that may be sent to every task.
+BROADCAST_ROWS = 500_000
+
+
+def only(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``row`` is (``left_anti``: is not) in ``ids`` (distinct, written). Few ids are sent
+    to the tasks, so that texts stay where they are; many are joined."""
+    ids = ids.select("row")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, "row", how)
+
+
 # ---- words as 64-bit hashes, many texts at once ------------------------------------------------
 
 _U = np.uint64
@@ -86,13 +110,15 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    texts: list[bytes], apart: np.ndarray = _BLANK
+) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of lower-cased (A-Z) texts, and where each text's words begin (one more
-    entry than texts)."""
+    entry than texts). ``apart`` tells which bytes stand between words, line feeds among them."""
     data = (b"\n".join(texts) + b"\n").lower()
     a = np.frombuffer(data, np.uint8)
     up, down = _powers_to(len(a))
-    blank = _BLANK[a]
+    blank = apart[a]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if not blank[0]:
         edge = np.concatenate([[0], edge])

@@ -20,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactline.llm.common import as_bytes, mix, named, numbered, pieces, word_hashes
+from contactline.llm.common import (
+    BROADCAST_ROWS, as_bytes, mix, named, numbered, numbered_whole, only, pieces, restored,
+    word_hashes,
+)
 from contactline.llm.embeddings import forest
 from contactline.llm.graph import components
 from contactline.runtime import materialise
@@ -34,8 +37,6 @@ BITS = 4
 SLACK = 0.2
 #: Rounds of pivots before the blocks, and texts of a block.
 ROUNDS, BLOCK = 3, 64
-#: Rows whose numbers may be sent to every task.
-BROADCAST_ROWS = 500_000
 
 _U = np.uint64
 _rng = np.random.default_rng(97)
@@ -152,13 +153,6 @@ def _similar(common: Column, a: Column, b: Column, percent: int) -> Column:
     return common * 100 >= (a + b - common) * percent
 
 
-def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose number is in ``wanted`` (distinct, written)."""
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    return rows.join(wanted, "row", "left_semi")
-
-
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``u, v`` that the full sets confirm, after a look at sizes and signatures."""
     sign = lambda c: nodes.select(
@@ -168,7 +162,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
     near = materialise(
         near.where(sizes & (estimate(F.col("u_s"), F.col("v_s")) >= percent / 100 - SLACK))
         .select("u", "v", "u_n", "v_n"), "near")
-    of = lambda c: _only(sets, materialise(near.select(F.col(c).alias("row")).distinct(), "ids")).select(
+    of = lambda c: only(sets, materialise(near.select(F.col(c).alias("row")).distinct(), "ids")).select(
         F.col("row").alias(c), F.col("shingles").alias(f"{c}_x"))
     common = F.size(F.array_intersect("u_x", "v_x"))
     return materialise(
@@ -284,7 +278,7 @@ def _round(
         left.join(several.select("bucket"), "bucket", "left_semi"), "buckets"), links, comps
 
 
-def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per row of ``doc_id, text``.
 
     Words are lower-cased (A-Z) runs without ASCII white space; a text with fewer words than ``size``
@@ -309,7 +303,7 @@ def near_components(rows: DataFrame, size: int, percent: int) -> DataFrame:
     nodes = classes.select("row", "signature", "n_shingles")
     buckets = materialise(_buckets(classes), "buckets")
     wanted = materialise(buckets.select("row").distinct(), "ids")
-    sets = materialise(shingle_sets(_only(rows, wanted), size), "sets")
+    sets = materialise(shingle_sets(only(rows, wanted), size), "sets")
     links = rows.sparkSession.createDataFrame([], "u long, v long")
     comps = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for turn in range(ROUNDS):
@@ -324,3 +318,10 @@ def near_components(rows: DataFrame, size: int, percent: int) -> DataFrame:
             *same, F.coalesce("component", "row").alias("component")), "class_components")
     return sketch.select("row", *same).join(of_class, same, "left").select(
         "row", "n_shingles", "component")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one document of each component: that of the smallest doc_id."""
+    rows = numbered_whole(docs)
+    others = near_components(rows, size, percent).where("row <> component").select("row")
+    return restored(only(rows, materialise(others, "copies"), "left_anti"), docs.columns)

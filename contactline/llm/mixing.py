@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactline.llm.common import n_words
+from contactline.llm.common import n_words, numbered_whole
 
 #: Documents of one source and size that one task ranks, about.
 BLOCK = 4096
@@ -63,19 +63,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
 
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix",
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, copies, taken`` and the columns of ``keep``.
+    """``doc_id, size, source_size, target, copies, taken``.
 
     Every row is returned, those with 0 copies too. Null texts have size 0, null sources are one
     source after all others, rows that repeat a ``doc_id`` are documents of their own, sources
     without words have target 0, and no table gives no rows. ``copies`` depends on the rows alone,
     not on their order or partitions; equal rows are exchangeable.
     """
-    docs = docs.select(
-        "doc_id", F.col("source").alias("source"), n_words(F.col("text")).alias("size"),
-        *[F.col(c).alias(f"_keep_{c}") for c in keep],
-    )
+    docs = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     by_size = docs.groupBy("source", "size").agg(F.count("*").alias("_rows"))
     sizes = by_size.groupBy("source").agg(F.sum(F.col("_rows") * F.col("size")).alias("source_size"))
     goals = targets(sizes, weights, most)
@@ -113,10 +109,23 @@ def mix(
     copies = (crossed(rank) - crossed(rank - 1)).cast("long")
     return ranked.select(
         "doc_id", "size", "source_size", "target", copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep],
+        (copies * F.col("size")).alias("taken"),
     )
 
 
+def mixture(docs: DataFrame, **how) -> DataFrame:
+    """The mixed corpus: ``docs``, all columns, each as many times as it is taken, and ``copy`` (from
+    1). Texts are moved once; the choice is made without them."""
+    rows = numbered_whole(docs)
+    chosen = mix(rows.select(F.col("row").alias("doc_id"), "text", "rest.source"), **how).where(
+        "copies > 0").select(F.col("doc_id").alias("_row"), "copies")
+    copies = rows.join(chosen, F.col("row") == F.col("_row")).select(
+        "text", "rest", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    names = [c for c in docs.columns if c != "copy"]
+    return copies.select(
+        *[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in names], "copy")
+
+
 #: DuckDB SQL for the rows of ``mix`` over ``documents``.
 SQL = f"""
 WITH d AS (

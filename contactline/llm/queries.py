@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactline.llm import chat, embeddings, minhash, mixing, quality, suffixes, tokens, urls, warc
+from contactline.llm import (
+    chat, decontaminate, embeddings, minhash, mixing, quality, suffixes, tokens, urls, warc,
+)
 from contactline.llm.common import table
 from contactline.runtime import new_folder
 
@@ -19,6 +21,11 @@ URL_RULES = {
 }
 
 
+def op1_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = r"\### Assistant: </turn> ok"
@@ -53,7 +60,7 @@ def op4_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
 def op6_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +79,7 @@ def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_leaks": op1_leaks,
     "op2_chat_windows": op2_chat_windows,
     "op3_url_rules": op3_url_rules,
     "op4_section_tokens": op4_section_tokens,

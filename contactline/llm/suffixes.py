@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactline.llm.common import as_bytes, mix, numbered, pieces
+from contactline.llm.common import as_bytes, mix, numbered, numbered_whole, pieces, restored
 from contactline.runtime import materialise
 
 #: Bytes of a repeated string, and of an anchor.
@@ -453,34 +453,36 @@ def remove(docs: DataFrame) -> DataFrame:
         per_batch, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs``, all columns, with repeated passages cut out of the texts. Only whole characters go:
-    one of which a part lies outside a removed run stays. Null texts stay null."""
-    names = docs.columns
-    plain, unique = numbered(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
-    if not unique:
-        raise ValueError("documents need distinct ids, see op5 for making them so")
-    found = repeats(plain).select(F.col("row").alias("_row"), "spans")
-    joined = docs.join(found, F.col(key) == F.col("_row"), "left").drop("_row")
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with repeated passages cut out of the texts and ``n_chars``, where there
+    is such a column, counted anew. Only whole characters go: one of which a part lies outside a
+    removed run stays. Null texts stay null, and texts of which nothing is left stay as empty ones.
+    """
+    rows = numbered_whole(docs)
+    joined = rows.join(repeats(rows), "row", "left").select("text", "spans", "rest")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            spans = batch.column(batch.num_columns - 1).to_pylist()
+            spans = batch.column(1).to_pylist()
             out = []
-            for t, s, null in zip(as_bytes(column), spans, column.is_null().to_pylist(), strict=True):
-                ranges = _covered(s, len(t))
-                whole = np.frombuffer(t, np.uint8)
+            for text, s in zip(batch.column(0).to_pylist(), spans, strict=True):
+                if not s:
+                    out.append(text)
+                    continue
+                data = text.encode()
+                ranges = _covered(s, len(data))
                 for r in ranges:  # both ends move inward to where a character begins
-                    while r[0] < len(t) and whole[r[0]] & 0xC0 == 0x80:
+                    while r[0] < r[1] and data[r[0]] & 0xC0 == 0x80:
                         r[0] += 1
-                    while r[1] < len(t) and r[1] > r[0] and whole[r[1]] & 0xC0 == 0x80:
+                    while r[0] < r[1] < len(data) and data[r[1]] & 0xC0 == 0x80:
                         r[1] -= 1
-                out.append(None if null else _cut(t, ranges).decode("utf-8", "replace"))
-            columns = [
-                pa.array(out, pa.string()) if c == text else batch.column(i)
-                for i, c in enumerate(names)
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return joined.mapInArrow(per_batch, docs.schema)
+                out.append(_cut(data, ranges).decode())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out, batch.schema.field(0).type), batch.column(2)], names=["text", "rest"])
+
+    schema = joined.select("text", "rest").schema
+    left = restored(joined.mapInArrow(per_batch, schema), docs.columns)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        left = left.withColumn("n_chars", F.length("text").cast(kind))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
