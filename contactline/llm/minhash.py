@@ -47,13 +47,12 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct shingles of a text's words; the whole sequence if it is shorter."""
     if not len(h):
         return h
+    short = len(h) < size
     size = min(size, len(h))
     out = np.zeros(len(h) - size + 1, np.uint64)
     for k in range(size):
         out = mix(out + h[k : len(h) - size + 1 + k])
-    if len(out) and size < len(h):
-        return np.unique(out)
-    return np.unique(mix(out + _U(len(h))))
+    return mix(out + _U(size)) if short else np.unique(out)
 
 
 def _sets(texts: list[bytes], size: int) -> Iterator[list[np.ndarray]]:
