@@ -91,17 +91,6 @@ def home_outcome(index: DataFrame, sites: DataFrame) -> DataFrame:
     )
 
 
-def reachable_rank(rules: Rules) -> int:
-    """Number of candidates of a site that can matter at all.
-
-    Each visit uses up at least one of ``max_pages`` canonical URLs and the homepage uses the
-    first, so there are at most max_pages - 1 visits. A candidate is passed over only if it is the
-    final URL of such a visit, which happens at most once per visit. Candidates after twice that
-    number are never looked at, whatever the pages are.
-    """
-    return max(2 * (rules.max_pages - 1), 1)
-
-
 def candidates(homes: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """(site_key, rank, url, page_key): pages to visit after the homepage, in order.
 
@@ -126,25 +115,54 @@ def candidates(homes: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     order = Window.partitionBy("site_key").orderBy("c.stage", "c.pos")
     return (
         first.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= reachable_rank(rules))
         .select("site_key", "rank", F.col("c.url").alias("url"), "page_key")
     )
 
 
+def _tried(planned: DataFrame, index: DataFrame) -> DataFrame:
+    """Candidates with their first load, ``f``, if there is one; whether it brought a page."""
+    first_try = index.groupBy("site_key", "page_key").agg(
+        F.min(F.struct("attempt", "fetch_id", "final_url", "status", "has_html")).alias("f")
+    )
+    return planned.join(first_try, ["site_key", "page_key"], "left").withColumn(
+        "loaded", F.coalesce(F.col("f.has_html"), F.lit(False)))
+
+
 def visit(
     homes: DataFrame, planned: DataFrame, index: DataFrame, rules: Rules = DEFAULT_RULES
 ) -> DataFrame:
     """(site_key, page_seq, fetch_id, url, final_url, status, has_html, broken): the pages visited.
 
-    Walks each site's candidates in order until ``max_pages`` canonical URLs are used up: a loaded
-    page uses its requested and its final one, a failed load one, and a candidate already used is
-    passed over. Page 0 is the homepage. ``homes`` are the sites whose homepage loaded.
+    Page 0 is the homepage, and ``homes`` are the sites whose homepage loaded. Without a budget
+    every candidate is a page, with its rank as number; with ``max_pages`` see ``budgeted``.
     """
-    first_try = index.groupBy("site_key", "page_key").agg(
-        F.min(F.struct("attempt", "fetch_id", "final_url", "status", "has_html")).alias("f")
-    )
-    tried = planned.join(first_try, ["site_key", "page_key"], "left")
-    loaded = F.coalesce(F.col("f.has_html"), F.lit(False))
+    if rules.max_pages is not None:
+        return budgeted(homes, planned, index, rules.max_pages)
+    links_end = planned.where("url = ''").select("site_key", F.lit(True).alias("_broken")).distinct()
+    broken = F.coalesce("_broken", F.lit(False)).alias("broken")
+    first = homes.join(links_end, "site_key", "left").select(
+        "site_key", F.lit(0).alias("page_seq"), "fetch_id", F.col("base_url").alias("url"),
+        "final_url", "status", F.lit(True).alias("has_html"), broken)
+    others = _tried(planned.where("url <> ''"), index).select(
+        "site_key", F.col("rank").alias("page_seq"), "f.fetch_id", "url", "f.final_url",
+        page_status(F.col("f.status"), F.col("loaded"), 404).alias("status"),
+        F.col("loaded").alias("has_html"), F.lit(False).alias("broken"))
+    return first.unionByName(others)
+
+
+def budgeted(
+    homes: DataFrame, planned: DataFrame, index: DataFrame, max_pages: int
+) -> DataFrame:
+    """``visit`` within a budget of ``max_pages`` canonical URLs per site.
+
+    Walks each site's candidates in order until the URLs are used up: a loaded page uses its
+    requested and its final one, a failed load one, and a candidate already used is passed over.
+    Each visit uses up at least one URL and the homepage the first, so there are at most
+    max_pages - 1 visits; a candidate is passed over only if it is the final URL of such a visit,
+    at most once per visit. So candidates after twice that number are never looked at.
+    """
+    tried = _tried(planned.where(F.col("rank") <= max(2 * (max_pages - 1), 1)), index)
+    loaded = F.col("loaded")
     step = F.struct(
         "rank", "url", "page_key",
         F.when(loaded, urls.canonical(F.col("f.final_url"))).otherwise(
@@ -154,7 +172,7 @@ def visit(
         page_status(F.col("f.status"), loaded, 404).alias("status"),
         loaded.alias("has_html"),
     )
-    # at most reachable_rank steps per site
+    # at most 2 * (max_pages - 1) steps per site
     steps = tried.groupBy("site_key").agg(F.sort_array(F.collect_list(step)).alias("steps"))
     walk = homes.join(steps, "site_key", "left")
 
@@ -164,7 +182,7 @@ def visit(
 
     def follow(state, s):
         skip = (
-            (F.size(state.used) >= rules.max_pages)
+            (F.size(state.used) >= max_pages)
             | F.array_contains(state.used, s.page_key)
             | (s.url == "")
         )

@@ -43,19 +43,28 @@ def sites_of(services: DataFrame) -> DataFrame:
     )
 
 
-def replay(sites: DataFrame, fetches: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """One record per site from a table of parsed fetches (see ``parse_pages``)."""
-    homes, within_budget = visited_pages(sites, fetches, rules)
-    visited, addresses, domains = until_complete(within_budget, fetches, rules)
-    # A site has at most max_pages pages here, so its addresses need no spreading.
-    flagged = ct.flag_own_domain(addresses, domains, spread=1)
+def replay(
+    sites: DataFrame, fetches: DataFrame, rules: Rules = DEFAULT_RULES, stop: bool = False
+) -> DataFrame:
+    """One record per site from a table of parsed fetches (see ``parse_pages``).
+
+    All loads that the candidates lead to count. A budget (``rules.max_pages``) and ``stop``, the
+    end of a visit at the page that fills all categories, save fetches where pages are yet to be
+    fetched; here they only leave out what is there, so both are off unless asked for.
+    """
+    homes, visited = visited_pages(sites, fetches, rules)
+    if stop:
+        visited, addresses, domains = until_complete(visited, fetches, rules)
+    else:
+        addresses, domains = shown_addresses(visited, fetches, rules)
+    flagged = ct.flag_own_domain(addresses, domains)
     return ct.site_records(cr.site_reasons(visited, homes), ct.contacts_by_site(flagged))
 
 
 def visited_pages(
     sites: DataFrame, fetches: DataFrame, rules: Rules = DEFAULT_RULES
 ) -> tuple[DataFrame, DataFrame]:
-    """(outcome of every site's homepage, all pages that fit the budget).
+    """(outcome of every site's homepage, all pages visited).
 
     Both are small next to the pages and read by several later steps, so they are written.
     """
@@ -69,11 +78,11 @@ def visited_pages(
     return homes, materialise(cr.visit(loaded, planned, index, rules), "visits")
 
 
-def until_complete(
+def shown_addresses(
     visited: DataFrame, fetches: DataFrame, rules: Rules = DEFAULT_RULES
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Visited pages, valid addresses and own domains, cut after the page that fills all
-    categories."""
+) -> tuple[DataFrame, DataFrame]:
+    """Valid addresses (site_key, page_seq, email) and own domains (site_key, root_domain,
+    first_seq) of visited pages."""
     found = page_addresses(fetches.select("fetch_id", "found"), rules).where("is_valid")
     shown = visited.where("has_html").select("site_key", "page_seq", "fetch_id")
     addresses = shown.join(
@@ -86,6 +95,15 @@ def until_complete(
         .agg(F.min("page_seq").alias("first_seq"))
         .where("root_domain != ''")
     )
+    return addresses, domains
+
+
+def until_complete(
+    visited: DataFrame, fetches: DataFrame, rules: Rules = DEFAULT_RULES
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Visited pages, valid addresses and own domains, cut after the page that fills all
+    categories."""
+    addresses, domains = shown_addresses(visited, fetches, rules)
     last = ct.first_complete_page(addresses, domains)
 
     def cut(df: DataFrame, seq: str) -> DataFrame:

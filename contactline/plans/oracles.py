@@ -389,8 +389,7 @@ planned AS (
     AND f.page_key <> {_KEY.format('h.final_url')})"""
 
 
-# A visit step by step: one round per candidate, with the list of canonical URLs used so far.
-_VISIT = f"""page_loads AS (
+_STEPS = f"""page_loads AS (
   SELECT site_key, page_key, fetch_id, final_url, status, has_html
   FROM (SELECT *, row_number() OVER (PARTITION BY site_key, page_key ORDER BY attempt, fetch_id) AS n
         FROM loads) WHERE n = 1),
@@ -400,7 +399,10 @@ steps AS (
          CAST(coalesce(l.status, CASE WHEN l.has_html THEN 200 ELSE 404 END) AS INTEGER) AS status
   FROM homes h JOIN planned p ON h.fetch_id = p.fetch_id
   LEFT JOIN page_loads l ON l.site_key = h.site_key AND l.page_key = p.page_key
-  WHERE h.has_html),
+  WHERE h.has_html)"""
+
+# A visit step by step: one round per candidate, with the list of canonical URLs used so far.
+_VISIT = f"""{_STEPS},
 walk AS (
   SELECT site_key, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS page_seq, true AS taken,
          list_distinct([{_KEY.format('final_url')}, {_KEY.format('base_url')}]) AS used
@@ -442,7 +444,29 @@ complete AS (
   GROUP BY site_key)"""
 
 
-_REPLAY_CORE = f"""{_homes()},
+_SEEN = f"""{_REASONS},
+valid AS (
+  SELECT DISTINCT v.site_key, f.email FROM visited v JOIN page_found f ON f.fetch_id = v.fetch_id
+  WHERE v.has_html AND f.ignore_reason IS NULL),
+domains AS (
+  SELECT DISTINCT site_key, {_root(_host_of('final_url'))} AS root_domain
+  FROM visited WHERE has_html),
+{_KEPT},
+{_CONTACTS},
+{_records('reasons')}"""
+_PAGE_SITES = f"""{_SITE_BODIES},
+sites AS (SELECT DISTINCT site_key, 'https://' || site_key || '/' AS base_url FROM fetches)"""
+# All candidates are visited.
+_WHOLE = f"""{_homes()},
+{_candidates('homes')},
+{_STEPS},
+visited AS (
+  SELECT site_key, fetch_id, base_url AS url, final_url, status, has_html FROM homes WHERE has_html
+  UNION ALL
+  SELECT site_key, fetch_id, url, final_url, status, has_html FROM steps),
+{_SEEN}"""
+_BUDGETED = f"""WITH RECURSIVE {_PAGE_SITES},
+{_homes()},
 {_candidates('homes')},
 {_VISIT},
 budget_addresses AS (
@@ -454,20 +478,7 @@ budget_domains AS (
 {_first_complete('budget_addresses', 'budget_domains')},
 visited AS (
   SELECT b.* FROM within_budget b LEFT JOIN complete c ON b.site_key = c.site_key
-  WHERE c.last_seq IS NULL OR b.page_seq <= c.last_seq),
-{_REASONS},
-valid AS (
-  SELECT DISTINCT v.site_key, f.email FROM visited v JOIN page_found f ON f.fetch_id = v.fetch_id
-  WHERE v.has_html AND f.ignore_reason IS NULL),
-domains AS (
-  SELECT DISTINCT site_key, {_root(_host_of('final_url'))} AS root_domain
-  FROM visited WHERE has_html),
-{_KEPT},
-{_CONTACTS},
-{_records('reasons')}"""
-_REPLAY = f"""WITH RECURSIVE {_SITE_BODIES},
-sites AS (SELECT DISTINCT site_key, 'https://' || site_key || '/' AS base_url FROM fetches),
-{_REPLAY_CORE}"""
+  WHERE c.last_seq IS NULL OR b.page_seq <= c.last_seq)"""
 
 _PAGE_LOCATED = f"""services AS ({in_sql(inputs.PAGE_SERVICES)}),
 results AS ({in_sql(inputs.PAGE_RESULTS)}),
@@ -607,14 +618,15 @@ FROM page_found p JOIN fetches f ON p.fetch_id = f.fetch_id""",
 WITH {_SITE_BODIES},
 as_homes AS (SELECT fetch_id, requested_url AS base_url, final_url FROM fetches WHERE has_html),
 {_candidates('as_homes')}
-SELECT fetch_id, rank, url, page_key FROM planned WHERE rank <= {2 * (r.MAX_PAGES - 1)}""",
+SELECT fetch_id, rank, url, page_key FROM planned""",
     "fetch_outcome": f"""
 WITH {_EVENT_LOADS}
 SELECT h.site_key, fetch_id, has_html, status, h.reason, r.reason AS site_reason
 FROM homes h JOIN reasons r ON h.site_key = r.site_key""",
-    "replay_crawl": f"""{_REPLAY}
+    "replay_crawl": f"""{_BUDGETED}
 SELECT site_key, page_seq, fetch_id, url, final_url, status, has_html FROM visited""",
-    "replay_contacts": f"""{_REPLAY}
+    "replay_contacts": f"""WITH {_PAGE_SITES},
+{_WHOLE}
 SELECT * FROM records""",
     "domain_reuse": f"""
 WITH {_LOCATED}
@@ -630,9 +642,9 @@ WHERE "Status" = 'Failed'""",
     "run_counts": f"""{_FROM_TABLES}
 SELECT count(*) AS total_rows, count(*) FILTER (WHERE "Status" = 'Success') AS success_rows,
        count(*) FILTER (WHERE "Status" = 'Failed') AS failed_rows FROM enriched""",
-    "enriched_from_pages": f"""WITH RECURSIVE {_PAGE_LOCATED},
+    "enriched_from_pages": f"""WITH {_PAGE_LOCATED},
 {_SITE_BODIES},
-{_REPLAY_CORE},
+{_WHOLE},
 {_ENRICHED}
 SELECT * FROM enriched""",
     "incremental_enrich": f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from contactline.plans.enrich import (
     with_site_key,
 )
 from contactline.plans.inputs import in_spark
+from contactline.rules import DEFAULT_RULES, MAX_PAGES
 from contactline.runtime import materialise, new_folder
 from contactline.sources import results as rs
 from contactline.sources.results import CSV_WRITE
@@ -383,8 +385,9 @@ def _replay_inputs(spark, sf_dir):
 def replay_crawl(spark, sf_dir):
     """Pages visited on every site within the page budget, up to the page that completes it."""
     sites, fetches = _replay_inputs(spark, sf_dir)
-    _, within_budget = visited_pages(sites, fetches)
-    visited, _, _ = until_complete(within_budget, fetches)
+    rules = replace(DEFAULT_RULES, max_pages=MAX_PAGES)
+    _, within_budget = visited_pages(sites, fetches, rules)
+    visited, _, _ = until_complete(within_budget, fetches, rules)
     return visited.select(
         "site_key", F.col("page_seq").cast("long").alias("page_seq"), "fetch_id", "url",
         "final_url", "status", "has_html",
@@ -393,7 +396,7 @@ def replay_crawl(spark, sf_dir):
 
 @registered
 def replay_contacts(spark, sf_dir):
-    """Record of every site from its visited pages."""
+    """Record of every site from all loads that its candidates lead to."""
     return replay(*_replay_inputs(spark, sf_dir))
 
 

@@ -103,7 +103,7 @@ COMMON_PATHS = (
     "/vacancies", "/recruitment", "/team",
 )
 
-# Distinct canonical URLs a site may use up.
+# Distinct canonical URLs a site may use up where a visit has a budget (Rules.max_pages).
 MAX_PAGES = 10
 
 # Addresses: shape, and the punctuation cut from both ends.
@@ -186,7 +186,7 @@ class Rules:
     link_words: tuple[str, ...] = LINK_WORDS
     path_stop_words: tuple[str, ...] = PATH_STOP_WORDS
     common_paths: tuple[str, ...] = COMMON_PATHS
-    max_pages: int = MAX_PAGES
+    max_pages: int | None = None
     placeholder_addresses: tuple[str, ...] = PLACEHOLDER_ADDRESSES
     asset_extensions: tuple[str, ...] = ASSET_EXTENSIONS
     automated_local_parts: tuple[str, ...] = AUTOMATED_LOCAL_PARTS

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from contactline.operators import contacts as ct
 from contactline.operators import pages as pg
 from contactline.plans.enrich import enrich, replay, until_complete, visited_pages
-from contactline.rules import CATEGORIES, Rules
+from contactline.rules import CATEGORIES, MAX_PAGES, Rules
 from contactline.runtime import materialise
 from contactline.sources import results as rs
 from contactline.sources.pages import PAGE_FETCH, read_page_fetches
@@ -29,7 +29,7 @@ def sites(spark, *keys):
     return spark.createDataFrame(rows, "site_key string, base_url string")
 
 
-def visits(spark, loads, rules=Rules()):
+def visits(spark, loads, rules=Rules(max_pages=MAX_PAGES)):
     fetches = parsed(spark, loads, rules)
     _, within = visited_pages(sites(spark), fetches, rules)
     seen, _, _ = until_complete(within, fetches, rules)
@@ -59,6 +59,23 @@ def test_failed_loads_use_one_and_redirect_targets_are_passed_over(spark):
     assert len(got) == 9  # home, one redirect that uses two, seven failures
 
 
+def test_all_loads_count_without_a_budget(spark):
+    many = "".join(f'<a href="/team{i}">t</a>' for i in range(40))
+    loads = [load(0, html=many + SIX.format(d=KEY))]
+    loads += [load(1 + i, f"/team{i}", html=f"m{i}@{KEY}") for i in range(40)]
+    fetches = parsed(spark, loads)
+    _, seen = visited_pages(sites(spark), fetches)
+    assert [r.url for r in seen.where("has_html").orderBy("page_seq").collect()] == [
+        f"{HOME}/", *(f"{HOME}/team{i}" for i in range(40))]
+    assert seen.where("NOT has_html").count() == 10  # the common paths
+    row, = replay(sites(spark), fetches).collect()
+    assert row["n_addresses"] == 46
+    row, = replay(sites(spark), fetches, Rules(max_pages=4)).collect()
+    assert row["n_addresses"] == 9
+    row, = replay(sites(spark), fetches, stop=True).collect()
+    assert row["n_addresses"] == 6
+
+
 def test_smaller_budget(spark):
     loads = [load(0, html=TEAM)] + [load(1 + i, f"/team{i}") for i in range(12)]
     assert len(visits(spark, loads, Rules(max_pages=4))) == 4
