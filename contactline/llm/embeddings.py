@@ -25,9 +25,10 @@ from contactline.llm.graph import components
 from contactline.runtime import materialise
 
 #: Vectors of a block, about.
-BLOCK = 512
-#: Pivots: a root of the number of vectors, up to this many, so that they fit each task.
-MOST_PIVOTS = 1024
+BLOCK = 1024
+#: Most pivots, and vectors of the sample from which pivots and their number are taken. The choice
+#: decides how much is copied, never what is found.
+MOST_PIVOTS, SAMPLE = 512, 2000
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray]:
@@ -44,54 +45,79 @@ def unit_of(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(v @ v)
 
 
+def _reach(x: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of unit vectors the nearest pivot, and a matrix of the cells before it that they go to too."""
+    d2 = np.maximum(2 - 2 * (x @ pivots.T), 0)
+    d = np.sqrt(d2)
+    own = np.argmin(d, axis=1)
+    at = np.arange(len(x))
+    apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 1e-300))[own]
+    near = d <= (d[at, own] + 2 * eps + 1e-9)[:, None]
+    near &= (d2 - d2[at, own][:, None]) / (2 * apart) <= eps + 1e-9
+    return own, near & (np.arange(len(pivots)) < own[:, None])
+
+
+def _pivots(distinct: DataFrame, n: int, labels: int, eps: float) -> dict[int, np.ndarray]:
+    """Pivots by dimension, from a sample chosen by a hash: so many that the fewest copies of
+    vectors are dealt out, as estimated on the sample."""
+    share = max(1, n // SAMPLE)
+    chosen = distinct.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).orderBy("row").limit(
+        2 * SAMPLE)
+    found: dict[int, list] = {}
+    for r in chosen.select("embedding").collect():
+        v = np.asarray(r["embedding"], float)
+        found.setdefault(len(v), []).append(unit_of(v))
+    best = {}
+    for dim, sample in found.items():
+        x = np.stack(sample)
+        scale = n / max(1, sum(map(len, found.values()))) / max(1, labels)
+        costs = {}
+        many = 1
+        while many <= min(MOST_PIVOTS, len(x)):
+            own, near = _reach(x, x[:many], eps)
+            core = np.bincount(own, minlength=many) * scale
+            copies = near.sum(0) * scale
+            core_blocks, copy_blocks = np.ceil(core / BLOCK), np.ceil(copies / BLOCK)
+            costs[many] = float(np.sum(core * (core_blocks + copy_blocks) + copies * core_blocks))
+            many *= 2
+        best[dim] = x[: min(costs, key=costs.get)]
+    return best
+
+
 def _cells(distinct: DataFrame, pivots: dict[int, np.ndarray], eps: float) -> DataFrame:
     """``label, dim, cell, own, row, n, unit`` (bytes of doubles): each vector in its own cell and
-    in the lower-numbered cells that it may be linked with."""
+    in the cells before it that hold vectors it may be linked with."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("at", "dim", "cell", "own", "unit")}
-            for i, v in enumerate(_vectors(batch.column("embedding"))):
-                unit = unit_of(v)
-                p = pivots.get(len(v))
-                own, cells = 0, [0]
-                if p is not None:
-                    d2 = np.maximum(2 - 2 * (p @ unit), 0)
-                    d = np.sqrt(d2)
-                    own = int(np.argmin(d))
-                    apart = np.sqrt(np.maximum(((p - p[own]) ** 2).sum(1), 1e-300))
-                    near = (d <= d[own] + 2 * eps + 1e-9) & (
-                        (d2 - d2[own]) / (2 * apart) <= eps + 1e-9)
-                    cells = [own, *(int(c) for c in np.flatnonzero(near[:own]))]
-                for c in cells:
-                    out["at"].append(i)
-                    out["dim"].append(len(v))
-                    out["cell"].append(c)
-                    out["own"].append(c == own)
-                    out["unit"].append(unit.tobytes())
-            at = pa.array(out["at"], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label").take(at), pa.array(out["dim"], pa.int32()),
-                 pa.array(out["cell"], pa.int32()), pa.array(out["own"], pa.bool_()),
-                 batch.column("row").take(at), batch.column("n").take(at),
-                 pa.array(out["unit"], pa.binary())],
-                names=["label", "dim", "cell", "own", "row", "n", "unit"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                yield _dealt(whole.slice(first, 1024), pivots, eps)
 
     return distinct.select("label", "row", "n", "embedding").mapInArrow(
         per_batch,
         "label long, dim int, cell int, own boolean, row long, n long, unit binary")
 
 
-def _pivots(distinct: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Unit vectors by dimension: about a root of ``n``, chosen by a hash, MOST_PIVOTS at most."""
-    wanted = min(MOST_PIVOTS, int(np.sqrt(n)) + 1)
-    chosen = distinct.where(F.pmod(F.xxhash64("row"), F.lit(max(1, n // wanted))) == 0).orderBy(
-        F.xxhash64("row"), "row").limit(MOST_PIVOTS)
-    found: dict[int, list] = {}
-    for r in chosen.select("embedding").collect():
-        v = np.asarray(r["embedding"], float)
-        found.setdefault(len(v), []).append(unit_of(v))
-    return {k: np.stack(v) for k, v in found.items()}
+def _dealt(batch: pa.RecordBatch, pivots: dict[int, np.ndarray], eps: float) -> pa.RecordBatch:
+    vectors = [unit_of(v) for v in _vectors(batch.column("embedding"))]
+    dims = np.array([len(v) for v in vectors], np.int64)
+    at, cell = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
+    copies = [(at[:0], at[:0])]
+    for dim in np.unique(dims):
+        if dim in pivots:
+            some = np.flatnonzero(dims == dim)
+            own, near = _reach(np.stack([vectors[i] for i in some]), pivots[dim], eps)
+            cell[some] = own
+            i, c = np.nonzero(near)
+            copies.append((some[i], c))
+    of = np.concatenate([at, *(c[0] for c in copies)])
+    cells = np.concatenate([cell, *(c[1] for c in copies)])
+    take = pa.array(of)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("label").take(take), pa.array(dims[of], pa.int32()), pa.array(cells, pa.int32()),
+         pa.array(np.arange(len(of)) < len(at)), batch.column("row").take(take),
+         batch.column("n").take(take), pa.array([vectors[i].tobytes() for i in of], pa.binary())],
+        names=["label", "dim", "cell", "own", "row", "n", "unit"])
 
 
 def forest(links: np.ndarray) -> np.ndarray:
@@ -115,6 +141,8 @@ def _join_blocks(table: pa.Table, cosine: float) -> pa.Table:
     first = get("block") == get("i")
     second = get("block") == get("j")  # the same rows, if a block is joined with itself
     x, y = np.flatnonzero(first), np.flatnonzero(second)
+    if not len(x) or not len(y):
+        return pa.table({"row": row[:0], "n_links": n[:0], "linked": row[:0]})
     # A link between cells is made in the lower cell, where one end is a copy.
     hit = (unit[x] @ unit[y].T >= cosine) & (own[x][:, None] | own[y][None, :])
     linked = np.zeros((len(row),) * 2, bool)
@@ -148,18 +176,24 @@ def link(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     distinct = materialise(
         members.groupBy("label", "embedding").agg(
             F.min("row").alias("row"), F.count("*").alias("n")), "distinct_vectors")
-    n = distinct.count()
+    size = distinct.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
     eps = float(np.sqrt(2 - 2 * cosine))
-    cells = materialise(_cells(distinct, _pivots(distinct, n), eps), "cells")
+    pivots = _pivots(distinct, size["n"], size["labels"], eps)
+    cells = materialise(_cells(distinct, pivots, eps), "cells")
 
     cell = ["label", "dim", "cell"]
-    blocks_of = cells.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # Every pair of blocks of a cell is a group: a row goes to those that its block is part of.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    blocks = lambda own: F.ceil(F.count(F.when(F.col("own") == own, 1)) / BLOCK).cast("int")
+    blocks_of = cells.groupBy(*cell).agg(
+        blocks(True).alias("cores"), blocks(False).alias("copies")).where("cores > 0")
+    # Pairs of blocks of a cell are the groups: its own vectors meet all, copies only those.
+    spot = F.xxhash64("row")
+    block = F.when(F.col("own"), F.pmod(spot, "cores")).otherwise(
+        F.col("cores") + F.pmod(spot, F.greatest("copies", F.lit(1))))
+    last = F.when(F.col("own"), F.col("cores") + F.col("copies")).otherwise(F.col("cores")) - 1
     placed = (
         cells.join(blocks_of, cell)
-        .withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
-        .withColumn("other", other)
+        .withColumn("block", block.cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
         .select(*cell, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                 "block", "row", "n", "own", "unit")
     )
