@@ -23,6 +23,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Bytes of a batch of rows in a Python worker.
+BATCH = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Makes Spark hand rows to Python in batches of BATCH bytes (or one row), so that a task's
+    memory does not depend on how long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def numbered(df: DataFrame, key: str, *columns: str) -> tuple[DataFrame, bool]:
     """``row`` (long, unique, in the order of ``key``), ``key`` and ``columns``; whether ``row`` is
     the key itself.
@@ -31,6 +41,7 @@ def numbered(df: DataFrame, key: str, *columns: str) -> tuple[DataFrame, bool]:
     rows are sorted by key (nulls last) and the first of the columns and numbered, so rows that
     repeat a key count as later ones.
     """
+    bounded_batches(df.sparkSession)
     df = df.select(F.col(key).cast("long").alias(key), *columns)
     odd = df.select(key).groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1))
     if odd.isEmpty():
@@ -90,7 +101,7 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Texts are worked on in pieces of so many bytes, or one text if it is longer.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -147,4 +158,4 @@ def as_bytes(column) -> list[bytes]:
     """Values of an Arrow string column as UTF-8; null is empty."""
     import pyarrow as pa
 
-    return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
+    return [v or b"" for v in column.cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactline.llm.common import as_bytes, pieces, word_hashes
+from contactline.llm.common import as_bytes, bounded_batches, pieces, word_hashes
 from contactline.runtime import materialise
 
 #: Statistics of a text, in the order in which `statistics` makes them.
@@ -75,25 +75,27 @@ def _of(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {k: np.asarray(out[k], float) for k in STATISTICS}
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` and ``stats``, an array of STATISTICS of the whole text (null is
-    empty; an empty text has zeros, and one line)."""
-    schema = docs.withColumn("stats", F.expr("cast(null as array<double>)")).schema
+def statistics(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``stats``, an array of STATISTICS of the whole ``text`` (null is empty; an
+    empty text has zeros, and one line)."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(*columns, F.col("text").cast("string").alias("_whole_text"))
+    schema = rows.select(
+        *columns, F.expr("cast(null as array<double>)").alias("stats")).schema
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(text))
+            texts = as_bytes(batch.column(batch.num_columns - 1))
             found = [_of(texts[a:b]) for a, b in pieces(texts)]
-            rows = np.concatenate(
+            values = np.concatenate(
                 [np.stack([f[k] for k in STATISTICS], 1) for f in found]
                 or [np.zeros((0, len(STATISTICS)))])
-            flat = pa.array(rows.reshape(-1))
             ends = pa.array(np.arange(len(texts) + 1) * len(STATISTICS), pa.int32())
+            stats = pa.ListArray.from_arrays(ends, pa.array(values.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(ends, flat)],
-                names=[*batch.schema.names, "stats"])
+                [*batch.columns[:-1], stats], names=[*batch.schema.names[:-1], "stats"])
 
-    return docs.mapInArrow(per_batch, schema)
+    return rows.mapInArrow(per_batch, schema)
 
 
 Condition = tuple[int, str, float]
@@ -184,7 +186,7 @@ def learn(stats: DataFrame, labels: DataFrame, **how) -> Ensemble:
 
 
 def _stats(docs: DataFrame) -> DataFrame:
-    return materialise(statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
+    return materialise(statistics(docs, "doc_id"), "statistics")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
@@ -203,6 +205,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how)
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
     """The rows of ``docs``, all columns, whose predicted label is 1."""
     score = learn(_stats(docs), labels, **how).score(F.col("_stats_of_text"))
-    names = docs.columns
-    scored = statistics(docs.select("*", F.col("text").alias("_scored_text")), "_scored_text")
-    return scored.withColumnRenamed("stats", "_stats_of_text").where(score >= threshold).select(*names)
+    whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    scored = statistics(whole, "_row").withColumnRenamed("stats", "_stats_of_text")
+    return scored.where(score >= threshold).select(*[F.col(f"_row.`{c}`") for c in docs.columns])

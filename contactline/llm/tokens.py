@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactline.llm.common import as_bytes
+from contactline.llm.common import as_bytes, bounded_batches
 
 #: The pattern that cuts a text before byte pairs are merged (fixed by the public vocabularies).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -74,6 +74,7 @@ def attribute(
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
+    bounded_batches(docs.sparkSession)
     data = read_vocabulary(docs.sparkSession, vocabulary)
     columns = [F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")]
     if sections:
