@@ -18,12 +18,16 @@ from contactline.rules import (
 )
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
-_DOMAIN = ADDRESS_PATTERN.split("@")[1]
+# Word characters are letters, numbers of any kind and "_"; the edge of a word is spelled out, since
+# Java's own counts combining marks and joiners as word characters and leaves out signs like "½".
+_WORD = r"[\p{L}\p{N}_]"
+_EDGE = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_DOMAIN = ADDRESS_PATTERN.split("@")[1].removesuffix(r"\b") + rf"(?!{_WORD})"
 
 # Finds what ADDRESS_PATTERN finds, in linear time. A run of local-part characters can only lead
 # to an address from its first word boundary (what follows the run is the same for all of them),
 # so each run is entered once: at its start, or where the last match stopped (\G).
-_FIND = rf"(?U)(?={_LOCAL})(?:(?<!{_LOCAL})|\G)(?>{_LOCAL}*?\b)({_LOCAL}++@{_DOMAIN})"
+_FIND = rf"(?U)(?={_LOCAL})(?:(?<!{_LOCAL})|\G)(?>{_LOCAL}*?{_EDGE})({_LOCAL}++@{_DOMAIN})"
 
 _AT = rf"(?:\[{SPACE}*+at{SPACE}*+\]|\({SPACE}*+at{SPACE}*+\))"
 _DOT = rf"(?:\[{SPACE}*+dot{SPACE}*+\]|\({SPACE}*+dot{SPACE}*+\))"

@@ -12,6 +12,19 @@ _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 _NETLOC_RX = rf"\A(?:{_SCHEME}:)?//([^/?#]*)"
 _PATH_RX = rf"\A(?:{_SCHEME}:)?(?://[^/?#]*)?([^?#]*)"
 _PARAMS_RX = r"\A((?:.*/)?[^/;]*);[^/]*\z"
+# Schemes whose paths may end in ;parameters.
+_WITH_PARAMS = (
+    "", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtsps", "rtspu", "sip", "sips",
+    "mms", "sftp", "tel",
+)
+# A bracketed host: an IPv6 address (a dotted end counts as two groups), or a later version.
+_GROUP = r"[0-9A-Fa-f]{1,4}"
+_IPV6 = (
+    rf"(?:(?:{_GROUP}:){{7}}{_GROUP}"
+    rf"|(?=(?:[^:]*:){{2,7}}[^:]*\z)(?:{_GROUP}(?::{_GROUP})*)::(?:{_GROUP}(?::{_GROUP})*)"
+    rf"|(?=(?:[^:]*:){{2,8}}[^:]*\z)(?:::(?:{_GROUP}(?::{_GROUP})*)?|{_GROUP}(?::{_GROUP})*::))"
+)
+_BRACKETED = rf"\A(?:v[0-9A-Fa-f]+\..+|{_IPV6})\z"
 _ROOT_RX = rf"(?:[^.]*\.(?:{any_of(SECOND_LEVEL_LABELS)})\.[^.]*|[^.]*\.[^.]*|[^.]*)\z"
 
 
@@ -30,10 +43,10 @@ def netloc(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    """Path without query and fragment, for web URLs also without ``;parameters`` at its end."""
+    """Path without query and fragment, also without ``;parameters`` where the scheme has them."""
     whole = F.regexp_extract(_tidy(url), _PATH_RX, 1)
     return F.when(
-        scheme(url).isin("", "http", "https"), F.regexp_replace(whole, _PARAMS_RX, "$1")
+        scheme(url).isin(*_WITH_PARAMS), F.regexp_replace(whole, _PARAMS_RX, "$1")
     ).otherwise(whole)
 
 
@@ -77,7 +90,8 @@ def canonical(url: Column) -> Column:
 
 
 def homepage(url: Column) -> Column:
-    """scheme://host/ of a URL, https when it names no scheme or no host."""
+    """scheme://host/ of a URL, https when it names no scheme or no host. One that cannot be parsed
+    stays as it is."""
     def complete(u: Column) -> Column:
         return F.when((scheme(u) != "") & (netloc(u) != ""), u).otherwise(
             F.concat(F.lit("https://"), u)
@@ -86,7 +100,11 @@ def homepage(url: Column) -> Column:
     def front(u: Column) -> Column:
         return F.concat(scheme(u), F.lit("://"), netloc(u), F.lit("/"))
 
-    return once(url, lambda u: F.when(u == "", u).otherwise(once(complete(u), front)))
+    def of(u: Column) -> Column:
+        whole = once(complete(u), lambda c: F.when(~unparsable(c), front(c)))
+        return F.when((u == "") | unparsable(u), u).otherwise(F.coalesce(whole, u))
+
+    return once(url, of)
 
 
 def host_for_blocklist(url: Column) -> Column:
@@ -99,10 +117,18 @@ def host_for_blocklist(url: Column) -> Column:
     return once(url, pick)
 
 
-def has_broken_brackets(url: Column) -> Column:
-    """Half a pair of square brackets in the host: such a URL cannot be parsed."""
-    host = netloc(url)
-    return host.contains("[") != host.contains("]")
+def unparsable(url: Column) -> Column:
+    """Square brackets in the host that are not a pair, or whose first pair does not hold an IP
+    address of version 6 or later: such a URL cannot be parsed."""
+    def judge(host: Column) -> Column:
+        inner = F.regexp_extract(host, r"\[([^\]]*)", 1)
+        inner = F.regexp_replace(inner, r"(?<=:)\d{1,3}(?:\.\d{1,3}){3}(?=%|\z)", "0:0")
+        inner = F.when(inner.startswith("v"), inner).otherwise(
+            F.regexp_replace(inner, r"%[^%]+\z", ""))
+        opened, closed = host.contains("["), host.contains("]")
+        return (opened != closed) | (opened & ~inner.rlike(_BRACKETED))
+
+    return once(netloc(url), judge)
 
 
 def is_blocked(url: Column, rules: Rules = DEFAULT_RULES) -> Column:
@@ -111,7 +137,9 @@ def is_blocked(url: Column, rules: Rules = DEFAULT_RULES) -> Column:
 
     def judge(u: Column) -> Column:
         known = ends_with_domain(host_for_blocklist(u), listed) if listed else F.lit(False)
-        return F.coalesce((u == "") | has_broken_brackets(u) | known, F.lit(True))
+        bare = F.concat(F.lit("http://"), u)
+        broken = unparsable(u) | ((netloc(u) == "") & unparsable(bare))
+        return F.coalesce((u == "") | broken | known, F.lit(True))
 
     return once(url, judge)
 

@@ -156,3 +156,50 @@ def test_navigation_reason(one):
         "Page crashed": "Page crashed", None: "",
     }
     assert one(navigation_reason, cases) == list(cases.values())
+
+
+# Pieces that meet at word edges and in hosts; the standard library says what is right.
+EDGES = ("info@x.org a.b@c-d.co.uk @ . é ́ ‌ ‍ ‿ ⃣ ² ½ ① _ - + x Z 9 ß Ⅷ ٣ 中 "
+         "̧ [at] (dot)").split(" ") + [" ", "\n"]
+HOSTS = ("a.org [ ] ::1 1:2:3:4:5:6:7:8 http:// // /p care.co.uk v1.x @ :80 1 www. 127.0.0.1 ftp:// "
+         "sip: ;a ?q %e :: fe80::1:2").split(" ")
+
+
+def made_of(parts, n, longest):
+    rnd = random.Random(11)
+    return ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, longest))) for _ in range(n)]
+
+
+def test_addresses_at_word_edges(one):
+    texts = made_of(EDGES, 4000, 9) + [
+        "info@x.orǵ", "info@x.org‍", "‍info@x.org", "info@x.org²", "½info@x.org"]
+    want = [re.findall(ADDRESS_PATTERN, t) for t in texts]
+    assert one(ad.find_addresses, texts) == want
+    assert sum(map(len, want)) > 500
+
+
+def test_urls_that_cannot_be_parsed(one):
+    cases = made_of(HOSTS, 4000, 7) + [
+        "a.org[x", "care.co.uk]/p", "www.[x/y", "https://care[1].co.uk/", "ftp://a.org/x;y"]
+
+    def parts(url):
+        try:
+            return urlparse(url)
+        except ValueError:
+            return None
+
+    def blocked(url):
+        first = parts(url)
+        return first is None or not first.netloc and parts("http://" + url) is None
+
+    def home(url):
+        first = parts(url)
+        whole = first if first and first.scheme and first.netloc else first and parts("https://" + url)
+        return f"{whole.scheme}://{whole.netloc}/" if whole else url
+
+    none = Rules(blocked_suffixes=(), blocked_domains=())
+    assert one(lambda u: urls.is_blocked(u, none), cases) == [blocked(u) for u in cases]
+    assert one(urls.homepage, cases) == [home(u) for u in cases]
+    got = one(urls.path, cases)
+    assert [g for g, u in zip(got, cases) if parts(u)] == [parts(u).path for u in cases if parts(u)]
+    assert sum(map(blocked, cases)) > 300
