@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from contactline.runtime import materialise
 
 BLOCK_ITEM = "!block"
+#: Token sets that mined rules fit, which may be sent to every task; more are joined.
+BROADCAST_ROWS = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -142,7 +144,9 @@ def judge(
         F.coalesce(tokens(F.col("url")), F.expr("cast(array() as array<string>)")).alias("tokens"),
     )
     sets = read.select("tokens").distinct()
-    found = fitting(sets, mined)
+    found = materialise(fitting(sets, mined), "fitting")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     rule = given_rule(F.col("host"), F.col("path"), rules)
     said = F.lit(None).cast("string")
     if rules:
