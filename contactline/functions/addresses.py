@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from contactline import rules as r
 from contactline.functions.text import SPACE, any_of, once, strip
 from contactline.rules import (
     ADDRESS_PATTERN,
@@ -142,32 +143,32 @@ def ignore_reason(email: Column, rules: Rules = DEFAULT_RULES) -> Column:
 
 def _reason(email: Column, user: Column, domain: Column, rules: Rules) -> Column:
     return (
-        F.when(F.coalesce(~email.contains("@"), F.lit(True)), "Invalid email format")
-        .when(~email.rlike(rf"(?U)\A{ADDRESS_PATTERN}\z"), "Failed standard regex validation")
-        .when(_among(email, rules.placeholder_addresses), "Matched dummy/test email blocklist")
+        F.when(F.coalesce(~email.contains("@"), F.lit(True)), r.IGNORED_FORMAT)
+        .when(~email.rlike(rf"(?U)\A{ADDRESS_PATTERN}\z"), r.IGNORED_PATTERN)
+        .when(_among(email, rules.placeholder_addresses), r.IGNORED_PLACEHOLDER)
         .when(
             _matches(email, rules.asset_extensions, r"(?:{})\z"),
-            _quoting("Static asset extension ({})", rules.asset_extensions, email.endswith),
+            _quoting(r.IGNORED_ASSET, rules.asset_extensions, email.endswith),
         )
-        .when(_among(user, rules.automated_local_parts), "Automated no-reply address")
+        .when(_among(user, rules.automated_local_parts), r.IGNORED_AUTOMATED)
         .when(
             _matches(user, rules.ignored_local_prefixes, r"\A(?:{})"),
-            _quoting("Username starts with ignored keyword ('{}')",
+            _quoting(r.IGNORED_PREFIX,
                      rules.ignored_local_prefixes, user.startswith),
         )
         .when(
             _matches(domain, rules.technical_domains, r"{}"),
-            _quoting("Technical / analytics / social domain ('{}')",
+            _quoting(r.IGNORED_TECHNICAL,
                      longest_first(rules.technical_domains), domain.contains),
         )
         .when(
             _matches(domain, rules.regulator_domains, r"(?:\A|\.)(?:{})\z"),
-            _quoting("Regulator / NHS / Gov domain ('{}')", longest_first(rules.regulator_domains),
+            _quoting(r.IGNORED_REGULATOR, longest_first(rules.regulator_domains),
                      lambda d: (domain == d) | domain.endswith(F.concat(F.lit("."), d))),
         )
         .when(
             _matches(domain, rules.government_suffixes, r"(?:{})\z"),
-            "Government or NHS domain suffix",
+            r.IGNORED_GOVERNMENT,
         )
     )
 

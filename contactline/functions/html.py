@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactline.rules import (
+    HIDDEN_ARIA,
+    HIDDEN_ATTRIBUTE,
+    HIDDEN_STYLES,
     HIDDEN_TAGS,
     LINK_ZONE_TAGS,
     PRIORITY_CLASSES,
@@ -56,10 +59,10 @@ _MARKED = _TEXT_APART | _HIDDEN | _PRIORITY | _ZONES | {"a"}
 
 
 def _is_hidden(tag: str, attrs: dict) -> bool:
-    if tag in _HIDDEN or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+    if tag in _HIDDEN or HIDDEN_ATTRIBUTE in attrs or attrs.get(HIDDEN_ARIA) == "true":
         return True
     style = (attrs.get("style") or "").replace(" ", "").lower()
-    return "display:none" in style or "visibility:hidden" in style
+    return any(s in style for s in HIDDEN_STYLES)
 
 
 def _is_priority(tag: str, attrs: dict) -> bool:

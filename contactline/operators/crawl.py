@@ -11,16 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactline.functions import urls
+from contactline.functions.text import any_of
 from contactline.operators.pages import STAGE_BROKEN, common_pages
 from contactline.rules import (
     DEFAULT_RULES,
+    ERROR_WORDS,
     REASON_ACCEPTED,
-    REASON_DNS,
     REASON_FORBIDDEN,
     REASON_NO_ADDRESS,
     REASON_NOT_FOUND,
-    REASON_REFUSED,
-    REASON_TIMEOUT,
     REASON_UNREACHABLE,
     Rules,
 )
@@ -29,12 +28,10 @@ from contactline.rules import (
 def navigation_reason(error: Column) -> Column:
     """What an error of a page load means; other texts stay as they are, no error is empty."""
     text = F.lower(error)
-    return (
-        F.when(text.rlike("err_name_not_resolved|getaddrinfo|dns"), REASON_DNS)
-        .when(text.rlike("timeout|timed out|err_connection_timed_out"), REASON_TIMEOUT)
-        .when(text.rlike("err_connection_refused|connection refused"), REASON_REFUSED)
-        .otherwise(F.coalesce(error, F.lit("")))
-    )
+    steps = F
+    for reason, words in ERROR_WORDS.items():
+        steps = steps.when(text.rlike(any_of(words)), reason)
+    return steps.otherwise(F.coalesce(error, F.lit("")))
 
 
 def page_status(status: Column, has_html: Column, missing: int | None) -> Column:

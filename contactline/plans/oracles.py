@@ -88,25 +88,27 @@ def _clean(raw: str) -> str:
     return f"trim(lower({raw}), {_STRIP})"
 
 
+def _lit(text: str) -> str:
+    return _lits([text])
+
+
 def _reason(e: str) -> str:
     user, domain = f"split_part({e}, '@', 1)", f"split_part({e}, '@', 2)"
-    out = ["CASE", f"WHEN {e} IS NULL OR position('@' IN {e}) = 0 THEN 'Invalid email format'",
-           f"WHEN NOT regexp_matches({e}, {_ADDRESS_FULL}) THEN 'Failed standard regex validation'",
-           f"WHEN {e} IN ({_lits(r.PLACEHOLDER_ADDRESSES)}) THEN 'Matched dummy/test email blocklist'"]
+    out = ["CASE", f"WHEN {e} IS NULL OR position('@' IN {e}) = 0 THEN {_lit(r.IGNORED_FORMAT)}",
+           f"WHEN NOT regexp_matches({e}, {_ADDRESS_FULL}) THEN {_lit(r.IGNORED_PATTERN)}",
+           f"WHEN {e} IN ({_lits(r.PLACEHOLDER_ADDRESSES)}) THEN {_lit(r.IGNORED_PLACEHOLDER)}"]
     for x in r.ASSET_EXTENSIONS:
-        out.append(f"WHEN ends_with({e}, '{x}') THEN 'Static asset extension ({x})'")
-    out.append(f"WHEN {user} IN ({_lits(r.AUTOMATED_LOCAL_PARTS)}) THEN 'Automated no-reply address'")
+        out.append(f"WHEN ends_with({e}, '{x}') THEN {_lit(r.IGNORED_ASSET.format(x))}")
+    out.append(f"WHEN {user} IN ({_lits(r.AUTOMATED_LOCAL_PARTS)}) THEN {_lit(r.IGNORED_AUTOMATED)}")
     for w in r.IGNORED_LOCAL_PREFIXES:
-        out.append(f"WHEN starts_with({user}, '{w}') "
-                   f"THEN 'Username starts with ignored keyword (''{w}'')'")
+        out.append(f"WHEN starts_with({user}, '{w}') THEN {_lit(r.IGNORED_PREFIX.format(w))}")
     for d in r.longest_first(r.TECHNICAL_DOMAINS):
-        out.append(f"WHEN contains({domain}, '{d}') "
-                   f"THEN 'Technical / analytics / social domain (''{d}'')'")
+        out.append(f"WHEN contains({domain}, '{d}') THEN {_lit(r.IGNORED_TECHNICAL.format(d))}")
     for d in r.longest_first(r.REGULATOR_DOMAINS):
         out.append(f"WHEN {domain} = '{d}' OR ends_with({domain}, '.{d}') "
-                   f"THEN 'Regulator / NHS / Gov domain (''{d}'')'")
+                   f"THEN {_lit(r.IGNORED_REGULATOR.format(d))}")
     for s in r.GOVERNMENT_SUFFIXES:
-        out.append(f"WHEN ends_with({domain}, '{s}') THEN 'Government or NHS domain suffix'")
+        out.append(f"WHEN ends_with({domain}, '{s}') THEN {_lit(r.IGNORED_GOVERNMENT)}")
     return "\n".join(out) + " END"
 
 
@@ -257,14 +259,10 @@ def _records(reasons: str) -> str:
 
 
 def _navigation(e: str) -> str:
-    def has(*words):
-        return " OR ".join(f"contains(lower({e}), '{w}')" for w in words)
-    return (
-        f"CASE WHEN {has('err_name_not_resolved', 'getaddrinfo', 'dns')} THEN '{r.REASON_DNS}' "
-        f"WHEN {has('timeout', 'timed out', 'err_connection_timed_out')} THEN '{r.REASON_TIMEOUT}' "
-        f"WHEN {has('err_connection_refused', 'connection refused')} THEN '{r.REASON_REFUSED}' "
-        f"ELSE coalesce({e}, '') END"
-    )
+    steps = " ".join(
+        f"WHEN {' OR '.join(f'contains(lower({e}), {_lit(w)})' for w in words)} THEN {_lit(reason)}"
+        for reason, words in r.ERROR_WORDS.items())
+    return f"CASE {steps} ELSE coalesce({e}, '') END"
 
 
 def _homes() -> str:

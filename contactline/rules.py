@@ -157,6 +157,8 @@ PRIORITY_CLASSES = (
 )
 PRIORITY_IDS = ("contact", "footer", "contact-us")
 LINK_ZONE_TAGS = ("nav", "header", "footer")
+HIDDEN_STYLES = ("display:none", "visibility:hidden")
+HIDDEN_ATTRIBUTE, HIDDEN_ARIA = "hidden", "aria-hidden"
 
 # Texts that appear in results.
 SUCCESS = "Success"
@@ -172,6 +174,24 @@ REASON_NOT_FOUND = "Website pages not found (404)"
 REASON_NO_ADDRESS = "No email found"
 SEARCH_PHRASE = "official website"
 
+# Words in the error of a page load that tell its reason; first reason that matches wins.
+ERROR_WORDS = {
+    REASON_DNS: ("err_name_not_resolved", "getaddrinfo", "dns"),
+    REASON_TIMEOUT: ("timeout", "timed out", "err_connection_timed_out"),
+    REASON_REFUSED: ("err_connection_refused", "connection refused"),
+}
+
+# Why an address is not used; {} is the name that matches.
+IGNORED_FORMAT = "Invalid email format"
+IGNORED_PATTERN = "Failed standard regex validation"
+IGNORED_PLACEHOLDER = "Matched dummy/test email blocklist"
+IGNORED_ASSET = "Static asset extension ({})"
+IGNORED_AUTOMATED = "Automated no-reply address"
+IGNORED_PREFIX = "Username starts with ignored keyword ('{}')"
+IGNORED_TECHNICAL = "Technical / analytics / social domain ('{}')"
+IGNORED_REGULATOR = "Regulator / NHS / Gov domain ('{}')"
+IGNORED_GOVERNMENT = "Government or NHS domain suffix"
+
 # --------------------------------------------------------------------------------------------
 # End of fixed values.
 # --------------------------------------------------------------------------------------------
