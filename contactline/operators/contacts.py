@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from contactline.functions.addresses import category, domain_part
 from contactline.functions.urls import host_or_first_segment, root_domain
-from contactline.operators.skew import spread_left_join
+from contactline.operators.skew import hot_key_left_join
 from contactline.rules import CATEGORIES, FAILED, FAILURE_REASON, REASON_NO_ADDRESS, STATUS, SUCCESS
-
-# A site without a known bound on its pages is dealt out over this many parts.
-SPREAD = 8
-
+from contactline.runtime import materialise
 
 def site_domains(pages: DataFrame, url: str = "url") -> DataFrame:
     """Root domains of a site's page URLs, also of pages without content."""
@@ -24,30 +21,29 @@ def site_domains(pages: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def flag_own_domain(
-    addresses: DataFrame, domains: DataFrame, spread: int = SPREAD
-) -> DataFrame:
+def flag_own_domain(addresses: DataFrame, domains: DataFrame) -> DataFrame:
     """Distinct (site_key, email) with ``category``, ``root_domain`` and ``is_own``."""
     distinct = addresses.select("site_key", "email").distinct()
     email = F.col("email")
-    labelled = distinct.withColumns(
+    labelled = materialise(distinct.withColumns(
         {"category": category(email), "root_domain": root_domain(domain_part(email))}
-    )
+    ), "labelled")
     own = domains.select("site_key", "root_domain").distinct().withColumn("_own", F.lit(True))
     return (
-        spread_left_join(labelled, own, ["site_key", "root_domain"], ["email"], spread)
+        hot_key_left_join(labelled, own, ["site_key", "root_domain"], ["email"])
         .withColumn("is_own", F.col("_own").isNotNull())
         .drop("_own")
     )
 
 
-def own_domain_first(flagged: DataFrame, spread: int = SPREAD) -> DataFrame:
+def own_domain_first(flagged: DataFrame) -> DataFrame:
     """Adds ``kept``: a site with addresses under its own domains keeps only those."""
+    flagged = materialise(flagged, "flagged")
     with_own = (
         flagged.where("is_own").select("site_key").distinct().withColumn("_any", F.lit(True))
     )
     return (
-        spread_left_join(flagged, with_own, ["site_key"], ["email"], spread)
+        hot_key_left_join(flagged, with_own, ["site_key"], ["email"])
         .withColumn("kept", F.col("is_own") | F.col("_any").isNull())
         .drop("_any")
     )
@@ -126,10 +122,11 @@ def first_complete_page(addresses: DataFrame, domains: DataFrame) -> DataFrame:
     afterwards from its first own one.
     """
     email = F.col("email")
-    rows = addresses.select(
-        "site_key", "page_seq", category(email).alias("category"),
+    # First pages by category and domain: what is joined does not grow with a site's addresses.
+    rows = addresses.groupBy(
+        "site_key", category(email).alias("category"),
         root_domain(domain_part(email)).alias("root_domain"),
-    ).join(domains, ["site_key", "root_domain"], "left")
+    ).agg(F.min("page_seq").alias("page_seq")).join(domains, ["site_key", "root_domain"], "left")
     own_from = F.when(F.col("first_seq").isNotNull(), F.greatest("page_seq", "first_seq"))
     per_category = rows.groupBy("site_key", "category").agg(
         F.min("page_seq").alias("any_from"), F.min(own_from).alias("own_from")

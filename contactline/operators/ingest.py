@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactline.functions.text import absent_to_null, strip
@@ -15,6 +15,7 @@ from contactline.rules import (
     SERVICE_NAME,
     SERVICE_WEBSITE,
 )
+from contactline.runtime import materialise
 
 
 def normal_header(name: str) -> str:
@@ -80,51 +81,36 @@ def rejected_services(df: DataFrame) -> DataFrame:
     return df.where(~has_name(F.col(f"`{SERVICE_NAME}`")))
 
 
-def number_by_key(df: DataFrame, key: str, out: str = "service_num", width: int = 65536):
-    """1-based position of each row in the order of a unique, non-negative whole-number key.
+def number_in_order(df: DataFrame, order: list[str], out: str = "service_num") -> DataFrame:
+    """1-based position of each row in the order of some columns, which must tell rows apart.
 
-    Rows are ranked inside stretches of ``width`` keys, which bounds every group, and each stretch
-    starts where the ones before it end. Only one row per stretch meets in the running total.
+    The rows are sorted over many tasks by ranges of these columns and written down; a row's number
+    is its place in its range plus the sizes of the ranges before, of which there are as many as
+    partitions. Keys may lie as far apart, or as close together, as they like.
     """
-    stretch = F.floor(F.col(key) / width).cast("long")
-    keyed = df.withColumn("_stretch", stretch)
-    before = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        keyed.groupBy("_stretch")
-        .agg(F.count("*").alias("_n"))
-        .select("_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    rank = F.row_number().over(Window.partitionBy("_stretch").orderBy(key))
-    return (
-        keyed.withColumn("_rank", rank)
-        .join(starts, "_stretch")
-        .withColumn(out, (F.col("_start") + F.col("_rank")).cast("long"))
-        .drop("_stretch", "_rank", "_start")
-    )
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    written = materialise(
+        ranges.withColumn("_part", F.shiftright(place, 33).cast("int"))
+        .withColumn("_place", place.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = {r["_part"]: r["n"] for r in written.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    starts, total = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        starts.append(total)
+        total += sizes.get(part, 0)
+    start = F.get(F.array(*(F.lit(s).cast("long") for s in starts or [0])), F.col("_part"))
+    return written.withColumn(out, start + F.col("_place") + 1).drop("_part", "_place")
 
 
-def number_by_file_position(df: DataFrame, out: str = "service_num") -> DataFrame:
-    """1-based position of the rows of a file scan, in file order.
+def number_by_key(df: DataFrame, key: str, out: str = "service_num") -> DataFrame:
+    """1-based position of each row in the order of a unique key."""
+    return number_in_order(df, [key], out)
 
-    ``df`` must come straight from a file source and keep the hidden ``_file``, ``_block`` and
-    ``_row`` columns of :func:`with_file_position`, taken after all filters. Rows of one block are
-    read in order by one task, so a row's place in its block is its id less the block's first id;
-    one row per block meets in the running total.
-    """
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        df.groupBy("_file", "_block")
-        .agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-        .select(
-            "_file", "_block", "_first",
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-        )
-    )
-    return (
-        df.join(starts, ["_file", "_block"])
-        .withColumn(out, (F.col("_start") + F.col("_row") - F.col("_first") + 1).cast("long"))
-        .drop("_file", "_block", "_first", "_start", "_row")
-    )
+
+def number_by_file_position(df: DataFrame, out: str = "service_num") -> DataFrame:
+    """1-based position of the rows of a file scan, in file order: by the ``_file``, ``_block`` and
+    ``_row`` columns, which are dropped."""
+    return number_in_order(df, ["_file", "_block", "_row"], out).drop("_file", "_block", "_row")
 
 
 def load_summary(df: DataFrame) -> DataFrame:
@@ -152,8 +138,9 @@ def load_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def as_services(df: DataFrame) -> DataFrame:
-    """Numbered, mapped rows under the internal names; absent optional columns become null."""
+def as_services(df: DataFrame, *keep: str) -> DataFrame:
+    """Numbered, mapped rows under the internal names; absent optional columns become null. Columns
+    to ``keep`` follow."""
     def column(name):
         return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
 
@@ -162,4 +149,5 @@ def as_services(df: DataFrame) -> DataFrame:
         strip(column(SERVICE_NAME)).alias("service_name"),
         column(SERVICE_WEBSITE).alias("service_website"),
         column(POSTCODE).alias("postcode"),
+        *keep,
     )

@@ -8,47 +8,35 @@ from pyspark.sql import functions as F
 _SALT = "_salt"
 
 
-def spread_left_join(
-    left: DataFrame, right: DataFrame, on: list[str], salt_by: list[str], spread: int
-) -> DataFrame:
-    """Left join to a narrow right side that has at most one row per key.
-
-    The rows of a key are dealt out over ``spread`` parts by ``salt_by``, and each right row is
-    given to every part, so a hot key never meets in one task. ``spread=1`` is a plain join, for
-    keys whose group size is known to be bounded.
-    """
-    if spread == 1:
-        return left.join(right, on, "left")
-    salted = left.withColumn(_SALT, F.pmod(F.xxhash64(*salt_by), F.lit(spread)).cast("int"))
-    copies = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return salted.join(copies, [*on, _SALT], "left").drop(_SALT)
-
-
 def hot_key_left_join(
-    left: DataFrame, right: DataFrame, key: str, salt_by: str, shares: int = 1000
+    left: DataFrame, right: DataFrame, on: list[str], salt_by: list[str], shares: int = 1000
 ) -> DataFrame:
-    """Left join to a wide right side with at most one row per key, where only some keys are hot.
+    """Left join to a right side with at most one row per key, where some keys may be hot.
 
     A key is hot if it holds more than one part in ``shares`` of the left rows. There are fewer than
     ``shares`` such keys, whatever the data, so their list may be broadcast. Rows of a hot key are
-    dealt out over parts of that size, and only the right rows of hot keys are copied. Left rows
-    without a key are spread too. ``left`` should be a written table: it is read three times.
+    dealt out over parts of that size by ``salt_by``, and only the right rows of hot keys are
+    copied. Left rows without a key are spread too. ``left`` should be a written table: it is read
+    three times.
     """
     limit = left.count() // shares + 1
+    whole = F.lit(True)
+    for c in on:
+        whole = whole & F.col(c).isNotNull()
     hot = F.broadcast(
-        left.where(F.col(key).isNotNull())
-        .groupBy(key)
+        left.where(whole)
+        .groupBy(*on)
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > limit)
-        .select(key, F.ceil(F.col("_n") / limit).alias("_parts"))
+        .select(*on, F.ceil(F.col("_n") / limit).alias("_parts"))
     )
     parts = F.coalesce("_parts", F.lit(1))
-    spot = F.xxhash64(salt_by)
-    salt = F.when(F.col(key).isNull(), spot).otherwise(F.pmod(spot, parts))
-    salted = left.join(hot, key, "left").withColumn(_SALT, salt).drop("_parts")
+    spot = F.xxhash64(*salt_by)
+    salt = F.when(~whole, spot).otherwise(F.pmod(spot, parts))
+    salted = left.join(hot, on, "left").withColumn(_SALT, salt).drop("_parts")
     copies = (
-        right.join(hot, key, "left")
+        right.join(hot, on, "left")
         .withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
         .drop("_parts")
     )
-    return salted.join(copies, [key, _SALT], "left").drop(_SALT)
+    return salted.join(copies, [*on, _SALT], "left").drop(_SALT)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from contactline.functions import urls
 from contactline.functions.text import absent_to_null
-from contactline.operators.skew import spread_left_join
+from contactline.operators.skew import hot_key_left_join
 from contactline.rules import DEFAULT_RULES, SEARCH_PHRASE, Rules
+from contactline.runtime import materialise
 
 
 def search_query(name: Column, postcode: Column) -> Column:
@@ -26,16 +27,14 @@ def first_allowed_result(results: DataFrame, rules: Rules = DEFAULT_RULES) -> Da
     )
 
 
-def without_listed_hosts(
-    df: DataFrame, url: str, blocklist: DataFrame, spread: int = 8
-) -> DataFrame:
+def without_listed_hosts(df: DataFrame, url: str, blocklist: DataFrame) -> DataFrame:
     """Rows whose host is not equal to or under a domain of a blocklist table (column ``domain``).
 
     For lists too long for an expression. Each distinct host is looked up once, by its suffixes,
-    so this stays an equi join; the rows of a host are spread when the verdict comes back to them.
+    so this stays an equi join; the rows of a hot host are spread when the verdict comes back to them.
     """
     host = F.coalesce(urls.host_for_blocklist(F.col(url)), F.lit(""))
-    keyed = df.withColumn("_host", host)
+    keyed = materialise(df.withColumn("_host", host), "hosts")
     listed = (
         keyed.select("_host")
         .distinct()
@@ -44,17 +43,20 @@ def without_listed_hosts(
         .select("_host", F.lit(True).alias("_listed"))
         .distinct()
     )
-    judged = spread_left_join(keyed, listed, ["_host"], df.columns, spread)
+    judged = hot_key_left_join(keyed, listed, ["_host"], df.columns)
     return judged.where(F.col("_listed").isNull()).select(*df.columns)
 
 
 def choose_websites(
     services: DataFrame, results: DataFrame, rules: Rules = DEFAULT_RULES
 ) -> DataFrame:
-    """Services with a ``website`` column; null where none is given and none was found."""
+    """Services with a ``website`` column; null where none is given and none was found. Only results
+    of services without one are looked at."""
     given = absent_to_null(F.col("service_website"))
+    searched = services.where(given.isNull()).select("service_num")
+    wanted = results.join(searched, "service_num", "left_semi")
     return (
-        services.join(first_allowed_result(results, rules), "service_num", "left")
+        services.join(first_allowed_result(wanted, rules), "service_num", "left")
         .withColumn("website", F.coalesce(given, "found_website"))
         .drop("found_website")
     )

@@ -122,7 +122,7 @@ def assemble(services: DataFrame, records: DataFrame) -> DataFrame:
     Many services may share a site, or have none: see ``hot_key_left_join``.
     """
     found = F.col("website").isNotNull()
-    joined = hot_key_left_join(services, records, "site_key", "service_num")
+    joined = hot_key_left_join(services, records, ["site_key"], ["service_num"])
     return enriched_table(joined.select(
         "service_num",
         F.col("service_name").alias(SERVICE_NAME),

@@ -17,6 +17,7 @@ from contactline.operators import crawl as cr
 from contactline.operators import ingest as ig
 from contactline.operators import pages as pg
 from contactline.operators import websites as ws
+from contactline.operators.skew import hot_key_left_join
 from contactline.plans import inputs
 from contactline.plans.enrich import (
     assemble,
@@ -114,8 +115,7 @@ def _mapped(spark, sf_dir) -> DataFrame:
 def _services(spark, sf_dir) -> DataFrame:
     """Numbered valid services, with the customer key."""
     numbered = ig.number_by_key(ig.valid_services(_mapped(spark, sf_dir)), "c_custkey")
-    keys = numbered.select("service_num", "c_custkey")
-    return ig.as_services(numbered).join(keys, "service_num")
+    return ig.as_services(numbered, "c_custkey")
 
 
 def _results(spark, sf_dir, services) -> DataFrame:
@@ -407,8 +407,9 @@ def replay_contacts(spark, sf_dir):
 def domain_reuse(spark, sf_dir):
     """Services that share a site, and the one whose website stands for it."""
     services = _services(spark, sf_dir)
-    located = with_site_key(ws.choose_websites(services, _results(spark, sf_dir, services)))
-    return located.join(sites_of(located), "site_key", "left").select(
+    chosen = ws.choose_websites(services, _results(spark, sf_dir, services))
+    located = materialise(with_site_key(chosen), "located")
+    return hot_key_left_join(located, sites_of(located), ["site_key"], ["service_num"]).select(
         "service_num", "website", "site_key", "base_url"
     )
 

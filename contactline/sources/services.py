@@ -11,9 +11,9 @@ from contactline.operators.ingest import (
     map_headers,
     null_tokens_to_null,
     number_by_file_position,
+    number_by_key,
     valid_services,
 )
-from contactline.runtime import materialise
 
 _CSV = {"header": True, "quote": '"', "escape": '"'}
 
@@ -101,8 +101,9 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unsupported file type {suffix!r}; supported: csv, parquet")
 
 
-def read_services(spark: SparkSession, path: str) -> DataFrame:
-    """Valid rows of a delimited file (or folder of them) with ``service_num`` in file order."""
+def read_services(spark: SparkSession, path: str, order_by: str | None = None) -> DataFrame:
+    """Valid rows of a delimited file (or folder of them) with ``service_num`` in file order, or of
+    Parquet files in the order of the unique column ``order_by``."""
     raw = read_raw(spark, path)
     if raw.isEmpty():
         raise ValueError(f"the input {path!r} is empty")
@@ -110,7 +111,7 @@ def read_services(spark: SparkSession, path: str) -> DataFrame:
     if valid.isEmpty():
         raise ValueError(f"no valid service records in {path!r}")
     if "_file" not in raw.columns:
-        raise ValueError("Parquet rows have no order: number them with number_by_key")
-    # Ids of rows must not change between the two reads of the numbering: write them down first.
-    placed = valid.withColumn("_row", F.monotonically_increasing_id())
-    return number_by_file_position(materialise(placed, "services"))
+        if order_by is None:
+            raise ValueError("Parquet rows have no order: name a column to number them by")
+        return number_by_key(valid, order_by)
+    return number_by_file_position(valid.withColumn("_row", F.monotonically_increasing_id()))

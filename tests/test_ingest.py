@@ -1,6 +1,7 @@
 """Headers, row checks, numbering, and reading delimited files."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from contactline.operators import ingest as ig
 from contactline.operators import websites as ws
@@ -38,8 +39,40 @@ def test_row_checks_and_summary(spark):
 
 def test_number_by_key(spark):
     df = spark.range(0, 1000, 7).repartition(5)
-    got = {r.id: r.n for r in ig.number_by_key(df, "id", "n", width=64).collect()}
+    got = {r.id: r.n for r in ig.number_by_key(df, "id", "n").collect()}
     assert got == {k: i + 1 for i, k in enumerate(range(0, 1000, 7))}
+    far = df.select((F.col("id") * 1_000_000_007 - 10**9).alias("id"))
+    numbered = ig.number_by_key(far, "id", "n")
+    assert [r.n for r in numbered.orderBy("id").collect()] == list(range(1, 144))
+    assert "SinglePartition" not in numbered._jdf.queryExecution().toString()
+    assert ig.number_by_key(df.limit(0), "id", "n").count() == 0
+
+
+def test_parquet_services(spark, tmp_path):
+    rows = [("b", 7), (" ", 1), ("a", 3)]
+    path = str(tmp_path / "s.parquet")
+    spark.createDataFrame(rows, "`Provider Name` string, place int").write.parquet(path)
+    got = read_services(spark, path, order_by="place")
+    assert sorted((r["service_num"], r["Service Name"]) for r in got.collect()) == [(1, "a"), (2, "b")]
+    with pytest.raises(ValueError, match="no order"):
+        read_services(spark, path)
+
+
+def test_a_cluster_must_name_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from contactline.runtime import shared_folder
+
+    def session(master, named=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default=None: named),
+            sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://https://host"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
+    assert shared_folder(session("yarn", "hdfs://host/tmp/")) == "hdfs://host/tmp"
+    assert shared_folder(session("local[4]")) == shared_folder(session("local"))
 
 
 def test_csv_folder(spark, tmp_path):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from contactline.operators.skew import hot_key_left_join, spread_left_join
+from contactline.operators.skew import hot_key_left_join
 
 
 @pytest.fixture(scope="module")
@@ -18,15 +18,35 @@ def sides(spark):
     return left, right, sorted(map(tuple, left.join(right, "key", "left").select("id", "v").collect()))
 
 
-@pytest.mark.parametrize("spread", [1, 8])
-def test_spread(sides, spread):
-    left, right, want = sides
-    got = spread_left_join(left, right, ["key"], ["id"], spread).select("id", "v").collect()
-    assert sorted(map(tuple, got)) == want
-
-
 @pytest.mark.parametrize("shares", [1, 10, 100000])
 def test_hot_keys(sides, shares):
     left, right, want = sides
-    got = hot_key_left_join(left, right, "key", "id", shares).select("id", "v").collect()
+    got = hot_key_left_join(left, right, ["key"], ["id"], shares).select("id", "v").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_a_hot_key_is_dealt_out(sides):
+    left, right, _ = sides
+    joined = hot_key_left_join(left.withColumn("key", F.lit("hot")), right, ["key"], ["id"], 10)
+    assert joined.where("v = -1").count() == 5000
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+
+
+def test_one_site_with_half_of_all_rows(spark):
+    """The largest group that a task gets of the joins of own domains."""
+    from contactline.operators import contacts as ct
+
+    rows = spark.range(8000).select(
+        F.when(F.col("id") % 2 == 0, "hot.org").otherwise(F.concat("id", F.lit(".org"))).alias("site_key"),
+        F.concat(F.lit("m"), "id", F.lit("@hot.org")).alias("email"))
+    domains = rows.select("site_key", F.col("site_key").alias("root_domain")).distinct()
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # else so few rows are put together again
+    try:
+        kept = ct.own_domain_first(ct.flag_own_domain(rows, domains))
+        assert kept.where("site_key = 'hot.org' AND is_own AND kept").count() == 4000
+        sizes = kept.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 3000
+    finally:
+        spark.conf.unset(coalesce)
