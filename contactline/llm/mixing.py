@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from contactline.llm.common import n_words, numbered_whole
 
 #: Documents of one source and size that one task ranks, about.
-BLOCK = 4096
+BLOCK = 512
 #: Hexadecimal digits of a hash that make a number exactly held by a double.
 DIGITS = 13
 
