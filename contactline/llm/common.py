@@ -77,6 +77,12 @@ def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in columns])
 
 
+def packed(df: DataFrame, name: str) -> DataFrame:
+    """``materialise`` for narrow rows that a scan of wide ones leaves: in files of useful size, not
+    one small file for each piece of the scan."""
+    return materialise(df.hint("rebalance"), name)
+
+
 #: Row numbers (8 bytes each) that may be sent to every task.
 BROADCAST_ROWS = 500_000
 
@@ -101,7 +107,7 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Texts are worked on in pieces of so many bytes, or one text if it is longer.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactline.llm.common import (
-    as_bytes, mix, numbered, numbered_whole, only, pieces, restored, word_hashes,
+    as_bytes, mix, numbered, numbered_whole, only, packed, pieces, restored, word_hashes,
 )
 from contactline.runtime import materialise
 
@@ -185,7 +185,7 @@ def tilings(rows: DataFrame, items: DataFrame, least: float) -> DataFrame:
     marks = np.zeros(FILTER_BITS // 8, np.uint8)
     at = np.array([r["bit"] for r in bits], np.int64)
     np.bitwise_or.at(marks, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-    found = materialise(_stretches(rows, marks.tobytes()), "stretches")
+    found = packed(_stretches(rows, marks.tobytes()), "stretches")
     # No more of an item can be tiled than lies under shared seeds.
     under = F.size(F.array_distinct(F.flatten(F.transform(
         F.collect_set("at"), lambda p: F.sequence(p, p + SHORTEST - 1)))))

@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactline.llm.common import as_bytes, bounded_batches, pieces, word_hashes
+from contactline.llm.common import as_bytes, bounded_batches, packed, pieces, word_hashes
 from contactline.runtime import materialise
 
 #: Statistics of a text, in the order in which `statistics` makes them.
@@ -186,7 +186,7 @@ def learn(stats: DataFrame, labels: DataFrame, **how) -> Ensemble:
 
 
 def _stats(docs: DataFrame) -> DataFrame:
-    return materialise(statistics(docs, "doc_id"), "statistics")
+    return packed(statistics(docs, "doc_id"), "statistics")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
