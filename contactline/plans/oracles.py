@@ -682,4 +682,23 @@ SELECT * FROM enriched""",
 WITH {_SITE_BODIES}
 SELECT DISTINCT f.site_key, p.email
 FROM page_found p JOIN fetches f ON p.fetch_id = f.fetch_id WHERE p.ignore_reason IS NULL""",
+    "incremental_sites": f"""
+WITH {_LOCATED}
+SELECT DISTINCT site_key FROM located WHERE site_key IS NOT NULL""",
+    "snapshot_results": f"""WITH {_PAGE_LOCATED},
+{_SITE_BODIES},
+{_WHOLE},
+{_ENRICHED}
+SELECT * EXCLUDE (service_num) FROM enriched""",
+    "page_reader": f"""
+SELECT fetch_id, site_key, requested_url, CAST(attempt AS INTEGER) AS attempt, final_url,
+       CAST(status AS INTEGER) AS status, error, CAST(strlen(html) AS BIGINT) AS html_bytes
+FROM ({in_sql(inputs.SITE_PAGES)}) p""",
+    "written_results": f"""{_FROM_TABLES},
+numbered AS (
+  SELECT 'enriched' AS result, service_num, "Service Name" AS name, "Service Website" AS site FROM enriched
+  UNION ALL SELECT 'success', service_num, "Service Name", "Service Website" FROM enriched WHERE "Status" = 'Success'
+  UNION ALL SELECT 'failed', service_num, "Service Name", "Service Website" FROM enriched WHERE "Status" = 'Failed')
+SELECT result, row_number() OVER (PARTITION BY result ORDER BY service_num) AS position,
+       name AS service_name, nullif(site, '') AS service_website FROM numbered""",
 }

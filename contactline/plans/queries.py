@@ -33,8 +33,9 @@ from contactline.rules import DEFAULT_RULES, MAX_PAGES
 from contactline.runtime import materialise, new_folder
 from contactline.sources import results as rs
 from contactline.sources.results import CSV_WRITE
+from contactline.sources.pages import read_page_fetches, stream_page_fetches
 from contactline.sources.search import search_results
-from contactline.sources.services import read_services
+from contactline.sources.services import read_csv, read_services
 from contactline.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -457,16 +458,74 @@ def enriched_from_pages(spark, sf_dir):
 # ---------------------------------------------------------------- streaming
 
 
+def _page_stream(spark, sf_dir) -> DataFrame:
+    """The page loads as a stream of several batches."""
+    source = new_folder(spark, "stream-source")
+    pages = _site_pages(spark, sf_dir)
+    pages.write.option("maxRecordsPerFile", max(1, pages.count() // 4)).parquet(source)
+    return stream_page_fetches(spark, source, 2)
+
+
 @registered
 def incremental_enrich(spark, sf_dir):
     """Distinct valid addresses per site, from page loads read as a stream."""
-    source = new_folder(spark, "stream-source")
-    _site_pages(spark, sf_dir).repartition(4, "fetch_id").write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    out, checkpoint = new_folder(spark, "stream-out"), new_folder(spark, "stream-checkpoint")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
-    incremental.append_to(
-        incremental.new_site_addresses(stream), out, checkpoint
+    out = new_folder(spark, "stream-out")
+    stream = incremental.site_addresses(_page_stream(spark, sf_dir))
+    incremental.append_new(stream, out, new_folder(spark, "stream-checkpoint")).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+@registered
+def incremental_sites(spark, sf_dir):
+    """Sites in the order in which a stream of services names them, each once."""
+    services = _services(spark, sf_dir)
+    chosen = with_site_key(ws.choose_websites(services, _results(spark, sf_dir, services)))
+    source, out = new_folder(spark, "stream-source"), new_folder(spark, "stream-out")
+    located = materialise(chosen.select("service_num", "site_key"), "located")
+    located.write.option("maxRecordsPerFile", max(1, located.count() // 4)).parquet(source)
+    stream = spark.readStream.schema(located.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    incremental.append_new(
+        incremental.named_sites(stream), out, new_folder(spark, "stream-checkpoint")
     ).awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")
 
+
+@registered
+def snapshot_results(spark, sf_dir):
+    """Result tables of a streamed run: renewed after every second batch, and at the end."""
+    located = materialise(with_site_key(ws.choose_websites(
+        in_spark(spark, sf_dir, inputs.PAGE_SERVICES), in_spark(spark, sf_dir, inputs.PAGE_RESULTS))),
+        "located")
+    out = new_folder(spark, "snapshots")
+    incremental.run_with_snapshots(
+        _page_stream(spark, sf_dir), located, new_folder(spark, "stream-run"), out, 2)
+    return spark.read.parquet(f"{out}/services_enriched")
+
+
+# ---------------------------------------------------------------- readers and sinks
+
+
+@registered
+def page_reader(spark, sf_dir):
+    """Page loads written as Parquet and read back under the reader's schema."""
+    folder = new_folder(spark, "page-fetch")
+    _site_pages(spark, sf_dir).write.parquet(folder)
+    return read_page_fetches(spark, folder).select(
+        "fetch_id", "site_key", "requested_url", "attempt", "final_url", "status", "error",
+        F.octet_length("html").cast("long").alias("html_bytes"),
+    )
+
+
+@registered
+def written_results(spark, sf_dir):
+    """The three result tables written as delimited files and read back, in their order."""
+    folder = new_folder(spark, "results")
+    rs.write_results(materialise(_enriched(spark, sf_dir), "enriched"), folder, "csv")
+    tables = []
+    for name in ("enriched", "success", "failed"):
+        rows = read_csv(spark, f"{folder}/services_{name}").withColumn(
+            "_row", F.monotonically_increasing_id())
+        tables.append(ig.number_by_file_position(rows, "position").select(
+            F.lit(name).alias("result"), "position", F.col("Service Name").alias("service_name"),
+            F.col("Service Website").alias("service_website")))
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])

@@ -2,13 +2,15 @@
 
 Each query has its own checkpoint, so a run that is started again goes on where the last one
 stopped. Batches write to a folder named after the batch, so a repeated batch replaces itself.
+What must be known of earlier batches is read from these folders, not held as stream state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,6 +20,32 @@ from contactline.rules import DEFAULT_RULES, Rules
 from contactline.runtime import materialise
 from contactline.sources.results import write_results
 
+#: Folders per batch into which loads go by site, so that a few sites are read without the rest.
+SITE_BUCKETS = 32
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("site_key"), F.lit(SITE_BUCKETS)).cast("int")
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame | None:
+    """What earlier batches have written, if there is anything."""
+    try:
+        return spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _in_batches(stream: DataFrame, checkpoint: str, save: Callable[[DataFrame, int], None]):
+    return (
+        stream.writeStream.foreachBatch(save)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
 
 def store_fetches(
     page_fetch: DataFrame,
@@ -29,67 +57,108 @@ def store_fetches(
     """Parse new page loads into ``store`` (one folder per batch), then call ``after_batch``."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        parse_pages(batch, rules).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        (
+            parse_pages(batch, rules).withColumn("bucket", _bucket())
+            .write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch_id}")
+        )
         if after_batch is not None:
             after_batch(batch.sparkSession, batch_id)
 
-    return (
-        page_fetch.writeStream.foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _in_batches(page_fetch, checkpoint, save)
 
 
-def write_snapshot(
-    spark: SparkSession, located: DataFrame, store: str, out: str, rules: Rules = DEFAULT_RULES
+def renew_records(
+    spark: SparkSession, located: DataFrame, store: str, records: str, first: int, last: int,
+    rules: Rules = DEFAULT_RULES,
 ) -> None:
-    """The three result tables from all loads stored so far.
-
-    ``located`` are the services with ``website`` and ``site_key``.
+    """Records of the sites that loads of the batches ``first`` to ``last`` belong to, from all
+    their loads, into ``records``. Other sites are neither read nor replayed."""
+    fetches = spark.read.parquet(store)
+    touched = materialise(
+        fetches.where(F.col("batch").between(first, last)).select("site_key", "bucket").distinct(),
+        "touched")
+    buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
+    own = fetches.where(F.col("bucket").isin(buckets)).join(
+        touched.select("site_key"), "site_key", "left_semi").drop("batch", "bucket")
+    sites = sites_of(located).join(touched.select("site_key"), "site_key", "left_semi")
+    replay(sites, own, rules).write.mode("overwrite").parquet(f"{records}/batch={last}")
+
+
+def write_snapshot(spark: SparkSession, located: DataFrame, records: str, out: str) -> None:
+    """The three result tables from the latest record of each site.
+
+    ``located`` are the services with ``website`` and ``site_key``; sites without loads so far have
+    none and are not reachable.
     """
-    fetches = spark.read.parquet(store).drop("batch")
-    result = assemble(located, replay(sites_of(located), fetches, rules))
-    write_results(materialise(result, "snapshot"), out)
-
+    found = spark.read.option("basePath", records).parquet(f"{records}/batch=*")
+    names = [c for c in found.columns if c not in ("site_key", "batch")]
+    latest = found.groupBy("site_key").agg(
+        F.max_by(F.struct(*[F.col(f"`{c}`") for c in names]), "batch").alias("r")
+    ).select("site_key", "r.*")
+    write_results(materialise(assemble(located, latest), "snapshot"), out)
 
-def snapshots_every(
-    n: int, located: DataFrame, store: str, out: str, rules: Rules = DEFAULT_RULES
-) -> Callable[[SparkSession, int], None]:
-    """An ``after_batch`` that renews the result tables after every ``n`` batches."""
 
-    def after_batch(spark: SparkSession, batch_id: int) -> None:
+def run_with_snapshots(
+    page_fetch: DataFrame, located: DataFrame, folder: str, out: str, n: int = 30,
+    rules: Rules = DEFAULT_RULES,
+) -> None:
+    """Parses all new loads and renews the result tables after every ``n`` batches and at the end,
+    also if the stream breaks off. ``folder`` holds loads, records and checkpoint."""
+    spark = page_fetch.sparkSession
+    store, records = f"{folder}/loads", f"{folder}/records"
+    done = _last_batch(spark, records)
+
+    def renew(batch_id: int) -> None:
+        nonlocal done
+        if batch_id > done:
+            renew_records(spark, located, store, records, done + 1, batch_id, rules)
+            done = batch_id
+            write_snapshot(spark, located, records, out)
+
+    def after_batch(_: SparkSession, batch_id: int) -> None:
         if (batch_id + 1) % n == 0:
-            write_snapshot(spark, located, store, out, rules)
+            renew(batch_id)
+
+    try:
+        store_fetches(
+            page_fetch, store, f"{folder}/checkpoint", rules, after_batch).awaitTermination()
+    finally:
+        renew(_last_batch(spark, store))
+
 
-    return after_batch
+def _last_batch(spark: SparkSession, folder: str) -> int:
+    stored = _stored(spark, folder)
+    last = None if stored is None else stored.agg(F.max("batch").alias("b")).first()["b"]
+    return -1 if last is None else last
 
 
-def new_site_addresses(page_fetch: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Streaming (site_key, email) of valid addresses, each pair once over all batches."""
+def site_addresses(page_fetch: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """(site_key, email) of valid addresses of page loads, batch or stream."""
     return (
         page_addresses(parse_pages(page_fetch, rules), rules)
         .where("is_valid")
         .select("site_key", "email")
-        .dropDuplicates(["site_key", "email"])
     )
 
 
-def new_sites(services: DataFrame) -> DataFrame:
-    """Streaming services that name a site for the first time; later ones reuse its record."""
-    return services.where("site_key IS NOT NULL").dropDuplicates(["site_key"])
+def named_sites(services: DataFrame) -> DataFrame:
+    """(site_key) of services that name a site; the first one's record serves the later ones."""
+    return services.where("site_key IS NOT NULL").select("site_key")
 
 
-def append_to(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Write a stream's rows to Parquet, each row once even when the run is started again."""
-    return (
-        stream.writeStream.format("parquet")
-        .option("path", folder)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+def append_new(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write rows that no earlier batch has brought, each once: those of a batch that the folder
+    holds already are left out by a join with it."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        new = batch.distinct()
+        before = _stored(batch.sparkSession, folder)
+        if before is not None:
+            earlier = before.where(F.col("batch") < batch_id).select(*batch.columns)
+            new = new.join(earlier, batch.columns, "left_anti")
+        new.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return _in_batches(stream, checkpoint, save)
 
 
 def sites_with_addresses(pairs: DataFrame) -> DataFrame:

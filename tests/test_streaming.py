@@ -10,6 +10,7 @@ A = [(i, f"s{i % 3}.org", f"https://s{i % 3}.org/{'' if i < 3 else f'p{i}'}", 1,
       f"https://s{i % 3}.org/", 200, f"<p>m{i % 5}@s{i % 3}.org</p>", None) for i in range(9)]
 B = [(20 + i, "s4.org", "https://s4.org/", 1, "https://s4.org/", 200, f"<p>m{i}@s4.org m1@s4.org", None)
      for i in range(2)]
+C = [(40, "s3.org", "https://s3.org/", 1, "https://s3.org/", 200, "<p>info@s3.org</p>", None)]
 
 
 def pages(spark, rows):
@@ -26,14 +27,14 @@ def test_distinct_addresses_over_restarts(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     for rows in (A[:5], A[5:]):
         pages(spark, rows).write.mode("append").parquet(source)
-    run = lambda: inc.append_to(
-        inc.new_site_addresses(stream_page_fetches(spark, source, 1)), out, mark).awaitTermination()
+    run = lambda: inc.append_new(
+        inc.site_addresses(stream_page_fetches(spark, source, 1)), out, mark).awaitTermination()
     run()
-    first = spark.read.parquet(out).collect()
+    first = spark.read.parquet(out).drop("batch").collect()
     pages(spark, A[:2] + B).write.mode("append").parquet(source)
     run()
     run()
-    both = spark.read.parquet(out).collect()
+    both = spark.read.parquet(out).drop("batch").collect()
     want = {(r[1], f"m{r[0] % 5}@{r[1]}") for r in A}
     assert sorted(map(tuple, first)) == sorted(want)
     assert sorted(map(tuple, both)) == sorted(want | {("s4.org", "m0@s4.org"), ("s4.org", "m1@s4.org")})
@@ -45,26 +46,48 @@ def test_new_sites(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     located(spark).coalesce(1).write.parquet(source)
     schema = spark.read.parquet(source).schema
-    stream = lambda: inc.new_sites(spark.readStream.schema(schema).parquet(source))
-    inc.append_to(stream(), out, mark).awaitTermination()
+    stream = lambda: inc.named_sites(spark.readStream.schema(schema).parquet(source))
+    inc.append_new(stream(), out, mark).awaitTermination()
     located(spark).coalesce(1).write.mode("append").parquet(source)
-    inc.append_to(stream(), out, mark).awaitTermination()
+    inc.append_new(stream(), out, mark).awaitTermination()
     assert spark.read.parquet(out).count() == 5
 
 
-def test_snapshots_equal_the_batch_run(spark, tmp_path):
-    source, store, out, mark = (str(tmp_path / n) for n in ("in", "store", "out", "mark"))
+def results(spark, out):
+    return spark.read.parquet(f"{out}/services_enriched").collect()
+
+
+def in_one_run(spark, rows):
     services = located(spark)
-    for rows in (A[:4], A[4:], B):
-        pages(spark, rows).write.mode("append").parquet(source)
-    after = inc.snapshots_every(2, services, store, out)
-    inc.store_fetches(stream_page_fetches(spark, source, 1), store, mark, after_batch=after).awaitTermination()
-    assert spark.read.parquet(f"{out}/services_enriched").count() == 10
-    inc.write_snapshot(spark, services, store, out)
-    got = spark.read.parquet(f"{out}/services_enriched").collect()
     batch = enrich(
         services.select("service_num", "service_name", F.col("website").alias("service_website")),
-        spark.createDataFrame([], "service_num long, rank int, link string"),
-        pages(spark, A + B))
-    assert got == batch.orderBy("service_num").drop("service_num").collect()
-    assert {r["Status"] for r in got} == {"Success", "Failed"}
+        spark.createDataFrame([], "service_num long, rank int, link string"), pages(spark, rows))
+    return batch.orderBy("service_num").drop("service_num").collect()
+
+
+def test_snapshots_equal_the_batch_run(spark, tmp_path, monkeypatch):
+    source, run, out = (str(tmp_path / n) for n in ("in", "run", "out"))
+    services = located(spark)
+    replayed = []
+    whole = inc.renew_records
+
+    def renew(spark_, located_, store, records, first, last, rules):
+        replayed.append((first, last))
+        whole(spark_, located_, store, records, first, last, rules)
+
+    monkeypatch.setattr(inc, "renew_records", renew)
+    stream = lambda: stream_page_fetches(spark, source, 1)
+    for rows in (A[:4], A[4:], B):
+        pages(spark, rows).write.mode("append").parquet(source)
+    inc.run_with_snapshots(stream(), services, run, out, 2)
+    assert replayed == [(0, 1), (2, 2)]  # the last batch has its snapshot too
+    assert results(spark, out) == in_one_run(spark, A + B)
+    pages(spark, C).write.mode("append").parquet(source)
+    inc.run_with_snapshots(stream(), services, run, out, 2)
+    assert replayed[2:] == [(3, 3)]
+    last = spark.read.parquet(f"{run}/records").where("batch = 3")
+    assert [r.site_key for r in last.collect()] == ["s3.org"]  # no other site is replayed
+    got = results(spark, out)
+    assert got == in_one_run(spark, A + B + C)
+    inc.run_with_snapshots(stream(), services, run, out, 2)
+    assert len(replayed) == 3 and results(spark, out) == got
