@@ -1,11 +1,15 @@
 """Page parsing: what is visible, what is a link, where addresses are found."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from contactline.functions.html import read_page
 from contactline.operators import crawl as cr
 from contactline.operators import pages as pg
+from contactline.rules import ADDRESS_PATTERN
 from contactline.sources.pages import PAGE_FETCH
 
 BASE = "https://oakcare.co.uk/"
@@ -82,9 +86,9 @@ def test_candidates(spark):
     ]
 
 
-def test_candidates_that_cannot_be_reached_are_left_out(spark):
-    html = "".join(f'<a href="/team{i}">t</a>' for i in range(30))
-    assert plan(spark, html) == [f"{BASE}team{i}" for i in range(18)]
+def test_all_candidates_are_kept(spark):
+    html = "".join(f'<a href="/team{i}">t</a>' for i in range(40))
+    assert plan(spark, html) == [*(f"{BASE}team{i}" for i in range(40)), *COMMON]
 
 
 def test_a_broken_link_ends_the_search(spark):
@@ -97,3 +101,23 @@ def test_page_report(spark):
     row, = pg.page_report(pg.page_addresses(parsed), ["fetch_id"]).collect()
     assert row.found == "a@x.org, b@x.org" and row.n_found == 2 and row.n_ignored == 2
     assert "'noreply@x.org' (Automated no-reply address)" in row.ignored
+
+
+def test_nested_priority_parts_stay_linear():
+    page = read_page("<main>info@x.org ." * 4000)  # 64 KB
+    assert len(page.priority_once) < 1_000_000
+    rnd = random.Random(2)
+    parts = ["<main>", "</main>", "<footer>", "</footer>", "info@", "a [at]", " x.org ", ". b", "(dot) uk", "c"]
+    for _ in range(300):
+        page = read_page("".join(rnd.choice(parts) for _ in range(12)))
+        assert plain_and_spelled(page.priority_text) <= plain_and_spelled(page.priority_once)
+        found = set(re.findall(ADDRESS_PATTERN, page.priority_once))
+        assert found <= set(re.findall(ADDRESS_PATTERN, page.priority_text))
+
+
+def plain_and_spelled(text):
+    """Addresses of a text by the pattern, as written and after the spellings are resolved."""
+    at = re.sub(r"([\w.%+-]+)\s*(?:\[\s*at\s*\]|\(\s*at\s*\))\s*([\w.%+\-\s\[\]()]+)", r"\1@\2", text)
+    dots = re.sub(r"\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\))\s*", ".", at)
+    spelled = re.sub(r"\s*([@.])\s*", r"\1", dots)
+    return set(re.findall(ADDRESS_PATTERN, text)) | set(re.findall(ADDRESS_PATTERN, spelled))
