@@ -196,3 +196,46 @@ def digest(windows: DataFrame) -> DataFrame:
         F.sha2(joined("learnt"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+def sql(budget: int = 1024, history: int = 128, overhead: int = 4) -> str:
+    """DuckDB SQL for the rows of ``digest`` over ``conversations`` and the odd conversation."""
+    odd = r"\### Assistant: </turn> ok"
+    words = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
+    quoted = lambda c: rf"len(regexp_replace({c}, '(</?\\*)turn', '\1\\turn', 'g'))"
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{odd}' UNION ALL SELECT -7, 1, 'assistant', '{odd}'),
+t AS (SELECT *, {words} + {overhead} AS tokens FROM c),
+n AS (SELECT *, row_number() OVER w - 1 AS n, sum(tokens) OVER w - tokens AS a FROM t
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+                   ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT conv_id, arg_min({{'n': n, 'role': role, 'text': text, 'tokens': tokens}}, n) AS sys
+      FROM n WHERE role = 'system' GROUP BY conv_id),
+k AS (SELECT n.*, sys, greatest(floor(({budget - history} - least(coalesce(sys.tokens, 0), {budget // 4}))
+                                / 2), 1)::BIGINT AS cell
+      FROM n LEFT JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id),
+o AS (SELECT *, floor(a / cell)::BIGINT * 2 + (tokens > cell)::INT AS own FROM k),
+starts AS (SELECT conv_id, own AS win, min(a) AS start FROM o GROUP BY conv_id, own),
+p AS (SELECT o.*, win, own = win AS new FROM starts JOIN o
+      ON starts.conv_id IS NOT DISTINCT FROM o.conv_id
+     AND (own = win OR own < win AND a >= start - {history})),
+again AS (SELECT conv_id, win, any_value(sys) AS sys FROM p WHERE sys IS NOT NULL
+          GROUP BY conv_id, win HAVING NOT bool_or(n = sys.n)),
+shown AS (
+  SELECT conv_id, win, new, role, text, tokens FROM p
+  UNION ALL SELECT conv_id, win, false, sys.role, sys.text, sys.tokens FROM again),
+sizes AS (
+  SELECT conv_id, count(DISTINCT win) AS n_windows, sum(tokens)::BIGINT AS n_tokens,
+         sum(CASE WHEN new THEN {len(NEW)} ELSE {len(AGAIN)} END + {len(TEXT) + len(END)}
+             + {quoted('role')} + {quoted('text')})::BIGINT AS formatted_chars
+  FROM shown GROUP BY conv_id),
+said AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS all_said,
+         coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS learnt
+  FROM n GROUP BY conv_id)
+SELECT d.conv_id, n_turns, n_windows, n_tokens, sha256(all_said) AS turns_sha256,
+       length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars
+FROM said d JOIN sizes z ON d.conv_id IS NOT DISTINCT FROM z.conv_id"""

@@ -217,3 +217,22 @@ def link(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         classes, (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding"))
     ).select("row", "n_links", "component")
     return named(rows, plain, "vec_id", linked, "n_links")
+
+
+#: DuckDB SQL for the rows of ``link`` over ``embeddings``: all pairs, and a walk along the links.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v
+      WHERE label IS NOT NULL AND len(e) > 0
+        AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE a.norm > 0 AND b.norm > 0
+        AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+r(vec_id, c) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.vec_id AND r.c < l.y),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+c AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept
+FROM v JOIN c ON v.vec_id = c.vec_id LEFT JOIN n ON n.x = v.vec_id"""

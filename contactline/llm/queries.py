@@ -91,4 +91,10 @@ QUERIES = {
     "op10_vector_links": op10_vector_links,
 }
 
-ORACLES = {"op9_mixture": mixing.SQL}
+ORACLES = {
+    "op2_chat_windows": chat.sql(),
+    "op6_archives": warc.SQL,
+    "op8_repeated_passages": suffixes.SQL,
+    "op9_mixture": mixing.SQL,
+    "op10_vector_links": embeddings.SQL,
+}

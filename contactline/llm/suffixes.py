@@ -486,3 +486,26 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         left = left.withColumn("n_chars", F.length("text").cast(kind))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: DuckDB SQL for the rows of ``remove`` over ``documents``: every string of LENGTH bytes, in
+#: hexadecimal digits, against all others.
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, {2 * LENGTH})) AS k
+      FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - {LENGTH - 1})) AS i FROM d)),
+a AS (SELECT doc_id, i FROM (SELECT doc_id, i, min((doc_id, i)) OVER (PARTITION BY k) AS first FROM w)
+      WHERE (doc_id, i) <> first),
+g AS (SELECT doc_id, i, i - {LENGTH} > coalesce(lag(i) OVER o, -{LENGTH} - 1) AS new FROM a
+      WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, min(i) AS lo, max(i) + {LENGTH} AS hi FROM r GROUP BY doc_id, run),
+e AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS after
+      FROM s),
+c AS (SELECT e.doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last,
+             string_agg(substr(x, 2 * after + 1, 2 * (lo - after)), '' ORDER BY lo) AS kept
+      FROM e JOIN d ON e.doc_id = d.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id"""

@@ -246,3 +246,16 @@ def _joined(
         F.sort_array(F.collect_list(F.struct("at", "value"))).alias("all"))
     joined = pieces.select(F.array_join(F.transform("all", lambda p: p["value"]), MAGIC).alias("value"))
     return joined.select(*_parsed("value")).where("read is not null").select("head", "read")
+
+
+#: DuckDB SQL for what ``pages`` give when they are written and read back.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, sha1(html) AS x, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(x, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d"""

@@ -228,8 +228,9 @@ def test_repeated_rows_are_responses(spark):
 # ---- mixing
 
 
-def test_mixture_against_sql(spark):
-    assert differences(queries.op9_mixture(spark, SF), connect(SF), mixing.SQL) == []
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_queries_against_sql(spark, name):
+    assert differences(queries.QUERIES[name](spark, SF), connect(SF), queries.ORACLES[name]) == []
 
 
 def test_targets_and_copies(spark):
