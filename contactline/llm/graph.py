@@ -7,17 +7,25 @@ from pyspark.sql import functions as F
 
 from contactline.runtime import materialise
 
+#: Narrow rows of a file, about.
+ROWS = 250_000
 
-def _roots(parents: DataFrame) -> DataFrame:
+
+def written(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """``materialise`` for narrow tables of at most about ``rows`` rows, in as many files as these
+    need: loops write many of them."""
+    return materialise(df.coalesce(1 + rows // ROWS), name)
+
+
+def _roots(parents: DataFrame, rows: int) -> DataFrame:
     """Pointer jumping: ``node, parent`` of a forest to ``node, parent`` with the root as parent."""
     while True:
         above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
-        joined = materialise(
+        joined = written(
             parents.join(above, "parent", "left").select(
                 "node", F.coalesce("_up", "parent").alias("parent"),
                 F.col("_up").isNotNull().alias("moved")),
-            "parents",
-        )
+            "parents", rows)
         parents = joined.select("node", "parent")
         if joined.where("moved").isEmpty():
             return parents
@@ -33,20 +41,23 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct(), "edges")
-    labels = materialise(
-        edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        .select("node", F.col("node").alias("component")), "labels")
-    while not edges.isEmpty():
+    rows = edges.count()
+    labels = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().select(
+        "node", F.col("node").alias("component"))
+    while rows:
         hooks = edges.groupBy("u").agg(F.min("v").alias("parent"))
-        trees = _roots(materialise(hooks.select(F.col("u").alias("node"), "parent"), "hooks"))
-        at = lambda c: trees.select(F.col("node").alias(c), F.col("parent").alias(f"_{c}"))
-        labels = materialise(
+        trees = _roots(
+            written(hooks.select(F.col("u").alias("node"), "parent"), "hooks", rows), rows)
+        at = lambda c: trees.select(F.col("node").alias(c), F.col("parent").alias(f"_{c}"))  # noqa: E731,B023
+        labels = written(
             labels.join(at("component"), "component", "left").select(
-                "node", F.coalesce("_component", "component").alias("component")), "labels")
+                "node", F.coalesce("_component", "component").alias("component")), "labels", 2 * rows)
         moved = edges.join(at("u"), "u", "left").select(
             F.coalesce("_u", "u").alias("u"), "v").join(at("v"), "v", "left").select(
             "u", F.coalesce("_v", "v").alias("v"))
-        edges = materialise(
+        edges = written(
             moved.where("u <> v").select(
-                F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+                F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
+            "edges", rows)
+        rows = edges.count()
     return labels

@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactline.llm.common import (
-    BROADCAST_ROWS, as_bytes, mix, named, numbered, numbered_whole, only, pieces, restored,
+    BROADCAST_ROWS, as_bytes, mix, named, numbered, numbered_whole, only, packed, pieces, restored,
     word_hashes,
 )
 from contactline.llm.embeddings import forest
-from contactline.llm.graph import components
+from contactline.llm.graph import components, written
 from contactline.runtime import materialise
 
 #: Hash functions: BANDS of ROWS. A pair at 0.8 shares no band with a chance of 3e-6.
@@ -35,8 +35,8 @@ HASHES = BANDS * ROWS
 BITS = 4
 #: Estimates may be this much too low (six standard deviations at 0.8).
 SLACK = 0.2
-#: Rounds of pivots before the blocks, and texts of a block.
-ROUNDS, BLOCK = 3, 64
+#: Rounds of pivots before the blocks, and shingles and texts of a block, about.
+ROUNDS, BLOCK, BLOCK_TEXTS = 2, 150_000, 256
 
 _U = np.uint64
 _rng = np.random.default_rng(97)
@@ -152,21 +152,26 @@ def _similar(common: Column, a: Column, b: Column, percent: int) -> Column:
     return common * 100 >= (a + b - common) * percent
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``u, v`` that the full sets confirm, after a look at sizes and signatures."""
+def _confirmed(
+    pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, rows: int
+) -> DataFrame:
+    """Of pairs of rows ``u, v`` of the components ``a, b`` those that the full sets confirm, after
+    a look at sizes and signatures: ``u, v``, the components."""
     sign = lambda c: nodes.select(
         F.col("row").alias(c), F.col("signature").alias(f"{c}_s"), F.col("n_shingles").alias(f"{c}_n"))
-    near = pairs.join(sign("u"), "u").join(sign("v"), "v")
     sizes = F.least("u_n", "v_n") * 100 >= F.greatest("u_n", "v_n") * percent
-    near = materialise(
-        near.where(sizes & (estimate(F.col("u_s"), F.col("v_s")) >= percent / 100 - SLACK))
-        .select("u", "v", "u_n", "v_n"), "near")
-    of = lambda c: only(sets, materialise(near.select(F.col(c).alias("row")).distinct(), "ids")).select(
-        F.col("row").alias(c), F.col("shingles").alias(f"{c}_x"))
+    near = written(
+        pairs.join(sign("u"), "u").join(sign("v"), "v")
+        .where(sizes & (estimate(F.col("u_s"), F.col("v_s")) >= percent / 100 - SLACK))
+        .select("u", "v", "a", "b", "u_n", "v_n"), "near", rows)
+    wanted = near.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    own = only(sets, wanted)
+    of = lambda c: own.select(F.col("row").alias(c), F.col("shingles").alias(f"{c}_x"))
     common = F.size(F.array_intersect("u_x", "v_x"))
     return materialise(
         near.join(of("u"), "u").join(of("v"), "v").where(
-            _similar(common, F.col("u_n"), F.col("v_n"), percent)).select("u", "v"), "links")
+            _similar(common, F.col("u_n"), F.col("v_n"), percent))
+        .select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -188,39 +193,45 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _join_blocks(table: pa.Table, percent: int) -> pa.Table:
-    """Links ``u, v`` between components in a pair of blocks, one tree for each."""
+    """Links ``u, v`` between components that texts in a pair of blocks join, one tree each."""
+    table = table.combine_chunks()
     row, comp = table.column("row").to_numpy(), table.column("component").to_numpy()
-    if len(set(comp.tolist())) < 2:
-        return pa.table({"u": row[:0], "v": row[:0]})
-    sets = [np.array(s, np.int64) for s in table.column("shingles").to_pylist()]
-    size = np.array([len(s) for s in sets])
+    lists = table.column("shingles").chunk(0)
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    size = np.diff(ends)
     common = _common(sets)
     linked = common * 100 >= (size[:, None] + size[None, :] - common) * percent
     linked |= comp[:, None] == comp[None, :]
-    order = np.argsort(row, kind="stable")
-    tree = np.empty(len(row), np.int64)
-    tree[order] = row[order][forest(linked[np.ix_(order, order)])]
-    new = tree != row
-    return pa.table({"u": row[new], "v": tree[new]})
-
-
-def _rest(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join components inside buckets: every pair of blocks of a bucket is a group, but
-    for pairs of blocks of one and the same component."""
-    counted = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # Members of a component are dealt out in runs, so that many blocks have one component only.
-    order = F.pmod(F.xxhash64("component", F.pmod(F.xxhash64("row"), "blocks")), "blocks").cast("int")
+    to = comp[forest(linked)]
+    new = to != comp
+    edges = np.unique(np.stack([comp[new], to[new]], 1), axis=0)
+    return pa.table({"u": edges[:, 0], "v": edges[:, 1]})
+
+
+def _rest(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``u, v`` between components that meet in a bucket. The members of a bucket's largest component meet
+    all others, the others also each other, in blocks: every pair of blocks is a group."""
+    of_comp = buckets.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = of_comp.groupBy("bucket").agg(
+        F.max(F.struct("n", "component"))["component"].alias("largest"))
     placed = materialise(
-        buckets.join(counted, "bucket").withColumn("block", order), "placed")
-    span = placed.groupBy("bucket", "block").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"))
-    a = span.select("bucket", F.col("block").alias("i"), "low", "high")
-    b = span.select("bucket", F.col("block").alias("j"), F.col("low").alias("low2"),
-                    F.col("high").alias("high2"))
-    pairs = a.join(b, "bucket").where(
-        "i <= j and least(low, low2) < greatest(high, high2)").select("bucket", "i", "j")
-    sides = pairs.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    dealt = placed.join(sides, ["bucket", "block"]).select("bucket", "i", "j", "row", "component")
+        buckets.join(largest, "bucket").join(nodes.select("row", "n_shingles"), "row")
+        .withColumn("other", F.col("component") != F.col("largest")), "placed")
+    of = lambda other, what: F.sum(F.when(F.col("other") == other, what).otherwise(0))
+    blocks = lambda other: F.ceil(F.greatest(
+        of(other, F.col("n_shingles")) / BLOCK, of(other, F.lit(1)) / BLOCK_TEXTS)).cast("int")
+    counted = placed.groupBy("bucket").agg(blocks(True).alias("others"), blocks(False).alias("same"))
+    spot = F.xxhash64("row")
+    block = F.when(F.col("other"), F.pmod(spot, "others")).otherwise(
+        F.col("others") + F.pmod(spot, F.greatest("same", F.lit(1))))
+    last = F.when(F.col("other"), F.col("others") + F.col("same")).otherwise(F.col("others")) - 1
+    dealt = (
+        placed.join(counted, "bucket").withColumn("block", block.cast("int"))
+        .withColumn("meets", F.explode(F.sequence(F.lit(0), last)))
+        .select("bucket", F.least("block", "meets").alias("i"), F.greatest("block", "meets").alias("j"),
+                "row", "component")
+    )
     return dealt.join(sets, "row").groupBy("bucket", "i", "j").applyInArrow(
         lambda table: _join_blocks(table, percent), "u long, v long")
 
@@ -241,40 +252,41 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return bands.join(once, "bucket", "left_semi").select("bucket", "row", F.col("row").alias("component"))
 
 
-def _relabelled(buckets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    comps = components(links)
-    return comps, materialise(
-        buckets.drop("component").join(comps.withColumnRenamed("node", "row"), "row", "left").select(
-            "bucket", "row", F.coalesce("component", "row").alias("component")), "buckets")
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``row, component`` after links between components."""
+    joined = components(links).select(
+        F.col("node").alias("component"), F.col("component").alias("_to"))
+    return written(
+        labels.join(joined, "component", "left").select(
+            "row", F.coalesce("_to", "component").alias("component")), "labels", labels.count())
 
 
 def _round(
-    buckets: DataFrame, turn: int, links: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compares each bucket's members with a pivot, which then leaves the bucket. Each member first
-    tries the pivot that it meets most often, the others if that left them apart."""
-    rank = F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row", "component")
-    chosen = materialise(
-        buckets.groupBy("bucket").agg(F.min(rank).alias("p"))
-        .select("bucket", F.col("p.row").alias("pivot")), "pivots")
-    pairs = materialise(
-        buckets.join(chosen, "bucket").where("row <> pivot").groupBy("row", "pivot").agg(
-            F.count("*").alias("n")), "pairs")
+    buckets: DataFrame, turn: int, labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """Compares each bucket's members with a pivot of another component; the pivot then leaves the
+    bucket. In the first round each member tries the pivot that it meets most often, and the others
+    only if that left them apart."""
+    chosen = buckets.groupBy("bucket").agg(
+        F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row")).alias("p")
+    ).select("bucket", F.col("p.row").alias("pivot"))
+    rows = buckets.count()
+    met = written(buckets.join(chosen, "bucket").where("row <> pivot"), "met", rows)
+    pairs = written(met.groupBy("row", "pivot").agg(F.count("*").alias("n")), "pairs", rows)
     best = pairs.groupBy("row").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("pivot"))
-    comps = None
-    for some in (best, pairs):
-        if comps is not None:  # of the others, those that are still apart
-            at = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))  # noqa: E731,B023
-            some = some.join(at("row"), "row", "left").join(at("pivot"), "pivot", "left").where(
-                F.coalesce("row_c", "row") != F.coalesce("pivot_c", "pivot"))
-        one = some.select(F.greatest("row", "pivot").alias("u"), F.least("row", "pivot").alias("v"))
-        links = links.union(_confirmed(one.distinct(), nodes, sets, percent))
-        comps, buckets = _relabelled(buckets, links)
-    left = buckets.join(chosen, "bucket").where("row <> pivot").drop("pivot")
+    for some in (best, pairs) if turn == 0 else (pairs,):
+        at = lambda c, to: labels.select(F.col("row").alias(c), F.col("component").alias(to))  # noqa: E731,B023
+        apart = some.join(at("row", "a"), "row").join(at("pivot", "b"), "pivot").where("a <> b")
+        links = _confirmed(
+            apart.select(F.col("row").alias("u"), F.col("pivot").alias("v"), "a", "b"), nodes, sets,
+            percent, rows)
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+    left = met.drop("pivot", "component").join(labels, "row")
     several = left.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return materialise(
-        left.join(several.select("bucket"), "bucket", "left_semi"), "buckets"), links, comps
+    return written(
+        left.join(several.select("bucket"), "bucket", "left_semi"), "buckets", rows), labels
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -293,7 +305,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def near_components(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """``row, n_shingles, component`` (a row) from ``row, text`` with unique rows."""
-    sketch = materialise(sketches(rows, size), "sketches")
+    sketch = packed(sketches(rows, size), "sketches")
     same = ["s1", "s2", "n_shingles"]
     classes = materialise(
         sketch.where("n_shingles > 0").groupBy(*same).agg(
@@ -303,17 +315,15 @@ def near_components(rows: DataFrame, size: int, percent: int) -> DataFrame:
     buckets = materialise(_buckets(classes), "buckets")
     wanted = materialise(buckets.select("row").distinct(), "ids")
     sets = materialise(shingle_sets(only(rows, wanted), size), "sets")
-    links = rows.sparkSession.createDataFrame([], "u long, v long")
-    comps = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    labels = wanted.select("row", F.col("row").alias("component"))
     for turn in range(ROUNDS):
         if buckets.isEmpty():
             break
-        buckets, links, comps = _round(buckets, turn, links, nodes, sets, percent)
+        buckets, labels = _round(buckets, turn, labels, nodes, sets, percent)
     if not buckets.isEmpty():
-        links = links.union(materialise(_rest(buckets, sets, percent), "links"))
-        comps = components(links)
+        labels = _merged(labels, materialise(_rest(buckets, nodes, sets, percent), "links"))
     of_class = materialise(
-        classes.join(comps.withColumnRenamed("node", "row"), "row", "left").select(
+        classes.join(labels, "row", "left").select(
             *same, F.coalesce("component", "row").alias("component")), "class_components")
     return sketch.select("row", *same).join(of_class, same, "left").select(
         "row", "n_shingles", "component")
