@@ -11,9 +11,7 @@ from contactline.rules import (
     ADDRESS_PATTERN,
     ADDRESS_STRIP,
     CATEGORIES,
-    CATEGORY_WORDS,
     DEFAULT_RULES,
-    INFO_PREFIX,
     Rules,
     longest_first,
 )
@@ -173,12 +171,13 @@ def _reason(email: Column, user: Column, domain: Column, rules: Rules) -> Column
     )
 
 
-def category(address: Column) -> Column:
+def category(address: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """Category of an address by its local part."""
     def by_words(user: Column) -> Column:
         steps = F
-        for name, words in CATEGORY_WORDS.items():
-            steps = steps.when(user.rlike(any_of(words)), name)
-        return steps.when(user.startswith(INFO_PREFIX), CATEGORIES[4]).otherwise(CATEGORIES[5])
+        for name, words in rules.category_words:
+            if words:
+                steps = steps.when(user.rlike(any_of(words)), name)
+        return steps.when(user.startswith(rules.info_prefix), CATEGORIES[4]).otherwise(CATEGORIES[5])
 
     return once(local_part(F.lower(address)), by_words)

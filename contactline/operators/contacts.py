@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from contactline.functions.addresses import category, domain_part
 from contactline.functions.urls import host_or_first_segment, root_domain
 from contactline.operators.skew import hot_key_left_join
-from contactline.rules import CATEGORIES, FAILED, FAILURE_REASON, REASON_NO_ADDRESS, STATUS, SUCCESS
+from contactline.rules import (
+    CATEGORIES,
+    DEFAULT_RULES,
+    FAILED,
+    FAILURE_REASON,
+    REASON_NO_ADDRESS,
+    STATUS,
+    SUCCESS,
+    Rules,
+)
 from contactline.runtime import materialise
 
 def site_domains(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -21,12 +30,14 @@ def site_domains(pages: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def flag_own_domain(addresses: DataFrame, domains: DataFrame) -> DataFrame:
+def flag_own_domain(
+    addresses: DataFrame, domains: DataFrame, rules: Rules = DEFAULT_RULES
+) -> DataFrame:
     """Distinct (site_key, email) with ``category``, ``root_domain`` and ``is_own``."""
     distinct = addresses.select("site_key", "email").distinct()
     email = F.col("email")
     labelled = materialise(distinct.withColumns(
-        {"category": category(email), "root_domain": root_domain(domain_part(email))}
+        {"category": category(email, rules), "root_domain": root_domain(domain_part(email))}
     ), "labelled")
     own = domains.select("site_key", "root_domain").distinct().withColumn("_own", F.lit(True))
     return (
@@ -112,7 +123,9 @@ def all_categories_found() -> Column:
     return filled
 
 
-def first_complete_page(addresses: DataFrame, domains: DataFrame) -> DataFrame:
+def first_complete_page(
+    addresses: DataFrame, domains: DataFrame, rules: Rules = DEFAULT_RULES
+) -> DataFrame:
     """(site_key, last_seq): the first page after which all six categories are filled, if any.
 
     ``addresses`` is (site_key, page_seq, email) of valid addresses and ``domains`` is (site_key,
@@ -124,7 +137,7 @@ def first_complete_page(addresses: DataFrame, domains: DataFrame) -> DataFrame:
     email = F.col("email")
     # First pages by category and domain: what is joined does not grow with a site's addresses.
     rows = addresses.groupBy(
-        "site_key", category(email).alias("category"),
+        "site_key", category(email, rules).alias("category"),
         root_domain(domain_part(email)).alias("root_domain"),
     ).agg(F.min("page_seq").alias("page_seq")).join(domains, ["site_key", "root_domain"], "left")
     own_from = F.when(F.col("first_seq").isNotNull(), F.greatest("page_seq", "first_seq"))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from contactline.functions.text import absent_to_null, strip
 from contactline.rules import (
-    COLUMN_ALIASES,
+    DEFAULT_RULES,
     NULL_TOKENS,
     POSTCODE,
     SERVICE_NAME,
     SERVICE_WEBSITE,
+    Rules,
 )
 from contactline.runtime import materialise
 
@@ -23,10 +24,10 @@ def normal_header(name: str) -> str:
     return re.sub(r"\s+", " ", str(name).lower().strip().replace("_", " "))
 
 
-def header_mapping(columns: list[str]) -> dict[str, str]:
+def header_mapping(columns: list[str], rules: Rules = DEFAULT_RULES) -> dict[str, str]:
     """Original header → canonical name. The first fitting column of the file is taken."""
     mapping: dict[str, str] = {}
-    for canonical, aliases in COLUMN_ALIASES.items():
+    for canonical, aliases in rules.column_aliases:
         # Equal without blanks covers equal with them.
         accepted = {normal_header(a).replace(" ", "") for a in aliases}
         fitting = (
@@ -39,14 +40,14 @@ def header_mapping(columns: list[str]) -> dict[str, str]:
     if SERVICE_NAME not in mapping.values():
         raise ValueError(
             f"no service name column among {list(columns)}; "
-            f"accepted: {list(COLUMN_ALIASES[SERVICE_NAME])}"
+            f"accepted: {list(dict(rules.column_aliases)[SERVICE_NAME])}"
         )
     return mapping
 
 
-def map_headers(df: DataFrame) -> DataFrame:
+def map_headers(df: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Rename known columns to their canonical names; a later column of such a name is dropped."""
-    mapping = header_mapping(df.columns)
+    mapping = header_mapping(df.columns, rules)
     taken = set(mapping.values())
     return df.select(
         *(

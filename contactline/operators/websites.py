@@ -48,13 +48,16 @@ def without_listed_hosts(df: DataFrame, url: str, blocklist: DataFrame) -> DataF
 
 
 def choose_websites(
-    services: DataFrame, results: DataFrame, rules: Rules = DEFAULT_RULES
+    services: DataFrame, results: DataFrame, rules: Rules = DEFAULT_RULES,
+    blocklist: DataFrame | None = None,
 ) -> DataFrame:
     """Services with a ``website`` column; null where none is given and none was found. Only results
     of services without one are looked at."""
     given = absent_to_null(F.col("service_website"))
     searched = services.where(given.isNull()).select("service_num")
     wanted = results.join(searched, "service_num", "left_semi")
+    if blocklist is not None:
+        wanted = without_listed_hosts(wanted, "link", blocklist)
     return (
         services.join(first_allowed_result(wanted, rules), "service_num", "left")
         .withColumn("website", F.coalesce(given, "found_website"))

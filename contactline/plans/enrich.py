@@ -57,7 +57,7 @@ def replay(
         visited, addresses, domains = until_complete(visited, fetches, rules)
     else:
         addresses, domains = shown_addresses(visited, fetches, rules)
-    flagged = ct.flag_own_domain(addresses, domains)
+    flagged = ct.flag_own_domain(addresses, domains, rules)
     return ct.site_records(cr.site_reasons(visited, homes), ct.contacts_by_site(flagged))
 
 
@@ -104,7 +104,7 @@ def until_complete(
     """Visited pages, valid addresses and own domains, cut after the page that fills all
     categories."""
     addresses, domains = shown_addresses(visited, fetches, rules)
-    last = ct.first_complete_page(addresses, domains)
+    last = ct.first_complete_page(addresses, domains, rules)
 
     def cut(df: DataFrame, seq: str) -> DataFrame:
         return (
@@ -141,15 +141,18 @@ def enrich(
     page_fetch: DataFrame,
     rules: Rules = DEFAULT_RULES,
     site_key: str = "root_domain",
+    blocklist: DataFrame | None = None,
 ) -> DataFrame:
     """The whole run: (service_num, ten result columns), one row per service.
 
     services: service_num, service_name, service_website, postcode
     search_results: service_num, rank, link
     page_fetch: see ``sources.pages.PAGE_FETCH``
+    blocklist: ``domain``, hosts that are never a found website, next to those of the rules
     """
     located = materialise(
-        with_site_key(choose_websites(services, search_results, rules), site_key), "located"
+        with_site_key(choose_websites(services, search_results, rules, blocklist), site_key),
+        "located"
     )
     fetches = materialise(parse_pages(page_fetch, rules), "fetches")
     return assemble(located, replay(sites_of(located), fetches, rules))

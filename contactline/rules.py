@@ -214,6 +214,10 @@ class Rules:
     technical_domains: tuple[str, ...] = TECHNICAL_DOMAINS
     regulator_domains: tuple[str, ...] = REGULATOR_DOMAINS
     government_suffixes: tuple[str, ...] = GOVERNMENT_SUFFIXES
+    category_words: tuple[tuple[str, tuple[str, ...]], ...] = tuple(CATEGORY_WORDS.items())
+    info_prefix: str = INFO_PREFIX
+    column_aliases: tuple[tuple[str, tuple[str, ...]], ...] = tuple(
+        (name, tuple(aliases)) for name, aliases in COLUMN_ALIASES.items())
 
 
 DEFAULT_RULES = Rules()

@@ -267,3 +267,18 @@ def test_page_table_round_trip(spark, tmp_path):
     path = str(tmp_path / "pages")
     spark.createDataFrame([load(0)], PAGE_FETCH).write.parquet(path)
     assert read_page_fetches(spark, path).collect() == [load(0)]
+
+
+def test_rules_and_blocklists_of_a_run(spark):
+    services = spark.createDataFrame(
+        [(1, "a", None, None), (2, "b", None, None)],
+        "service_num long, service_name string, service_website string, postcode string")
+    found = spark.createDataFrame(
+        [(1, 1, "https://www.portal.org/a"), (1, 2, f"{HOME}/x"), (2, 1, "https://portal.org/b")],
+        "service_num long, rank int, link string")
+    loads = spark.createDataFrame([load(0, html="matron@oakcare.co.uk")], PAGE_FETCH)
+    rules = Rules(category_words=(("Manager Email", ("matron",)),), info_prefix="x")
+    listed = spark.createDataFrame([("portal.org",)], "domain string")
+    rows = {r["service_num"]: r for r in enrich(services, found, loads, rules, blocklist=listed).collect()}
+    assert rows[1]["Service Website"] == f"{HOME}/" and rows[1]["Manager Email"] == "matron@oakcare.co.uk"
+    assert rows[2]["Failure Reason"] == "Official website not found"
