@@ -29,7 +29,9 @@ LENGTH, GRAM = 100, 32
 SAMPLED = 64
 #: Anchors, and segments, that a group holds, about; anchors above the first number are hot, and so
 #: many of them may be sent to every task.
-ANCHORS, SEGMENTS, MOST_HOT = 500_000, 8_000, 500_000
+ANCHORS, SEGMENTS, MOST_HOT = 250_000, 8_000, 500_000
+#: Segments that a task holds before it deals them out.
+HELD = 200_000
 
 _U = np.uint64
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -159,7 +161,7 @@ def _occurrences(rows: DataFrame, groups: int, hot: np.ndarray) -> DataFrame:
                 anchor, content, text, at, n = segments(texts[a:b])
                 held.append((anchor, content, numbers[a:b][text], at, n))
                 many += len(anchor)
-                if many > 2 * ANCHORS:
+                if many > HELD:
                     yield from dealt(held)
                     held, many = [], 0
         if many:
@@ -187,7 +189,7 @@ def _load(rows: DataFrame) -> tuple[int, np.ndarray]:
         sample.mapInArrow(per_batch, "anchor long, n long").groupBy("anchor").agg(
             F.sum("n").alias("n")), "anchor_counts")
     total = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) * SAMPLED
-    most = max(ANCHORS // 8, total // MOST_HOT) / SAMPLED
+    most = max(ANCHORS // 4, total // MOST_HOT) / SAMPLED
     hot = [r["anchor"] for r in counts.where(F.col("n") > most).select("anchor").collect()]
     return total, np.array(hot, np.int64).view(np.uint64)
 
