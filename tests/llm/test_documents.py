@@ -72,7 +72,7 @@ def test_blocks_join_what_pivots_leave(spark, monkeypatch):
         texts.append(" ".join(w))
     _, comp = near_expected(texts, 2)
     monkeypatch.setattr(minhash, "ROUNDS", 0)
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 600)
     found = minhash.near_duplicates(docs_of(spark, texts), 2).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == comp
 
@@ -138,7 +138,7 @@ def test_repeats_of_hot_anchors(spark, monkeypatch):
 
 def test_load_finds_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SAMPLED", 1)
-    monkeypatch.setattr(suffixes, "ANCHORS", 80)
+    monkeypatch.setattr(suffixes, "ANCHORS", 40)
     rows, _ = numbered(docs_of(spark, ["x" * 5000, *[sentence(random.Random(i), 60) for i in range(9)]]),
                        "doc_id", "text")
     total, hot = suffixes._load(rows)
