@@ -29,6 +29,9 @@ BLOCK = 1024
 #: Most pivots, and vectors of the sample from which pivots and their number are taken. The choice
 #: decides how much is copied, never what is found.
 MOST_PIVOTS, SAMPLE = 512, 2000
+#: More than rounding adds to or takes from a squared distance of unit vectors. Pivots are farther
+#: apart than that.
+ROUNDING = 1e-9
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray]:
@@ -51,12 +54,28 @@ def _reach(x: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray, n
     d = np.sqrt(d2)
     own = np.argmin(d, axis=1)
     at = np.arange(len(x))
-    apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 1e-300))[own]
-    near = d <= (d[at, own] + 2 * eps + 1e-9)[:, None]
-    near &= (d2 - d2[at, own][:, None]) / (2 * apart) <= eps + 1e-9
+    # Both bounds are wider than rounding can make them, and neither divides by a distance, so
+    # they hold for pivots that point the same way too.
+    eps = np.sqrt(eps * eps + ROUNDING)
+    apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0) + ROUNDING)[own]
+    near = d <= (d[at, own] + 2 * eps + np.sqrt(ROUNDING))[:, None]
+    near &= d2 - d2[at, own][:, None] <= 2 * apart * eps + ROUNDING
     return own, near & (np.arange(len(pivots)) < own[:, None])
 
 
+def _ways(sample: np.ndarray) -> np.ndarray:
+    """The first MOST_PIVOTS unit vectors that point another way than those before them."""
+    kept = np.empty((min(MOST_PIVOTS, len(sample)), sample.shape[1]))
+    n = 0
+    for v in sample:
+        if n == len(kept):
+            break
+        if (2 - 2 * (kept[:n] @ v) > ROUNDING).all():
+            kept[n] = v
+            n += 1
+    return kept[:n]
+
+
 def _pivots(distinct: DataFrame, n: int, labels: int, eps: float) -> dict[int, np.ndarray]:
     """Pivots by dimension, from a sample chosen by a hash: so many that the fewest copies of
     vectors are dealt out, as estimated on the sample."""
@@ -70,17 +89,18 @@ def _pivots(distinct: DataFrame, n: int, labels: int, eps: float) -> dict[int, n
     best = {}
     for dim, sample in found.items():
         x = np.stack(sample)
+        ways = _ways(x)
         scale = n / max(1, sum(map(len, found.values()))) / max(1, labels)
         costs = {}
         many = 1
-        while many <= min(MOST_PIVOTS, len(x)):
-            own, near = _reach(x, x[:many], eps)
+        while many <= len(ways):
+            own, near = _reach(x, ways[:many], eps)
             core = np.bincount(own, minlength=many) * scale
             copies = near.sum(0) * scale
             core_blocks, copy_blocks = np.ceil(core / BLOCK), np.ceil(copies / BLOCK)
             costs[many] = float(np.sum(core * (core_blocks + copy_blocks) + copies * core_blocks))
             many *= 2
-        best[dim] = x[: min(costs, key=costs.get)]
+        best[dim] = ways[: min(costs, key=costs.get)]
     return best
 
 

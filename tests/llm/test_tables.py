@@ -304,6 +304,36 @@ def test_vector_links(spark, monkeypatch, pivots, block):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n, comp[i], comp[i] == i)
 
 
+def test_pivots_that_point_the_same_way(spark, monkeypatch):
+    rnd = np.random.default_rng(7)
+    ways = rnd.normal(size=(3, 8))
+    copies = [w * f for w in ways for f in rnd.uniform(0.1, 9, 25)]
+    others = [w + rnd.normal(size=8) * 0.05 * np.linalg.norm(w) for w in ways for _ in range(15)]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate([*copies, *others])]
+    x = np.stack([embeddings.unit_of(np.array(r[1])) for r in rows])
+    pivots, eps = x[:len(copies)], math.sqrt(2 - 2 * 0.93)
+    linked = x @ x.T >= 0.93
+    own, near = embeddings._reach(x, pivots, eps)
+    a, b = np.nonzero(linked & (own[:, None] > own))
+    assert len(a) and near[a, own[b]].all()
+
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    chosen = embeddings._pivots
+    found = {}
+
+    def parallel(*args):
+        found.update(chosen(*args))
+        return {8: pivots}
+
+    monkeypatch.setattr(embeddings, "BLOCK", 4)
+    monkeypatch.setattr(embeddings, "_pivots", parallel)
+    got = {r["vec_id"]: r for r in embeddings.link(df).collect()}
+    same = found[8] @ found[8].T > 1 - 1e-10
+    assert same.sum() == len(same)  # each with itself only
+    comp = brute.components(range(len(rows)), lambda i, j: linked[i, j])
+    assert all((got[i]["n_links"], got[i]["component_id"]) == (linked[i].sum() - 1, comp[i]) for i in got)
+
+
 def test_vectors_of_odd_ids(spark):
     df = spark.createDataFrame(
         [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (2, [0.0, 1.0], 1)],
