@@ -19,14 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactline.llm.common import as_bytes, mix, numbered, numbered_whole, pieces, restored
+from contactline.llm.common import (
+    BROADCAST_ROWS, as_bytes, mix, numbered, numbered_whole, pieces, restored,
+)
 from contactline.runtime import materialise
 
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, GRAM = 100, 32
-#: One text in so many is looked at to learn how many anchors there are and which are hot. This only
-#: decides how the work is dealt out.
-SAMPLED = 64
+#: One text in so many is looked at to learn how many anchors there are and which are hot, and of
+#: texts above LONG bytes one stretch of STRETCH bytes in so many. This only decides how the work is
+#: dealt out.
+SAMPLED, LONG, STRETCH = 64, 1 << 14, 1 << 12
 #: Anchors, and segments, that a group holds, about; anchors above the first number are hot, and so
 #: many of them may be sent to every task.
 ANCHORS, SEGMENTS, MOST_HOT = 250_000, 8_000, 500_000
@@ -174,17 +177,29 @@ def _occurrences(rows: DataFrame, groups: int, hot: np.ndarray) -> DataFrame:
 
 
 def _load(rows: DataFrame) -> tuple[int, np.ndarray]:
-    """About how many anchors there are, and which of them are hot, from one text in SAMPLED."""
+    """About how many anchors there are, and which of them are hot, from one text in SAMPLED and
+    one stretch in SAMPLED of each long text."""
+    rate, long, stretch = SAMPLED, LONG, STRETCH
+
+    def looked_at(row: int, text: bytes) -> list[bytes]:
+        if len(text) <= long:
+            return [text]
+        k = np.arange(-(-len(text) // stretch), dtype=np.uint64)
+        some = np.flatnonzero(mix(mix(k + _U(1)) ^ _U(row % (1 << 64))) % _U(rate) == 0)
+        return [text[x * stretch : (x + 1) * stretch + LENGTH - 1] for x in some]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(0))
+            whole = zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True)
+            texts = [t for row, text in whole for t in looked_at(row, text)]
             for a, b in pieces(texts):
                 ids, times = np.unique(segments(texts[a:b])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids.view(np.int64)), pa.array(times)], names=["anchor", "n"])
 
-    sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0).select("text")
+    sample = rows.where(
+        (F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0) | (F.octet_length("text") > LONG)
+    ).select("row", "text")
     counts = materialise(
         sample.mapInArrow(per_batch, "anchor long, n long").groupBy("anchor").agg(
             F.sum("n").alias("n")), "anchor_counts")
@@ -378,6 +393,22 @@ def _hot_repeats(hot: DataFrame) -> DataFrame:
         F.struct("row", "at") != F.col("first")).select("row", "at", F.lit(1).cast("long").alias("n"))
 
 
+def _by_size(unsettled: DataFrame) -> tuple[DataFrame, bool]:
+    """Segments of anchors that are hot by an exact count made ``kind`` 2, as the sample may have
+    missed them; whether there are any."""
+    large = materialise(
+        unsettled.where("kind = 1").groupBy(F.col("anchor").alias("_large")).count()
+        .where(F.col("count") > ANCHORS // 4).select("_large"), "large_anchors")
+    many = large.count()
+    if not many:
+        return unsettled, False
+    if many <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    kind = F.when(F.col("_large").isNotNull(), 2).otherwise(F.col("kind")).alias("kind")
+    return unsettled.join(large, F.col("anchor") == F.col("_large"), "left").select(
+        kind, "anchor", "row", "at", "n"), True
+
+
 def repeats(rows: DataFrame) -> DataFrame:
     """``row, spans`` (array of ``at, n``: so many windows from there also start earlier) from
     ``row, text`` with unique rows; rows without repeats are left out."""
@@ -392,13 +423,14 @@ def repeats(rows: DataFrame) -> DataFrame:
     n = unsettled.count()
     runs = settled.where("kind = 0").select("row", "at", "n")
     if n:
+        unsettled, more_hot = _by_size(unsettled)
         cut = materialise(_pieces(rows, unsettled), "segments")
         group = F.pmod("anchor", F.lit(max(partitions, n // SEGMENTS))).alias("group")
         more = cut.where("kind = 1").withColumn("group", group).select(
             "group", "row", "at", "n", "bytes").groupBy("group").applyInArrow(
             _repeats, "row long, at long, n long")
         runs = runs.union(more)
-        if len(hot):
+        if len(hot) or more_hot:
             runs = runs.union(_hot_repeats(cut.where("kind = 2")))
     return runs.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 

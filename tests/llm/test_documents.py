@@ -145,6 +145,44 @@ def test_load_finds_hot_anchors(spark, monkeypatch):
     assert total > 80 and len(hot) == 1
 
 
+def phrases(rnd, n):
+    """A phrase many times in one text, with changing surroundings."""
+    phrase = "".join(rnd.choice("abcdefghijk") for _ in range(110))
+    return " ".join(f"{rnd.randrange(10**9)} {phrase}" for _ in range(n))
+
+
+def test_large_anchors_of_one_text(spark, monkeypatch):
+    texts = [*passages(random.Random(5))[:6], phrases(random.Random(5), 60), phrases(random.Random(6), 9)]
+    texts.append(texts[-2][2000:4000])
+    data = [(t or "").encode() for t in texts]
+    want = [brute.repeat_row(t, g)[1] for t, g in zip(data, brute.repeats(data), strict=True)]
+    monkeypatch.setattr(suffixes, "ANCHORS", 80)
+    nothing = suffixes.np.zeros(0, suffixes.np.uint64)
+    monkeypatch.setattr(suffixes, "_load", lambda rows: (10, nothing))  # the sample missed them
+    made, settled_otherwise = suffixes.materialise, suffixes._hot_repeats
+    cut, hot = [], []
+
+    def keeping(df, name):
+        out = made(df, name)
+        cut.extend([out] if name == "segments" else [])
+        return out
+
+    monkeypatch.setattr(suffixes, "materialise", keeping)
+    monkeypatch.setattr(suffixes, "_hot_repeats", lambda df: hot.append(df) or settled_otherwise(df))
+    found = {r["doc_id"]: r["n_removed"] for r in suffixes.remove(docs_of(spark, texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == want and want[-1] and want[-3]
+    sizes = cut[0].groupBy("kind", "anchor").count().collect()
+    assert len(hot) == 1 and {r["kind"] for r in sizes} == {1, 2}
+    assert all((r["count"] > 20) == (r["kind"] == 2) for r in sizes)
+
+
+def test_load_finds_hot_anchors_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "ANCHORS", 4000)
+    rows, _ = numbered(docs_of(spark, [phrases(random.Random(7), 9000), "short"], first=1), "doc_id", "text")
+    total, hot = suffixes._load(rows)
+    assert len(hot) and 9000 < total < 90000
+
+
 def test_two_stage_sorting_orders_suffixes():
     rnd = random.Random(4)
     for alphabet in (b"a", b"ab", b"\x00\xff\x80", bytes(range(256))):
