@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactline.llm import (
-    chat, decontaminate, embeddings, minhash, mixing, quality, suffixes, tokens, urls, warc,
+    chat, copies, decontaminate, embeddings, minhash, mixing, quality, suffixes, tokens, urls,
+    variants, warc,
 )
 from contactline.llm.common import table
 from contactline.runtime import new_folder
@@ -78,6 +79,14 @@ def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link(table(spark, sf_dir, "embeddings"))
 
 
+def op11_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.exact_copies(table(spark, sf_dir, "documents"))
+
+
+def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_leaks": op1_leaks,
     "op2_chat_windows": op2_chat_windows,
@@ -89,6 +98,8 @@ QUERIES = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_mixture": op9_mixture,
     "op10_vector_links": op10_vector_links,
+    "op11_copies": op11_copies,
+    "op12_spellings": op12_spellings,
 }
 
 ORACLES = {
@@ -97,4 +108,6 @@ ORACLES = {
     "op8_repeated_passages": suffixes.SQL,
     "op9_mixture": mixing.SQL,
     "op10_vector_links": embeddings.SQL,
+    "op11_copies": copies.SQL,
+    "op12_spellings": variants.SQL,
 }
