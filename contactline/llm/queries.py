@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactline.llm import (
-    chat, copies, decontaminate, embeddings, minhash, mixing, quality, suffixes, tokens, urls,
-    variants, warc,
+    chat, copies, decontaminate, embeddings, minhash, mixing, phrases, quality, suffixes,
+    tokens, urls, variants, warc,
 )
 from contactline.llm.common import table
 from contactline.runtime import new_folder
@@ -87,6 +87,10 @@ def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_leaks": op1_leaks,
     "op2_chat_windows": op2_chat_windows,
@@ -100,6 +104,7 @@ QUERIES = {
     "op10_vector_links": op10_vector_links,
     "op11_copies": op11_copies,
     "op12_spellings": op12_spellings,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -110,4 +115,5 @@ ORACLES = {
     "op10_vector_links": embeddings.SQL,
     "op11_copies": copies.SQL,
     "op12_spellings": variants.SQL,
+    "op13_collocations": phrases.SQL,
 }

@@ -34,7 +34,8 @@ from contactline.runtime import materialise
 SHORTEST, RAREST = 5, 3
 #: A run of letters loses a code point if this divides its hash.
 TYPO = 97
-#: Words of a partition at most, and of the partitions that a group of Python holds, about.
+#: Words of a partition at most (more than there are letters, as that many can differ in one place and
+#: agree in all others), and of the partitions that a group of Python holds, about.
 PARTITION, GROUP = 20_000, 40_000
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
