@@ -8,6 +8,10 @@ full. So the filter is lossless: quotient, remainder and the inverse give back t
 next to a remainder is exact. Each task fills filters of its texts, cut by the first bits of the
 quotient; sorted filters of the same range are merged wherever they come from, and what is frequent
 leaves them as rows.
+
+A phrase is frequent only if its parts are, so words are counted first, then pairs, then phrases of
+three. A bitmap of fixed size tells the tasks which parts cannot be frequent; what it lets through
+wrongly is counted and found to be rare.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,9 @@ RAREST, FIRST, INSIDE = 10, 2000, 50
 LONGEST = 3
 #: Bytes of text that a task holds before it hands its filters on (twice that has fewer than 2 ** 21
 #: distinct words, so three of their numbers fit in one), and whose phrases make a range.
-HELD, RANGE = 3_000_000, 8 << 20
+HELD, RANGE = 4_000_000, 8 << 20
+#: Bits of the bitmap of frequent parts (4 MB), and of a piece of it that one group sets.
+MARKS, PIECE = 25, 19
 #: Parts in which a language's phrases are ranked before the best of each part meet.
 PARTS = 64
 
@@ -48,33 +55,29 @@ _TOKEN, _CUT = re.compile(rb"[^ \n]+|\n"), re.compile(rb"[ \n]")
 # ---- the filter --------------------------------------------------------------------------------
 
 
-def _turned(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """What the permutation adds to one number, from the two others."""
-    return mix(x ^ mix(a + _U(0x9E3779B97F4A7C15)) ^ (mix(b + _U(0xD1B54A32D192ED03)) << _U(1)))
-
-
-_ZERO = np.zeros(1, np.uint64)
+def _turned(others: list[np.ndarray]) -> np.ndarray:
+    """What the permutation adds to a number, from the others."""
+    h = np.zeros(1, np.uint64)
+    for i, x in enumerate(others):
+        h = mix(h + x + _U(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64)))
+    return h
 
 
 def permuted(ids: list[np.ndarray]) -> list[np.ndarray]:
-    """Packed ids (LONGEST numbers of 64 bits, 0 where a phrase has no word) as numbers that are evenly
-    spread, one to one: each step adds to one number what the two others make."""
-    a, b, c = ids
-    a = a + _turned(_ZERO, b, c)
-    b = b + _turned(_ZERO, a, c)
-    c = c + _turned(_ZERO, a, b)
-    a = a + _turned(_ZERO, c, b)
-    return [a, b, c]
+    """Packed ids (numbers of 64 bits) as numbers that are evenly spread, one to one: each step adds to
+    one of them what the others make."""
+    numbers = list(ids)
+    for i in (*range(len(ids)), 0):
+        numbers[i] = numbers[i] + _turned(numbers[:i] + numbers[i + 1 :])
+    return numbers
 
 
 def restored(numbers: list[np.ndarray]) -> list[np.ndarray]:
     """Inverse of ``permuted``."""
-    a, b, c = numbers
-    a = a - _turned(_ZERO, c, b)
-    c = c - _turned(_ZERO, a, b)
-    b = b - _turned(_ZERO, a, c)
-    a = a - _turned(_ZERO, b, c)
-    return [a, b, c]
+    ids = list(numbers)
+    for i in (0, *reversed(range(len(ids)))):
+        ids[i] = ids[i] - _turned(ids[:i] + ids[i + 1 :])
+    return ids
 
 
 def _order(numbers: list[np.ndarray]) -> np.ndarray:
@@ -162,6 +165,51 @@ def decoded(data: bytes, lead: int, head: int, words: int) -> tuple[list[np.ndar
     return [first, *more], counts
 
 
+# ---- the bitmap of frequent parts ----------------------------------------------------------------
+
+
+def _marks(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits that stand for a word or phrase."""
+    h = mix(ids[0])
+    for x in ids[1:]:
+        h = mix(h + x)
+    last = _U((1 << MARKS) - 1)
+    return (h & last).astype(np.int64), (h >> _U(32) & last).astype(np.int64)
+
+
+def _marked(bitmap: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
+    one, two = _marks(ids)
+    return (bitmap[one >> 3] >> (one & 7) & bitmap[two >> 3] >> (two & 7) & 1).astype(bool)
+
+
+def bitmap_of(counts: DataFrame, size: int) -> np.ndarray:
+    """Marks of the frequent phrases of a size. Tasks send places, which are made distinct, and each
+    piece of the bitmap is set by one group; its bytes are all that comes to the driver."""
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.unique(np.concatenate(_marks(ids))), pa.int64())], names=["place"])
+
+    def piece(table: pa.Table) -> pa.Table:
+        at = np.sort(table.column("place").to_numpy())
+        bits = np.zeros(1 << PIECE, np.uint8)
+        bits[at & ((1 << PIECE) - 1)] = 1
+        data = np.packbits(bits, bitorder="little").tobytes()
+        return pa.table({"piece": pa.array([int(at[0]) >> PIECE], pa.int64()),
+                         "data": pa.array([data], pa.binary())})
+
+    found = counts.where(F.col("size") == size).select(*(f"i{i}" for i in range(size)))
+    pieces = found.mapInArrow(places, "place long").distinct().withColumn(
+        "piece", F.shiftright("place", PIECE)).groupBy("piece").applyInArrow(
+        piece, "piece long, data binary")
+    bitmap = np.zeros(1 << (MARKS - 3), np.uint8)
+    for row in pieces.collect():
+        begin = row["piece"] << (PIECE - 3)
+        bitmap[begin : begin + (1 << (PIECE - 3))] = np.frombuffer(row["data"], np.uint8)
+    return bitmap
+
+
 # ---- what a task fills ---------------------------------------------------------------------------
 
 
@@ -186,67 +234,81 @@ class _Ids(dict):
         return n
 
 
-_FILTERS = "range long, lang string, size int, filter binary, words array<binary>, counts array<long>"
+class Pass(NamedTuple):
+    """What the tasks of one pass over the texts count: phrases of a size, in ranges of ``lead`` bits."""
+
+    size: int
+    seed: int
+    lead: int
+    bitmap: np.ndarray | None
+
+
+_FILTERS = "range long, lang string, filter binary, words array<binary>, counts array<long>"
 
 
 def _filters(
-    lang: bytes, texts: list[bytes], seed: int, lead: int, tail: int = 0
+    lang: bytes, texts: list[bytes], how: Pass, tail: int = 0
 ) -> Iterator[dict]:
-    """Filters of some texts of a language: words (spelled out next to their ids), then phrases. The
-    last ``tail`` words count only as what phrases before them go on with."""
+    """Filters of some texts of a language. Words are spelled out, phrases packed. The last ``tail``
+    words count only as what phrases before them go on with."""
     ids = _Ids({b"\n": 0})
     folded = b"\n".join(texts).translate(_FOLD)
     text = np.fromiter(map(ids.__getitem__, _TOKEN.findall(folded)), np.int64)
     spelled = list(ids)[1:]
     if not spelled:
         return
-    bits = len(ids).bit_length()
     known = np.zeros(len(ids), np.uint64)
-    known[1:] = np.fromiter((word_id(lang, w, seed) for w in spelled), np.uint64, len(spelled))
+    known[1:] = np.fromiter((word_id(lang, w, how.seed) for w in spelled), np.uint64, len(spelled))
 
-    def cut(numbers, counts):
+    def cut(first: np.ndarray):
         """Stretches of sorted entries that belong to one range."""
-        head = (numbers[0] >> _U(64 - lead)).astype(np.int64) if lead else np.zeros(len(counts), np.int64)
+        if not len(first):
+            return []
+        head = (first >> _U(64 - how.lead)).astype(np.int64) if how.lead else np.zeros(len(first), np.int64)
         ranges, begin = np.unique(head, return_index=True)
-        return zip(ranges.tolist(), begin.tolist(), [*begin[1:].tolist(), len(counts)], strict=True)
-
-    times = np.bincount(text[: len(text) - tail], minlength=len(ids))[1:]
-    spread = [mix(known[1:])]
-    order = _order(spread)
-    spread, times = [spread[0][order]], times[order]
-    for at, a, b in cut(spread, times):
-        own = [i for i in range(a, b) if times[i]]
-        if own:
-            yield {"range": at, "lang": lang, "size": 1, "filter": None,
-                   "words": [spelled[order[i]] for i in own], "counts": times[own]}
-    for size in range(2, LONGEST + 1):
-        n = min(len(text) - size + 1, len(text) - tail)
-        if n <= 0:
-            return
-        # Numbers in the task are small, so that a phrase is one number while it is counted.
-        columns = [text[i : i + n] for i in range(size)]
-        whole = columns[0] > 0
-        for c in columns[1:]:
-            whole &= c > 0
-        key = columns[0][whole]
-        for c in columns[1:]:
-            key = (key << bits) | c[whole]
-        key, times = np.unique(key, return_counts=True)
-        found = [known[(key >> (bits * (size - 1 - i))) & ((1 << bits) - 1)] for i in range(size)]
-        found += [np.zeros(len(key), np.uint64)] * (LONGEST - size)
-        numbers, times = summed(permuted(found), times)
-        for at, a, b in cut(numbers, times):
-            yield {"range": at, "lang": lang, "size": size, "words": None, "counts": None,
-                   "filter": encoded([x[a:b] for x in numbers], times[a:b], lead)}
+        return zip(ranges.tolist(), begin.tolist(), [*begin[1:].tolist(), len(first)], strict=True)
+
+    row = {"lang": lang, "filter": None, "words": None, "counts": None}
+    if how.size == 1:
+        times = np.bincount(text[: len(text) - tail], minlength=len(ids))
+        own = np.flatnonzero(times[1:]) + 1
+        own = own[np.argsort(mix(known[own]))]
+        for at, a, b in cut(mix(known[own])):
+            yield row | {"range": at, "words": [spelled[i - 1] for i in own[a:b]],
+                         "counts": times[own[a:b]]}
+        return
+    size, n = how.size, min(len(text) - how.size + 1, len(text) - tail)
+    if n <= 0:
+        return
+    columns = [text[i : i + n] for i in range(size)]
+    # Whole phrases all of whose parts may be frequent.
+    if size == 2:
+        likely = _marked(how.bitmap, [known])
+        likely[0] = False
+        open_ = likely[columns[0]] & likely[columns[1]]
+    else:
+        pair = _marked(how.bitmap, [known[text[:-1]], known[text[1:]]])
+        pair &= (text[:-1] > 0) & (text[1:] > 0)
+        open_ = pair[:n] & pair[1 : n + 1]
+    # Numbers in the task are small, so that a phrase is one number while it is counted.
+    bits = len(ids).bit_length()
+    key = columns[0][open_]
+    for c in columns[1:]:
+        key = (key << bits) | c[open_]
+    key, times = np.unique(key, return_counts=True)
+    found = [known[(key >> (bits * (size - 1 - i))) & ((1 << bits) - 1)] for i in range(size)]
+    numbers, times = summed(permuted(found), times)
+    for at, a, b in cut(numbers[0]):
+        yield row | {"range": at, "filter": encoded([x[a:b] for x in numbers], times[a:b], how.lead)}
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     get = lambda c, kind: pa.array([r[c] for r in rows], kind)
     return pa.RecordBatch.from_arrays(
         [get("range", pa.int64()), pa.array([r["lang"].decode() for r in rows], pa.string()),
-         get("size", pa.int32()), get("filter", pa.binary()), get("words", pa.list_(pa.binary())),
+         get("filter", pa.binary()), get("words", pa.list_(pa.binary())),
          get("counts", pa.list_(pa.int64()))],
-        names=["range", "lang", "size", "filter", "words", "counts"])
+        names=["range", "lang", "filter", "words", "counts"])
 
 
 def _stretches(text: bytes) -> Iterator[tuple[bytes, int]]:
@@ -266,7 +328,7 @@ def _stretches(text: bytes) -> Iterator[tuple[bytes, int]]:
         yield b" ".join([text[begin:end], *tail]), len(tail)
 
 
-def _fill(seed: int, lead: int):
+def _fill(how: Pass):
     def batches_of(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         some, size = [], 0
         for row in rows:
@@ -285,16 +347,16 @@ def _fill(seed: int, lead: int):
             for lang, text in zip(as_bytes(batch.column(0)), as_bytes(batch.column(1)), strict=True):
                 if len(text) > HELD:
                     for stretch, tail in _stretches(text):
-                        yield from batches_of(_filters(lang, [stretch], seed, lead, tail))
+                        yield from batches_of(_filters(lang, [stretch], how, tail))
                     continue
                 held.setdefault(lang, []).append(text)
                 size[lang] += len(text) + 1
                 if size.total() > HELD:
                     most = size.most_common(1)[0][0]
                     del size[most]
-                    yield from batches_of(_filters(most, held.pop(most), seed, lead))
+                    yield from batches_of(_filters(most, held.pop(most), how))
         for lang, texts in held.items():
-            yield from batches_of(_filters(lang, texts, seed, lead))
+            yield from batches_of(_filters(lang, texts, how))
 
     return per_task
 
@@ -302,49 +364,40 @@ def _fill(seed: int, lead: int):
 _COUNTS = "lang string, size int, i0 long, i1 long, i2 long, word string, f long, clash boolean"
 
 
-def _merge(seed: int, lead: int):
-    """Filters of one range merged: frequent phrases and words; the number of all words (size 0)."""
+def _merge(how: Pass):
+    """Filters of one range merged: frequent phrases, or words and (as size 0) how many words there are."""
 
     def per_range(table: pa.Table) -> pa.Table:
-        out: list[dict] = []
         head = table.column("range")[0].as_py()
-        langs, sizes = table.column("lang").to_pylist(), table.column("size").to_pylist()
-        rows: dict[tuple, list[int]] = {}
-        for i, key in enumerate(zip(langs, sizes, strict=True)):
-            rows.setdefault(key, []).append(i)
-        for (lang, size), some in rows.items():
-            if size == 1:
-                out.append(_words(table, some, lang, seed))
-            else:
-                parts = [decoded(table.column("filter")[i].as_py(), lead, head, LONGEST) for i in some]
-                numbers, counts = summed(
-                    [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)],
-                    np.concatenate([p[1] for p in parts]))
-                often = counts >= RAREST
-                ids = restored([x[often] for x in numbers])
-                out.append({"lang": lang, "size": size, "f": counts[often],
-                            "ids": [x.view(np.int64) for x in ids]})
-        many = [len(o["f"]) for o in out]
-        repeat = lambda c, kind: pa.array(
-            [v for o, n in zip(out, many, strict=True) for v in [o[c]] * n], kind)
-        ids = [np.concatenate([o["ids"][i] for o in out]) for i in range(LONGEST)]
-        none = lambda n: [None] * n
-        return pa.table({
-            "lang": repeat("lang", pa.string()),
-            "size": pa.array([s for o, n in zip(out, many, strict=True)
-                              for s in (o["sizes"] if "sizes" in o else [o["size"]] * n)], pa.int32()),
-            **{f"i{i}": pa.array(ids[i], pa.int64()) for i in range(LONGEST)},
-            "word": pa.array([w for o, n in zip(out, many, strict=True)
-                              for w in o.get("word", none(n))], pa.string()),
-            "f": pa.array(np.concatenate([o["f"] for o in out]), pa.int64()),
-            "clash": pa.array([o.get("clash", False) for o, n in zip(out, many, strict=True)
-                               for _ in range(n)], pa.bool_()),
-        })
+        rows: dict[str, list[int]] = {}
+        for i, lang in enumerate(table.column("lang").to_pylist()):
+            rows.setdefault(lang, []).append(i)
+        parts = []
+        for lang, some in rows.items():
+            counted = _words(table, some, lang, how) if how.size == 1 else _phrases(table, some, how, head)
+            n = len(counted["f"])
+            parts.append(pa.table({
+                "lang": pa.array([lang] * n, pa.string()),
+                "size": pa.array(counted.get("size", [how.size] * n), pa.int32()),
+                **{f"i{i}": pa.array(ids.view(np.int64)) for i, ids in enumerate(counted["ids"])},
+                **{f"i{i}": pa.nulls(n, pa.int64()) for i in range(len(counted["ids"]), LONGEST)},
+                "word": pa.array(counted.get("word", [None] * n), pa.string()),
+                "f": pa.array(counted["f"], pa.int64()),
+                "clash": pa.array([counted.get("clash", False)] * n, pa.bool_())}))
+        return pa.concat_tables(parts)
 
     return per_range
 
 
-def _words(table: pa.Table, some: list[int], lang: str, seed: int) -> dict:
+def _phrases(table: pa.Table, some: list[int], how: Pass, head: int) -> dict:
+    parts = [decoded(table.column("filter")[i].as_py(), how.lead, head, how.size) for i in some]
+    numbers = [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)]
+    numbers, counts = summed(numbers, np.concatenate([p[1] for p in parts]))
+    often = counts >= RAREST
+    return {"ids": restored([x[often] for x in numbers]), "f": counts[often]}
+
+
+def _words(table: pa.Table, some: list[int], lang: str, how: Pass) -> dict:
     """Counts of words, whether two of them have one id, and the sum of all counts."""
     times: dict[bytes, int] = {}
     for i in some:
@@ -352,14 +405,13 @@ def _words(table: pa.Table, some: list[int], lang: str, seed: int) -> dict:
         for w, n in zip(words, counts, strict=True):
             times[w] = times.get(w, 0) + n
     key = lang.encode()
-    ids = {word_id(key, w, seed) for w in times}
+    ids = {word_id(key, w, how.seed) for w in times}
     often = [(w, n) for w, n in times.items() if n >= RAREST]
-    first = [0, *(word_id(key, w, seed) for w, _ in often)]
-    zero = np.zeros(len(first), np.int64)
+    first = [0, *(word_id(key, w, how.seed) for w, _ in often)]
     return {
-        "lang": lang, "sizes": [0] + [1] * len(often), "word": [None, *(w.decode() for w, _ in often)],
+        "size": [0] + [1] * len(often), "word": [None, *(w.decode() for w, _ in often)],
         "f": np.array([sum(times.values()), *(n for _, n in often)], np.int64),
-        "ids": [np.array(first, np.uint64).view(np.int64), zero, zero], "clash": len(ids) < len(times)}
+        "ids": [np.array(first, np.uint64)], "clash": len(ids) < len(times)}
 
 
 # ---- phrases -------------------------------------------------------------------------------------
@@ -372,13 +424,23 @@ def frequent(docs: DataFrame, seeds: int = 4) -> DataFrame:
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     lead = min(max(0, (total // RANGE).bit_length()), 30)
+
+    def counted(how: Pass) -> DataFrame:
+        return materialise(
+            docs.mapInArrow(_fill(how), _FILTERS).groupBy("range").applyInArrow(_merge(how), _COUNTS),
+            f"phrases_{how.size}")
+
     for seed in range(seeds):
-        counts = materialise(
-            docs.mapInArrow(_fill(seed, lead), _FILTERS).groupBy("range").applyInArrow(
-                _merge(seed, lead), _COUNTS), "phrase_counts")
-        if counts.where("clash").isEmpty():
-            return counts.drop("clash")
-    raise RuntimeError("words of this corpus share ids under every seed")
+        found = counted(Pass(1, seed, lead, None))
+        if found.where("clash").isEmpty():
+            break
+    else:
+        raise RuntimeError("words of this corpus share ids under every seed")
+    last = found
+    for size in range(2, LONGEST + 1):
+        last = counted(Pass(size, seed, lead, bitmap_of(last, size - 1)))
+        found = found.unionByName(last)
+    return found.drop("clash")
 
 
 def _score(a: Column, first: Column, rest: Column) -> Column:
@@ -398,7 +460,7 @@ def scored(counts: DataFrame) -> DataFrame:
     two = (
         of(2, ["i0", "i1"], "a").join(of(1, ["i0"], "l"), ["lang", "i0"])
         .join(of(1, ["i1"], "r"), ["lang", "i1"])
-        .withColumn("score", _score(F.col("a"), F.col("l"), F.col("r"))).withColumn("i2", F.lit(0).cast("long")))
+        .withColumn("score", _score(F.col("a"), F.col("l"), F.col("r"))).withColumn("i2", F.lit(None).cast("long")))
     three = (
         of(3, ["i0", "i1", "i2"], "a")
         .join(of(1, ["i0"], "l1"), ["lang", "i0"]).join(of(2, ["i1", "i2"], "r1"), ["lang", "i1", "i2"])

@@ -243,6 +243,12 @@ def test_collocations_of_nothing(spark):
         assert phrases.collocations(docs_of(spark, texts)).count() == 0
 
 
+def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "bitmap_of", lambda *_: np.full(1 << (phrases.MARKS - 3), 255, np.uint8))
+    texts = ["one two three one two, four " * 9, "three one " * 4]
+    assert collocated(docs_of(spark, texts)) == collocations_expected([("en", t) for t in texts])
+
+
 def test_words_that_share_an_id_change_the_seed(spark, monkeypatch):
     real = phrases.word_id
     monkeypatch.setattr(phrases, "RANGE", 100)
@@ -261,10 +267,11 @@ def test_words_that_share_an_id_change_the_seed(spark, monkeypatch):
 
 def test_permutation_is_invertible():
     rng = np.random.default_rng(1)
-    ids = [rng.integers(0, 1 << 63, 1000, dtype=np.uint64) for _ in range(3)]
-    ids[2][:500] = 0
-    back = phrases.restored(phrases.permuted(ids))
-    assert all((a == b).all() for a, b in zip(ids, back, strict=True))
+    for words in (2, 3):
+        ids = [rng.integers(0, 1 << 63, 1000, dtype=np.uint64) for _ in range(words)]
+        ids[1][:500] = 0
+        back = phrases.restored(phrases.permuted(ids))
+        assert all((a == b).all() for a, b in zip(ids, back, strict=True))
 
 
 @pytest.mark.parametrize("lead", [0, 1, 7, 20])
