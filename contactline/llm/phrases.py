@@ -230,7 +230,7 @@ class _Ids(dict):
     """Numbers of words as they come."""
 
     def __missing__(self, word):
-        self[word] = n = len(self)
+        self[word] = n = len(self) - 1
         return n
 
 
@@ -251,13 +251,14 @@ def _filters(
 ) -> Iterator[dict]:
     """Filters of some texts of a language. Words are spelled out, phrases packed. The last ``tail``
     words count only as what phrases before them go on with."""
-    ids = _Ids({b"\n": 0})
-    folded = b"\n".join(texts).translate(_FOLD)
-    text = np.fromiter(map(ids.__getitem__, _TOKEN.findall(folded)), np.int64)
-    spelled = list(ids)[1:]
+    ids = _Ids({b"": -1, b"\n": 0})
+    folded = b"\n".join(texts).translate(_FOLD).replace(b"\n", b" \n ")
+    text = np.fromiter(map(ids.__getitem__, folded.split(b" ")), np.int64)
+    text = text[text >= 0]
+    spelled = list(ids)[2:]
     if not spelled:
         return
-    known = np.zeros(len(ids), np.uint64)
+    known = np.zeros(len(spelled) + 1, np.uint64)
     known[1:] = np.fromiter((word_id(lang, w, how.seed) for w in spelled), np.uint64, len(spelled))
 
     def cut(first: np.ndarray):
@@ -270,7 +271,7 @@ def _filters(
 
     row = {"lang": lang, "filter": None, "words": None, "counts": None}
     if how.size == 1:
-        times = np.bincount(text[: len(text) - tail], minlength=len(ids))
+        times = np.bincount(text[: len(text) - tail], minlength=len(known))
         own = np.flatnonzero(times[1:]) + 1
         own = own[np.argsort(mix(known[own]))]
         for at, a, b in cut(mix(known[own])):
@@ -291,7 +292,7 @@ def _filters(
         pair &= (text[:-1] > 0) & (text[1:] > 0)
         open_ = pair[:n] & pair[1 : n + 1]
     # Numbers in the task are small, so that a phrase is one number while it is counted.
-    bits = len(ids).bit_length()
+    bits = len(known).bit_length()
     key = columns[0][open_]
     for c in columns[1:]:
         key = (key << bits) | c[open_]
