@@ -16,6 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from contactline.functions.seams import address_text
 from contactline.rules import (
     HIDDEN_ARIA,
     HIDDEN_ATTRIBUTE,
@@ -73,10 +74,6 @@ def _is_priority(tag: str, attrs: dict) -> bool:
     )
 
 
-# Characters on either side of a seam between priority texts.
-SEAM = 100
-
-
 class _OpenElements(HTMLParser):
     """Keeps the stack of open elements and hands out whole text nodes."""
 
@@ -220,42 +217,8 @@ class _Page(_OpenElements):
 
     @property
     def priority_once(self) -> str:
-        """What the priority texts can hold addresses in: texts of outermost elements, and the
-        seams at which the texts of nested ones meet the next. Linear, however deep they are."""
-        outer: list[list[int]] = []
-        for span in self.ranges:
-            if not outer or span[0] >= outer[-1][1]:
-                outer.append(span)
-        parts = [" ".join(" ".join(self.nodes[a:b]) for a, b in outer)]
-        if len(outer) < len(self.ranges):
-            parts += [self._seam(i) for i in range(1, len(self.ranges))]
-        return " | ".join(parts)
-
-    def _seam(self, i: int) -> str:
-        """The last SEAM characters before the i-th priority text and the first of it."""
-        before, after = [], []
-        size, k = 0, i - 1
-        while k >= 0 and size < SEAM:
-            for node in reversed(self.nodes[max(self.ranges[k][0], self.ranges[k][1] - SEAM):self.ranges[k][1]]):
-                before.append(node[-SEAM:])
-                size += len(node) + 1
-                if size >= SEAM:
-                    break
-            k -= 1
-        size, k = 0, i
-        while k < len(self.ranges) and size < SEAM:
-            for node in self.nodes[self.ranges[k][0]:min(self.ranges[k][1], self.ranges[k][0] + SEAM)]:
-                after.append(node[:SEAM])
-                size += len(node) + 1
-                if size >= SEAM:
-                    break
-            k += 1
-        left, right = " ".join(before[::-1]), " ".join(after)
-        if len(left) > SEAM:  # without the word that the cut goes through
-            left = left[-SEAM:].partition(" ")[2]
-        if len(right) > SEAM:
-            right = right[:SEAM].rpartition(" ")[0]
-        return f"{left} {right}"
+        """What the priority texts can hold addresses in, in linear size, however deep they are."""
+        return address_text(self.nodes, self.ranges)
 
 
 def _resolve(base: str, href: str) -> str | None:
