@@ -1,16 +1,16 @@
 """Incremental runs: new page loads are parsed once, and results are renewed as they come.
 
 Each query has its own checkpoint, so a run that is started again goes on where the last one
-stopped. Batches write to a folder named after the batch, so a repeated batch replaces itself.
-What must be known of earlier batches is read from these folders, not held as stream state.
+stopped. Loads and records are tables by site (``KeyedTable``), of which a batch reads and writes only
+the ranges of its own sites. What a stream has brought before is keyed state of the stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,83 +19,72 @@ from contactline.plans.enrich import assemble, replay, sites_of
 from contactline.rules import DEFAULT_RULES, Rules
 from contactline.runtime import materialise
 from contactline.sources.results import write_results
+from contactline.streaming.store import KeyedTable
 
-#: Folders per batch into which loads go by site, so that a few sites are read without the rest.
-SITE_BUCKETS = 32
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("site_key"), F.lit(SITE_BUCKETS)).cast("int")
+def loads_of(spark: SparkSession, folder: str, **how) -> KeyedTable:
+    """Parsed page loads of a run by site."""
+    return KeyedTable(spark, f"{folder}/loads", **how)
 
 
-def _stored(spark: SparkSession, folder: str) -> DataFrame | None:
-    """What earlier batches have written, if there is anything."""
-    try:
-        return spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
-def _in_batches(stream: DataFrame, checkpoint: str, save: Callable[[DataFrame, int], None]):
-    return (
-        stream.writeStream.foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def records_of(spark: SparkSession, folder: str, **how) -> KeyedTable:
+    """Latest record of each site of a run."""
+    return KeyedTable(spark, f"{folder}/records", newest=True, **how)
 
 
 def store_fetches(
     page_fetch: DataFrame,
-    store: str,
-    checkpoint: str,
+    folder: str,
     rules: Rules = DEFAULT_RULES,
     after_batch: Callable[[SparkSession, int], None] | None = None,
 ) -> StreamingQuery:
-    """Parse new page loads into ``store`` (one folder per batch), then call ``after_batch``."""
+    """Parse new page loads into the loads of ``folder``, then call ``after_batch``. The sites of
+    each batch are noted under ``sites``."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        (
-            parse_pages(batch, rules).withColumn("bucket", _bucket())
-            .write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch_id}")
-        )
+        spark = batch.sparkSession
+        parsed = materialise(parse_pages(batch, rules), "batch")
+        parsed.select("site_key").distinct().write.mode("overwrite").parquet(
+            f"{folder}/sites/batch={batch_id}")
+        loads_of(spark, folder).add(batch_id, parsed)
         if after_batch is not None:
-            after_batch(batch.sparkSession, batch_id)
+            after_batch(spark, batch_id)
 
-    return _in_batches(page_fetch, checkpoint, save)
+    return (
+        page_fetch.writeStream.foreachBatch(save)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def renew_records(
-    spark: SparkSession, located: DataFrame, store: str, records: str, first: int, last: int,
+    spark: SparkSession, located: DataFrame, folder: str, first: int, last: int,
     rules: Rules = DEFAULT_RULES,
 ) -> None:
     """Records of the sites that loads of the batches ``first`` to ``last`` belong to, from all
-    their loads, into ``records``. Other sites are neither read nor replayed."""
-    fetches = spark.read.parquet(store)
-    touched = materialise(
-        fetches.where(F.col("batch").between(first, last)).select("site_key", "bucket").distinct(),
-        "touched")
-    buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
-    own = fetches.where(F.col("bucket").isin(buckets)).join(
-        touched.select("site_key"), "site_key", "left_semi").drop("batch", "bucket")
-    sites = sites_of(located).join(touched.select("site_key"), "site_key", "left_semi")
-    replay(sites, own, rules).write.mode("overwrite").parquet(f"{records}/batch={last}")
-
-
-def write_snapshot(spark: SparkSession, located: DataFrame, records: str, out: str) -> None:
+    their loads. Of the loads only the ranges of these sites are read."""
+    noted = [f"{folder}/sites/batch={b}" for b in range(first, last + 1)]
+    touched = materialise(spark.read.parquet(*noted).select("site_key").distinct(), "touched")
+    own = loads_of(spark, folder).read_keys(touched)
+    if own is None:
+        return
+    sites = sites_of(located).join(touched, "site_key", "left_semi")
+    records_of(spark, folder).add(last, replay(sites, own, rules))
+
+
+def write_snapshot(spark: SparkSession, located: DataFrame, folder: str, out: str) -> None:
     """The three result tables from the latest record of each site.
 
     ``located`` are the services with ``website`` and ``site_key``; sites without loads so far have
     none and are not reachable.
     """
-    found = spark.read.option("basePath", records).parquet(f"{records}/batch=*")
-    names = [c for c in found.columns if c not in ("site_key", "batch")]
-    latest = found.groupBy("site_key").agg(
-        F.max_by(F.struct(*[F.col(f"`{c}`") for c in names]), "batch").alias("r")
-    ).select("site_key", "r.*")
-    write_results(materialise(assemble(located, latest), "snapshot"), out)
+    latest = records_of(spark, folder).read()
+    if latest is not None:
+        write_results(materialise(assemble(located, latest), "snapshot"), out)
 
 
 def run_with_snapshots(
@@ -105,31 +94,23 @@ def run_with_snapshots(
     """Parses all new loads and renews the result tables after every ``n`` batches and at the end,
     also if the stream breaks off. ``folder`` holds loads, records and checkpoint."""
     spark = page_fetch.sparkSession
-    store, records = f"{folder}/loads", f"{folder}/records"
-    done = _last_batch(spark, records)
+    done = records_of(spark, folder).version()
 
     def renew(batch_id: int) -> None:
         nonlocal done
         if batch_id > done:
-            renew_records(spark, located, store, records, done + 1, batch_id, rules)
+            renew_records(spark, located, folder, done + 1, batch_id, rules)
             done = batch_id
-            write_snapshot(spark, located, records, out)
+            write_snapshot(spark, located, folder, out)
 
     def after_batch(_: SparkSession, batch_id: int) -> None:
         if (batch_id + 1) % n == 0:
             renew(batch_id)
 
     try:
-        store_fetches(
-            page_fetch, store, f"{folder}/checkpoint", rules, after_batch).awaitTermination()
+        store_fetches(page_fetch, folder, rules, after_batch).awaitTermination()
     finally:
-        renew(_last_batch(spark, store))
-
-
-def _last_batch(spark: SparkSession, folder: str) -> int:
-    stored = _stored(spark, folder)
-    last = None if stored is None else stored.agg(F.max("batch").alias("b")).first()["b"]
-    return -1 if last is None else last
+        renew(loads_of(spark, folder).version())
 
 
 def site_addresses(page_fetch: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
@@ -146,19 +127,40 @@ def named_sites(services: DataFrame) -> DataFrame:
     return services.where("site_key IS NOT NULL").select("site_key")
 
 
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, unless the session names a store."""
+    named = spark.conf.get(_PROVIDER, None)
+    if named and not named.endswith("HDFSBackedStateStoreProvider"):
+        yield
+        return
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if named:
+            spark.conf.set(_PROVIDER, named)
+        else:
+            spark.conf.unset(_PROVIDER)
+
+
 def append_new(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Write rows that no earlier batch has brought, each once: those of a batch that the folder
-    holds already are left out by a join with it."""
+    """Write rows that the stream has not brought before, each once, to a folder for each batch.
+
+    Rows met are keyed state of the stream: a batch looks up its own rows there, whatever came
+    earlier, and a batch that is repeated starts from the state before it.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        new = batch.distinct()
-        before = _stored(batch.sparkSession, folder)
-        if before is not None:
-            earlier = before.where(F.col("batch") < batch_id).select(*batch.columns)
-            new = new.join(earlier, batch.columns, "left_anti")
-        new.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-
-    return _in_batches(stream, checkpoint, save)
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    with _state_on_disk(stream.sparkSession):
+        return (
+            stream.dropDuplicates().writeStream.foreachBatch(save)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def sites_with_addresses(pairs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from contactline.plans.enrich import enrich, with_site_key
 from contactline.sources.pages import PAGE_FETCH, stream_page_fetches
 from contactline.streaming import incremental as inc
+from contactline.streaming.store import KeyedTable
 
 A = [(i, f"s{i % 3}.org", f"https://s{i % 3}.org/{'' if i < 3 else f'p{i}'}", 1,
       f"https://s{i % 3}.org/", 200, f"<p>m{i % 5}@s{i % 3}.org</p>", None) for i in range(9)]
@@ -71,9 +72,9 @@ def test_snapshots_equal_the_batch_run(spark, tmp_path, monkeypatch):
     replayed = []
     whole = inc.renew_records
 
-    def renew(spark_, located_, store, records, first, last, rules):
+    def renew(spark_, located_, folder, first, last, rules):
         replayed.append((first, last))
-        whole(spark_, located_, store, records, first, last, rules)
+        whole(spark_, located_, folder, first, last, rules)
 
     monkeypatch.setattr(inc, "renew_records", renew)
     stream = lambda: stream_page_fetches(spark, source, 1)
@@ -85,9 +86,69 @@ def test_snapshots_equal_the_batch_run(spark, tmp_path, monkeypatch):
     pages(spark, C).write.mode("append").parquet(source)
     inc.run_with_snapshots(stream(), services, run, out, 2)
     assert replayed[2:] == [(3, 3)]
-    last = spark.read.parquet(f"{run}/records").where("batch = 3")
+    last = spark.read.parquet(f"{run}/records/data").where("part = 6")
     assert [r.site_key for r in last.collect()] == ["s3.org"]  # no other site is replayed
     got = results(spark, out)
     assert got == in_one_run(spark, A + B + C)
     inc.run_with_snapshots(stream(), services, run, out, 2)
     assert len(replayed) == 3 and results(spark, out) == got
+
+
+def keyed(spark, ids, value):
+    rows = [(f"s{i}.org", value) for i in ids]
+    return spark.createDataFrame(rows, "site_key string, value long")
+
+
+def test_keyed_table(spark, tmp_path):
+    """Random batches against a dictionary; ranges are rewritten and doubled on the way."""
+    import random
+
+    rnd = random.Random(1)
+    newest = KeyedTable(spark, str(tmp_path / "n"), newest=True, ranges=2, most_parts=2, most_rows=9)
+    whole = KeyedTable(spark, str(tmp_path / "w"), ranges=2, most_parts=2, most_rows=9)
+    assert newest.version() == -1 and newest.read() is None
+    latest, rows = {}, []
+    for batch in range(7):
+        ids = rnd.sample(range(40), 8 if batch != 3 else 0)
+        for table in (newest, whole):
+            if batch == 5:
+                table.add(batch, keyed(spark, [1, 2], -1))  # is repeated below
+            table.add(batch, keyed(spark, ids, batch))
+        latest |= {f"s{i}.org": batch for i in ids}
+        rows += [(f"s{i}.org", batch) for i in ids]
+        assert newest.version() == batch
+        assert sorted(map(tuple, newest.read().collect())) == sorted(latest.items())
+        assert sorted(map(tuple, whole.read().collect())) == sorted(rows)
+    some = keyed(spark, [1, 2, 3, 99], 0)
+    assert {r.site_key: r.value for r in newest.read_keys(some).collect()} == {
+        k: v for k, v in latest.items() if k in ("s1.org", "s2.org", "s3.org")}
+    assert newest._current().ranges > 2
+    # no more than two versions are kept
+    assert newest._versions() == [5, 6]
+
+
+def test_a_batch_reads_its_own_ranges_only(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ranges=2500)
+    table.add(0, keyed(spark, range(10_000), 1))
+    touched = keyed(spark, range(0, 10_000, 250), 1)  # 40 of them
+    found = table.read_keys(touched)
+    assert found.count() == 40
+    files = found.inputFiles()
+    total = sum(table._current().rows.values())
+    assert total == 10_000 and spark.read.parquet(*files).count() < 0.02 * total
+
+
+def test_state_does_not_grow_with_what_is_read(spark, tmp_path):
+    """Each batch reads its own rows only, and rows of earlier batches are not written again."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "site_key string, value long"
+    for batch in range(6):
+        keyed(spark, [*range(10), 100 + batch], 1).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = inc.append_new(stream, out, str(tmp_path / "mark"))
+    query.awaitTermination()
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in progress] == [11] * 6
+    assert [p["stateOperators"][0]["numRowsUpdated"] for p in progress] == [11, 1, 1, 1, 1, 1]
+    assert spark.read.parquet(out).count() == 16
+    assert "RocksDB" not in (spark.conf.get(inc._PROVIDER, None) or "")
