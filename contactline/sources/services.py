@@ -14,6 +14,7 @@ from contactline.operators.ingest import (
     number_by_key,
     valid_services,
 )
+from contactline.sources.pieces import read_in_pieces
 
 _CSV = {"header": True, "quote": '"', "escape": '"'}
 
@@ -54,7 +55,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, with ``_file``, ``_block`` and ``_row`` for the position of a row.
 
     Each file is read as UTF-8 if it is that, else as Latin-1. All files must have the same header
-    line. Files with quoted line breaks are read whole by one task, the others in pieces.
+    line. Files are read in pieces, also those with line breaks in quotes (``sources.pieces``).
     """
     profile = _file_profile(spark, path)
     if not profile:
@@ -66,7 +67,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
     parts, header = [], None
     for (encoding, multiline), files in sorted(groups.items()):
-        reader = spark.read.options(**_CSV, encoding=encoding, multiLine=multiline)
+        reader = spark.read.options(**_CSV, encoding=encoding)
         first = spark.read.options(
             **(_CSV | {"header": False}), encoding=encoding, multiLine=multiline
         ).csv(sorted(files)[0]).first()
@@ -76,6 +77,9 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         elif names != header:
             raise ValueError(f"files of {path!r} differ in their headers")
         schema = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
+        if multiline:
+            parts.append(read_in_pieces(spark, files, encoding, schema, _CSV))
+            continue
         # Spark compares each file's header with ours, unless we had to rename repeated ones.
         renamed = names != list(first)
         parts.append(
@@ -83,6 +87,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
                 "*",
                 F.col("_metadata.file_path").alias("_file"),
                 F.col("_metadata.file_block_start").alias("_block"),
+                F.monotonically_increasing_id().alias("_row"),
             )
         )
     whole = parts[0]
@@ -114,4 +119,4 @@ def read_services(spark: SparkSession, path: str, order_by: str | None = None) -
         if order_by is None:
             raise ValueError("Parquet rows have no order: name a column to number them by")
         return number_by_key(valid, order_by)
-    return number_by_file_position(valid.withColumn("_row", F.monotonically_increasing_id()))
+    return number_by_file_position(valid)
