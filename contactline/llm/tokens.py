@@ -14,6 +14,7 @@ to each by the share of its bytes.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,10 @@ from contactline.llm.common import as_bytes, bounded_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RULES = ("start", "end", "share")
+#: Blanks as the pattern counts them, and the length from which a run of them is cut out before the
+#: pattern, which would follow it blank by blank, sees it.
+_BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 1000
 _encoders: dict[str, tuple] = {}
 
 
@@ -37,7 +42,7 @@ def read_vocabulary(spark: SparkSession, path: str) -> bytes:
 
 
 def _encoder(data: bytes) -> tuple:
-    """Encoder and token lengths by id, once per worker."""
+    """Encoder, one that takes a text as a single word, and token lengths by id, once per worker."""
     import tiktoken
 
     key = f"{len(data)} {hash(data)}"
@@ -47,11 +52,24 @@ def _encoder(data: bytes) -> tuple:
         for token, i in ranks.items():
             size[i] = len(token)
         _encoders.clear()
-        _encoders[key] = tiktoken.Encoding(
-            "own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), size
+        made = [tiktoken.Encoding(name, pat_str=p, mergeable_ranks=ranks, special_tokens={})
+                for name, p in (("own", PATTERN), ("whole", r"[\s\S]+"))]
+        _encoders[key] = *made, size
     return _encoders[key]
 
 
+def encoded(encoder, whole, text: str) -> list[int]:
+    """Tokens of a text. A long run of blanks is a word of its own but for its last blank, which goes
+    to what follows: that is where the pattern cuts it."""
+    ids, at = [], 0
+    for run in re.finditer(f"[{_BLANKS}]{{{LONG_RUN},}}", text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoder.encode_ordinary(text[at : run.start()])
+        ids += whole.encode_ordinary(text[run.start() : end])
+        at = end
+    return ids + encoder.encode_ordinary(text[at:])
+
+
 def _line_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges of a text's lines."""
     ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1
@@ -70,7 +88,7 @@ def attribute(
     by the rule, ``crossing`` the tokens of which only a part lies inside. A null text is empty, an
     empty one has one line; null arrays have no sections, sections that reach beyond the text are cut
     to it, null or negative ends count as 0, and an empty table gives no rows. Rows that repeat a
-    key are texts of their own.
+    key are texts of their own. Texts of any length are encoded whole, long runs of blanks included.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
@@ -82,14 +100,14 @@ def attribute(
             "array<struct<section:int,start:int,end:int>>").alias("sections"))
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, size = _encoder(data)
+        encoder, whole, size = _encoder(data)
         for batch in batches:
             given = batch.column(2).to_pylist() if sections else None
             keys, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
             held, out = 0, []
             for i, t in enumerate(texts):
                 out.append(_count(
-                    encoder, size, keys[i], t, None if given is None else given[i] or [], rule))
+                    encoder, whole, size, keys[i], t, None if given is None else given[i] or [], rule))
                 held += len(out[-1][0])
                 if held > 50_000:
                     yield _rows(out)
@@ -104,9 +122,11 @@ def attribute(
     ).withColumnRenamed("key", key)
 
 
-def _count(encoder, size: np.ndarray, key, text: bytes, given: list | None, rule: str) -> tuple:
+def _count(
+    encoder, whole, size: np.ndarray, key, text: bytes, given: list | None, rule: str
+) -> tuple:
     data = np.frombuffer(text, np.uint8)
-    ids = encoder.encode_ordinary(text.decode("utf-8", "replace")) if text else []
+    ids = encoded(encoder, whole, text.decode("utf-8", "replace")) if text else []
     ends = np.cumsum(size[np.asarray(ids, np.int64)]) if ids else np.zeros(0, np.int64)
     starts = ends - size[np.asarray(ids, np.int64)] if ids else ends
     first = np.flatnonzero((data & 0xC0) != 0x80)  # where each code point begins

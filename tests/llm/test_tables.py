@@ -160,6 +160,29 @@ def test_line_tokens_against_another_encoder(spark):
                 sum(r["start"] <= s < r["end"] for s in starts) for r in rows]
 
 
+def test_long_runs_are_cut_where_the_pattern_cuts(monkeypatch):
+    import random
+
+    with open(tokens.VOCABULARY, "rb") as f:
+        encoder, whole, _ = tokens._encoder(f.read())
+    monkeypatch.setattr(tokens, "LONG_RUN", 2)
+    rnd = random.Random(7)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\xa0", "\u3000", "a", "word", "7", "!", "'s", "é", "\x1c", "\u200b"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(12)))
+        assert tokens.encoded(encoder, whole, text) == encoder.encode_ordinary(text), text
+
+
+def test_ten_megabytes_of_one_sign(spark):
+    n = 10_000_000
+    df = spark.createDataFrame([(1, " "), (2, "a"), (3, "!"), (4, "\n")], "doc_id long, c string")
+    df = df.select("doc_id", F.concat(F.repeat("c", F.lit(n)), F.lit("x")).alias("text"),
+                   F.expr(f"array(named_struct('section', 0, 'start', 0, 'end', {n + 1}))").alias("s"))
+    found = {r.doc_id: r for r in tokens.attribute(df.repartition(4), sections="s").collect()}
+    assert set(found) == {1, 2, 3, 4}
+    assert all(r.n_tokens == r.doc_tokens > n // 100 for r in found.values())
+
+
 def test_boundary_rules(spark):
     text = "hello wonderful world"  # tokens: hello| wonderful| world
     spans = [{"section": 0, "start": 0, "end": 8}, {"section": 1, "start": 8, "end": 21},
