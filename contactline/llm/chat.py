@@ -3,9 +3,10 @@
 Prefix sums of the turns' tokens choose the windows, so nothing walks over a conversation: a turn
 belongs to the cell of the token axis in which it starts. A cell is half of what the budget leaves
 after system turn and history, so a cell's turns with the one that crosses its end fit the budget; a
-turn longer than a cell has a window of its own, and only that one can exceed the budget, as turns
-are never cut. Each window repeats the system turn and the last turns before it, up to ``history``
-tokens, and both are masked: each assistant turn is under the loss mask in exactly one window.
+turn longer than a cell has a window of its own. Each window repeats the system turn and the last turns
+before it, up to ``history`` tokens or what a long turn leaves of the budget, and both are masked: each
+assistant turn is under the loss mask in exactly one window. As turns are never cut, a window exceeds
+the budget only if its one turn and the system turn do, or the system turn alone.
 
 Template of a turn: ``<turn>role<turn:text>text</turn>`` and a line feed; ``<turn:again>`` begins a
 repeated one. In roles and texts a backslash goes between ``<`` or ``</`` (and backslashes that
@@ -81,8 +82,9 @@ def format_chats(
     a text's tokens, ``overhead`` those of the markup. Null roles and texts are empty, turns are
     ordered by turn (null first, with block 0), role and text, repeated rows are turns of their
     own, rows without ``conv_id`` are one conversation, and an empty table gives no windows. The
-    first system turn is the retained one; if it is longer than a quarter of the budget it is
-    repeated all the same. Empty assistant texts have a mask of length 0.
+    first system turn is the retained one. History takes half of what it leaves of the budget at
+    most; if it leaves nothing, windows hold ``budget`` tokens next to it. Empty assistant texts have a
+    mask of length 0.
     """
     rows = turns.select("conv_id", "turn", _text("role").alias("role"), _text("text").alias("text"))
     rows = rows.withColumn("tokens", tokens(F.col("text")) + overhead)
@@ -93,15 +95,22 @@ def format_chats(
         .select(F.col("conv_id").alias("_conv"), "system")
     )
     rows = rows.join(system, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
-    of_system = F.least(F.coalesce("system.tokens", F.lit(0)), F.lit(budget // 4)).cast("long")
-    cell = F.greatest(F.floor((F.lit(budget - history) - of_system) / 2), F.lit(1)).cast("long")
+    of_system = F.coalesce("system.tokens", F.lit(0))
+    room = F.when(of_system < budget, budget - of_system).otherwise(budget).cast("long")
+    rows = rows.withColumn("room", room).withColumn(
+        "back", F.least(F.lit(history).cast("long"), F.floor(F.col("room") / 2)))
+    cell = F.greatest(F.floor((F.col("room") - F.col("back")) / 2), F.lit(1)).cast("long")
     rows = rows.withColumn("cell", cell)
     # Cells are numbered by two: the odd number is the window of a turn longer than the cell.
     at = F.floor(F.col("a") / F.col("cell")) * 2 + (F.col("tokens") > F.col("cell")).cast("long")
     rows = rows.withColumn("window", at.cast("long"))
-    starts = rows.groupBy("conv_id", "window").agg(F.min("a").alias("_start")).select(
-        F.col("conv_id").alias("_conv"), F.col("window").alias("_w"), "_start")
-    last = F.floor((F.col("a") + history) / F.col("cell")) * 2 + 1
+    left = F.greatest(F.first("room") - F.sum("tokens"), F.lit(0))
+    starts = rows.groupBy("conv_id", "window").agg(
+        F.min("a").alias("_start"),
+        F.when(F.col("window") % 2 == 1, F.least(F.first("back"), left)).otherwise(F.first("back"))
+        .alias("_back"),
+    ).select(F.col("conv_id").alias("_conv"), F.col("window").alias("_w"), "_start", "_back")
+    last = F.floor((F.col("a") + F.col("back")) / F.col("cell")) * 2 + 1
     narrow = rows.select(
         "conv_id", "a", "n", "role", "text", "tokens", "system", F.col("window").alias("own"),
         F.explode(F.sequence(F.col("window"), F.greatest(F.col("window"), last))).alias("window"),
@@ -110,7 +119,7 @@ def format_chats(
         starts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("window") == F.col("_w"))
     ).where(
         (F.col("own") == F.col("window"))
-        | ((F.col("a") >= F.col("_start") - history) & (F.col("own") < F.col("window")))
+        | ((F.col("a") >= F.col("_start") - F.col("_back")) & (F.col("own") < F.col("window")))
     )
     turn = F.struct(
         "n", (F.col("own") == F.col("window")).alias("new"), "role", "text", "tokens")
@@ -213,14 +222,19 @@ n AS (SELECT *, row_number() OVER w - 1 AS n, sum(tokens) OVER w - tokens AS a F
                    ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT conv_id, arg_min({{'n': n, 'role': role, 'text': text, 'tokens': tokens}}, n) AS sys
       FROM n WHERE role = 'system' GROUP BY conv_id),
-k AS (SELECT n.*, sys, greatest(floor(({budget - history} - least(coalesce(sys.tokens, 0), {budget // 4}))
-                                / 2), 1)::BIGINT AS cell
+r AS (SELECT n.*, sys, CASE WHEN coalesce(sys.tokens, 0) < {budget} THEN {budget} - coalesce(sys.tokens, 0)
+                            ELSE {budget} END AS room
       FROM n LEFT JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id),
+k AS (SELECT *, least({history}, room // 2) AS back,
+             greatest((room - least({history}, room // 2)) // 2, 1) AS cell FROM r),
 o AS (SELECT *, floor(a / cell)::BIGINT * 2 + (tokens > cell)::INT AS own FROM k),
-starts AS (SELECT conv_id, own AS win, min(a) AS start FROM o GROUP BY conv_id, own),
+starts AS (SELECT conv_id, own AS win, min(a) AS start,
+             CASE WHEN own % 2 = 1 THEN least(any_value(back), greatest(any_value(room) - sum(tokens), 0))
+                  ELSE any_value(back) END AS repeated
+           FROM o GROUP BY conv_id, own),
 p AS (SELECT o.*, win, own = win AS new FROM starts JOIN o
       ON starts.conv_id IS NOT DISTINCT FROM o.conv_id
-     AND (own = win OR own < win AND a >= start - {history})),
+     AND (own = win OR own < win AND a >= start - repeated)),
 again AS (SELECT conv_id, win, any_value(sys) AS sys FROM p WHERE sys IS NOT NULL
           GROUP BY conv_id, win HAVING NOT bool_or(n = sys.n)),
 shown AS (
