@@ -75,6 +75,26 @@ SELECT c_custkey,
 FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey
 """
 
+# Cells that hold line breaks, quotes and delimiters, one row per customer.
+NOTES = """
+SELECT c_custkey, c_name AS name,
+       CASE c_custkey % 5
+            WHEN 0 THEN c_mktsegment
+            WHEN 1 THEN c_name || ',' || chr(10) || 'c/o "' || c_mktsegment || '"'
+            WHEN 2 THEN '"' || chr(10) || chr(10) || c_name || '"'
+            WHEN 3 THEN c_name || ' "' || chr(10)
+            ELSE 'a, "b"' || chr(10) || ',' END AS note
+FROM {customer}
+"""
+
+# Words to look for in addresses: a name for each customer, and whole addresses' ends.
+LISTED_WORDS = f"""
+SELECT 'care' || CAST(c_custkey AS STRING) || '.' AS word FROM {{customer}}
+UNION ALL SELECT 'e' || CAST(c_custkey % 100 AS STRING) FROM {{customer}}
+UNION ALL SELECT {_pick(LOCALS, f'c_custkey % {N_LOCALS}')} FROM {{customer}}
+UNION ALL SELECT substr({_pick(DOMAINS, f'c_custkey % {N_DOMAINS}')}, 1, 3) FROM {{customer}}
+"""
+
 # One search result per order of the customer; the order number is its rank.
 SEARCH_RESULTS = f"""
 SELECT o_custkey, o_orderkey AS rank,

@@ -549,6 +549,11 @@ SELECT service_num, c_custkey, service_name, service_website, postcode, segment
 WITH {_SERVICES}
 SELECT c_custkey, service_name, CASE WHEN postcode = 'nan' THEN NULL ELSE postcode END AS postcode,
        'Zürich, "alt" ' || c_custkey AS town FROM services""",
+    "csv_line_breaks": in_sql(inputs.NOTES),
+    "listed_words": f"""
+SELECT DISTINCT address_id, word
+FROM ({in_sql(inputs.PAGE_ADDRESSES)}) a JOIN ({in_sql(inputs.LISTED_WORDS)}) w
+  ON contains(lower(a.raw), w.word) WHERE w.word <> ''""",
     "load_summary": f"""
 WITH {_SERVICES}
 SELECT count(*) AS total, count({_absent('service_website')}) AS with_website,

@@ -15,6 +15,7 @@ from contactline.functions.text import SPACE, strip
 from contactline.operators import contacts as ct
 from contactline.operators import crawl as cr
 from contactline.operators import ingest as ig
+from contactline.operators import listed
 from contactline.operators import pages as pg
 from contactline.operators import websites as ws
 from contactline.operators.skew import hot_key_left_join
@@ -154,6 +155,16 @@ def csv_services(spark, sf_dir):
     )
 
 
+@registered
+def csv_line_breaks(spark, sf_dir):
+    """Services with line breaks, quotes and commas in their cells, written to one delimited file and
+    read back in pieces."""
+    out = new_folder(spark, "services-csv")
+    in_spark(spark, sf_dir, inputs.NOTES).coalesce(1).write.options(**CSV_WRITE).csv(out)
+    return read_csv(spark, out).select(
+        F.col("c_custkey").cast("long").alias("c_custkey"), "name", "note")
+
+
 @registered
 def load_summary(spark, sf_dir):
     return ig.load_summary(_mapped(spark, sf_dir))
@@ -263,6 +274,15 @@ def page_report(spark, sf_dir):
     return report.withColumns({n: F.col(n).cast("long") for n in ("n_found", "n_ignored")})
 
 
+@registered
+def listed_words(spark, sf_dir):
+    """Words of a list that is a table (names of sites, words of documents) in raw addresses."""
+    addresses = in_spark(spark, sf_dir, inputs.PAGE_ADDRESSES).select(
+        "address_id", F.lower("raw").alias("email"))
+    return listed.listed_words(
+        addresses, "address_id", "email", in_spark(spark, sf_dir, inputs.LISTED_WORDS))
+
+
 # ---------------------------------------------------------------- contacts
 
 
