@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contactline.functions.addresses import category, domain_part
 from contactline.functions.urls import host_or_first_segment, root_domain
+from contactline.operators.cells import PART, in_parts
 from contactline.operators.skew import hot_key_left_join
 from contactline.rules import (
     CATEGORIES,
@@ -98,6 +99,28 @@ def contacts_by_site(flagged: DataFrame) -> DataFrame:
     )
 
 
+def contact_parts(flagged: DataFrame, size: int = PART) -> DataFrame:
+    """``site_key, category, part, start, n, text``: what ``contacts_by_site`` has in one cell, in
+    parts of at most ``size`` bytes, for sites with any number of addresses."""
+    kept = own_domain_first(flagged).where("kept")
+    return in_parts(kept, ["site_key", "category"], "email", size)
+
+
+def contact_counts(flagged: DataFrame) -> DataFrame:
+    """``site_key``, the number of addresses by category and ``n_addresses``: what goes with
+    ``contact_parts``. Only sums by site are shuffled."""
+    by_kind = flagged.groupBy("site_key").agg(
+        F.bool_or("is_own").alias("any_own"),
+        *(F.count_if((F.col("category") == n) & (F.col("is_own") == own)).alias(f"{n} {own}")
+          for n in CATEGORIES for own in (True, False)))
+    counts = [
+        F.when(F.col("any_own"), F.col(f"`{n} True`")).otherwise(F.col(f"`{n} False`")).alias(n)
+        for n in CATEGORIES
+    ]
+    total = sum((F.col(f"`{n}`") for n in CATEGORIES), F.lit(0).cast("long"))
+    return by_kind.select("site_key", *counts).withColumn("n_addresses", total)
+
+
 def site_records(sites: DataFrame, contacts: DataFrame) -> DataFrame:
     """One row per site, found addresses or not, with status and reason.
 

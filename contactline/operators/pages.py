@@ -9,6 +9,7 @@ from contactline.functions import addresses as ad
 from contactline.functions import urls
 from contactline.functions.html import parse_page
 from contactline.functions.text import any_of
+from contactline.operators.cells import PART, in_parts
 from contactline.rules import DEFAULT_RULES, Rules
 
 STAGE_BROKEN, STAGE_ZONE, STAGE_BODY, STAGE_COMMON = 0, 1, 2, 3
@@ -118,10 +119,24 @@ def page_addresses(parsed: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame
     return judge(rows, rules)
 
 
+def _ignored() -> Column:
+    """An ignored address and its reason as one text; null for a valid one."""
+    return F.when(~F.col("is_valid"), F.concat(
+        F.lit("'"), "email", F.lit("' ("), "ignore_reason", F.lit(")")))
+
+
+def page_report_parts(judged: DataFrame, keys: list[str], size: int = PART) -> DataFrame:
+    """``keys, valid, part, start, n, text``: the two cells of ``page_report`` in parts of at most
+    ``size`` bytes, for pages with any number of addresses."""
+    entries = judged.select(
+        *keys, F.col("is_valid").alias("valid"),
+        F.when(F.col("is_valid"), F.col("email")).otherwise(_ignored()).alias("entry"))
+    return in_parts(entries, [*keys, "valid"], "entry", size)
+
+
 def page_report(judged: DataFrame, keys: list[str]) -> DataFrame:
     """Per page: sorted valid addresses, and the ignored ones with their reasons."""
-    ignored = F.when(~F.col("is_valid"), F.concat(
-        F.lit("'"), "email", F.lit("' ("), "ignore_reason", F.lit(")")))
+    ignored = _ignored()
     sets = judged.groupBy(*keys).agg(
         F.sort_array(F.collect_set(F.when(F.col("is_valid"), F.col("email")))).alias("valid"),
         F.sort_array(F.collect_set(ignored)).alias("invalid"),

@@ -244,6 +244,20 @@ _CONTACTS = """contacts AS (
     f"coalesce(string_agg(email, ', ' ORDER BY email) FILTER (WHERE category = '{c}'), '') AS \"{c}\""
     for c in r.CATEGORIES))
 
+def _in_parts(rows: str, keys: str, value: str, size: int) -> str:
+    """Parts of cells: values by the half part in which they begin, halves numbered anew."""
+    return f"""begun AS (
+  SELECT {keys}, {value} AS entry,
+         coalesce(sum(strlen({value}) + 2) OVER (PARTITION BY {keys} ORDER BY {value}
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at_byte
+  FROM {rows}),
+halves AS (
+  SELECT {keys}, at_byte // {size // 2} AS half, min(at_byte) AS start, count(*) AS n,
+         string_agg(entry, ', ' ORDER BY entry) AS text
+  FROM begun GROUP BY ALL)
+SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY half) AS part, start, n, text FROM halves"""
+
+
 _VALID_JUDGED = f"""valid AS (SELECT DISTINCT site_key, email FROM judged WHERE ignore_reason IS NULL),
 domains AS (SELECT DISTINCT site_key, {_root(_host_of('url'))} AS root_domain FROM judged)"""
 
@@ -613,6 +627,27 @@ SELECT site_key, page_seq, url,
        count(*) FILTER (WHERE ignore_reason IS NULL) AS n_found,
        count(*) FILTER (WHERE ignore_reason IS NOT NULL) AS n_ignored
 FROM once GROUP BY site_key, page_seq, url""",
+    "page_report_parts": f"""
+WITH {_JUDGED},
+entries AS (
+  SELECT DISTINCT site_key, page_seq, url, ignore_reason IS NULL AS valid,
+         CASE WHEN ignore_reason IS NULL THEN email
+              ELSE '''' || email || ''' (' || ignore_reason || ')' END AS value
+  FROM judged),
+{_in_parts('entries', 'site_key, page_seq, url, valid', 'value', 120)}""",
+    "site_contact_parts": f"""
+WITH {_JUDGED},
+{_VALID_JUDGED},
+{_KEPT},
+shown AS (SELECT site_key, category, email FROM kept WHERE kept),
+{_in_parts('shown', 'site_key, category', 'email', 200)}""",
+    "site_contact_counts": f"""
+WITH {_JUDGED},
+{_VALID_JUDGED},
+{_KEPT}
+SELECT site_key, {', '.join(f"count(*) FILTER (WHERE category = '{c}') AS {chr(34)}{c}{chr(34)}" for c in r.CATEGORIES)},
+       count(*) AS n_addresses
+FROM kept WHERE kept GROUP BY site_key""",
     "own_domain_priority": f"""
 WITH {_JUDGED},
 {_VALID_JUDGED},
@@ -678,6 +713,18 @@ WHERE "Status" = 'Failed'""",
     "run_counts": f"""{_FROM_TABLES}
 SELECT count(*) AS total_rows, count(*) FILTER (WHERE "Status" = 'Success') AS success_rows,
        count(*) FILTER (WHERE "Status" = 'Failed') AS failed_rows FROM enriched""",
+    "sparse_results": f"""
+WITH {_SERVICES}
+SELECT service_num, CASE WHEN service_num % 3 = 0 THEN 'success' ELSE 'failed' END AS result,
+       CAST({len(r.ENRICHED_COLUMNS)} AS BIGINT) AS n_columns, CAST(2 AS BIGINT) AS n_filled
+FROM services WHERE service_num % 3 < 2""",
+    "guarded_inputs": f"""
+WITH {_SERVICES},
+named AS (SELECT count(*) AS n FROM services)
+SELECT * FROM (
+  SELECT unnest(['whole', 'parquet']) AS input, 'read' AS verdict, n FROM named
+  UNION ALL SELECT unnest(['no rows', 'no names', 'no name column', 'other type']), 'refused', 0
+  UNION ALL SELECT 'missing', 'missing', 0)""",
     "enriched_from_pages": f"""WITH {_PAGE_LOCATED},
 {_SITE_BODIES},
 {_WHOLE},

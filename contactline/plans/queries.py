@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from contactline.operators import ingest as ig
 from contactline.operators import listed
 from contactline.operators import pages as pg
 from contactline.operators import websites as ws
+from contactline.operators.cells import write_parts
 from contactline.operators.skew import hot_key_left_join
 from contactline.plans import inputs
 from contactline.plans.enrich import (
@@ -30,7 +32,9 @@ from contactline.plans.enrich import (
     with_site_key,
 )
 from contactline.plans.inputs import in_spark
-from contactline.rules import DEFAULT_RULES, MAX_PAGES
+from contactline.rules import (
+    DEFAULT_RULES, ENRICHED_COLUMNS, MAX_PAGES, SERVICE_NAME, STATUS,
+)
 from contactline.runtime import materialise, new_folder
 from contactline.sources import results as rs
 from contactline.sources.results import CSV_WRITE
@@ -274,6 +278,15 @@ def page_report(spark, sf_dir):
     return report.withColumns({n: F.col(n).cast("long") for n in ("n_found", "n_ignored")})
 
 
+@registered
+def page_report_parts(spark, sf_dir):
+    """The same in numbered parts of at most 120 bytes, as cells of any length are written, read back."""
+    folder = new_folder(spark, "report-parts")
+    keys = ["site_key", "page_seq", "url"]
+    write_parts(pg.page_report_parts(_judged(spark, sf_dir), keys, 120), [*keys, "valid"], folder)
+    return spark.read.parquet(folder)
+
+
 @registered
 def listed_words(spark, sf_dir):
     """Words of a list that is a table (names of sites, words of documents) in raw addresses."""
@@ -308,6 +321,18 @@ def site_contacts(spark, sf_dir):
     return records.withColumn("all_categories", ct.all_categories_found())
 
 
+@registered
+def site_contact_parts(spark, sf_dir):
+    """The category cells of every site in numbered parts of at most 200 bytes."""
+    return ct.contact_parts(_flagged(spark, sf_dir), 200)
+
+
+@registered
+def site_contact_counts(spark, sf_dir):
+    """Number of addresses by site and category, without any list."""
+    return ct.contact_counts(_flagged(spark, sf_dir))
+
+
 @registered
 def complete_pages(spark, sf_dir):
     """The page after which a site has all six categories."""
@@ -462,7 +487,53 @@ def failed(spark, sf_dir):
 
 @registered
 def run_counts(spark, sf_dir):
-    return rs.status_counts(_enriched(spark, sf_dir))
+    """Rows of a run as counted while its tables are written."""
+    counts = rs.write_results(
+        materialise(_enriched(spark, sf_dir), "enriched"), new_folder(spark, "results"))
+    return spark.range(1).select(*(F.lit(n).cast("long").alias(name) for name, n in counts.items()))
+
+
+@registered
+def sparse_results(spark, sf_dir):
+    """Result rows of a table that lacks most columns: these are there, and empty."""
+    lacking = _services(spark, sf_dir).select(
+        "service_num", F.col("service_name").alias(SERVICE_NAME),
+        F.when(F.col("service_num") % 3 == 0, " SUCCESS ").when(F.col("service_num") % 3 == 1, "failed")
+        .alias(STATUS))
+    full = rs.enriched_table(lacking)
+    filled = sum((F.when(F.col(f"`{c}`") != "", 1).otherwise(0) for c in ENRICHED_COLUMNS), F.lit(0))
+    return rs.success_table(full).select("service_num", F.lit("success").alias("result")).unionByName(
+        rs.failed_table(full).select("service_num", F.lit("failed").alias("result"))
+    ).join(full.select("service_num", F.lit(len(full.columns) - 1).cast("long").alias("n_columns"),
+                       filled.cast("long").alias("n_filled")), "service_num")
+
+
+@registered
+def guarded_inputs(spark, sf_dir):
+    """What the reader says of files of several kinds, made of the services of each segment."""
+    mapped = _mapped(spark, sf_dir)
+    unnamed = mapped.withColumn(SERVICE_NAME, F.lit(None).cast("string"))
+    tables = [
+        ("whole", mapped, "csv", ".csv"),
+        ("parquet", mapped, "parquet", ".parquet"),
+        ("no rows", mapped.limit(0), "csv", ".csv"),
+        ("no names", unnamed, "csv", ".csv"),
+        ("no name column", mapped.drop(SERVICE_NAME), "csv", ".csv"),
+        ("other type", mapped, "csv", ".xlsx"),
+        ("missing", None, "csv", ".csv"),
+    ]
+    verdicts = []
+    for name, rows, fmt, suffix in tables:
+        path = new_folder(spark, "guarded") + suffix
+        if rows is not None:
+            rows.coalesce(1).write.format(fmt).options(**(CSV_WRITE if fmt == "csv" else {})).save(path)
+        try:
+            n, verdict = read_services(spark, path, "c_custkey").count(), "read"
+        except (ValueError, AnalysisException) as refusal:
+            n, verdict = 0, "missing" if isinstance(refusal, AnalysisException) else "refused"
+        verdicts.append(F.struct(
+            F.lit(name).alias("input"), F.lit(verdict).alias("verdict"), F.lit(n).cast("long").alias("n")))
+    return spark.range(1).select(F.inline(F.array(*verdicts)))
 
 
 @registered

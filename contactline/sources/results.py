@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from contactline.functions.text import strip
@@ -47,20 +47,26 @@ def failed_table(enriched: DataFrame) -> DataFrame:
     return enriched.where(_has_status(FAILED)).select("service_num", *FAILED_COLUMNS)
 
 
-def status_counts(enriched: DataFrame) -> DataFrame:
-    return enriched.agg(
+def _counts() -> list[Column]:
+    return [
         F.count("*").alias("total_rows"),
         F.count_if(_has_status(SUCCESS)).alias("success_rows"),
         F.count_if(_has_status(FAILED)).alias("failed_rows"),
-    )
+    ]
+
+
+def status_counts(enriched: DataFrame) -> DataFrame:
+    return enriched.agg(*_counts())
 
 
-def write_results(enriched: DataFrame, folder: str, fmt: str = "parquet") -> None:
-    """Write services_enriched, services_success and services_failed in input order.
+def write_results(enriched: DataFrame, folder: str, fmt: str = "parquet") -> dict[str, int]:
+    """Write services_enriched, services_success and services_failed in input order; gives
+    ``total_rows, success_rows, failed_rows`` as counted while the first was written.
 
     ``enriched`` should be a written table: it is read three times.
     """
     options = CSV_WRITE if fmt == "csv" else {}
+    counted = Observation()
     tables = {
         "services_enriched": enriched,
         "services_success": success_table(enriched),
@@ -68,12 +74,15 @@ def write_results(enriched: DataFrame, folder: str, fmt: str = "parquet") -> Non
     }
     for name, table in tables.items():
         # A range partitioning keeps the order across files without one task sorting all.
+        ordered = table.repartitionByRange("service_num").sortWithinPartitions("service_num")
+        if table is enriched:
+            # After the sort: below it, finding the ranges would count the rows once more.
+            ordered = ordered.observe(counted, *_counts())
         (
-            table.repartitionByRange("service_num")
-            .sortWithinPartitions("service_num")
-            .drop("service_num")
+            ordered.drop("service_num")
             .write.mode("overwrite")
             .format(fmt)
             .options(**options)
             .save(f"{folder}/{name}")
         )
+    return counted.get

@@ -239,7 +239,9 @@ def test_whole_run_for_any_number_of_partitions(spark, partitions):
 def test_written_results(spark, tmp_path, fmt):
     out = str(tmp_path / "out")
     enriched = whole_run(spark)
-    rs.write_results(enriched, out, fmt)
+    counts = rs.write_results(enriched, out, fmt)
+    assert counts == {"total_rows": 6, "success_rows": 3, "failed_rows": 3}
+
     def read(name):
         reader = spark.read.options(header=True, escape='"') if fmt == "csv" else spark.read
         return reader.format(fmt).load(f"{out}/{name}")
