@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 
@@ -127,6 +128,50 @@ def test_hosts_paths_and_given_rules(spark):
     assert urls.judge(pages.limit(0), labelled, queries.URL_RULES).count() == 0
 
 
+def spelled_out(rules, names):
+    """Rules for every choice of one token per name."""
+    members = {}
+    for r in names.collect():
+        members.setdefault(r["name"], []).append(r["token"])
+    return {
+        tuple(sorted(choice)): r["confidence"] for r in rules.collect()
+        for choice in itertools.product(*(members[n] for n in r["names"]))}
+
+
+def test_tokens_that_always_occur_together(spark):
+    """Rules for one name of them are those that all of them would have."""
+    rnd = random.Random(4)
+    made = []
+    for _ in range(250):
+        shape = rnd.choice(["m.a.org/x/y", "m.a.org/x/y/z", "b.org/z", "b.org/x/y", "c.net/q/r"])
+        made.append((f"s://{shape}", rnd.random() < (0.9 if "y" in shape else 0.2)))
+    labelled = spark.createDataFrame(made, "url string, bad boolean")
+    known = labelled.select(urls.tokens(F.col("url")).alias("tokens"), "bad")
+    sets = [(set(r["tokens"]), r["bad"]) for r in known.collect()]
+    want = brute.apriori(sets, 0.05, 0.6)
+    rules, names = urls.mine(known, 0.05, 0.6)
+    assert names.select("name").distinct().count() < names.count()
+    assert spelled_out(rules, names) == pytest.approx(want)
+    shapes = ["m.a.org", "a.org/y", "a.org/x", "x.org/y/q", "c.net/q", "c.net/r/z", "org/z", "b.org/x/z"]
+    pages = spark.createDataFrame([(i, f"s://{u}") for i, u in enumerate(shapes)], "page_id long, url string")
+    has = {r["page_id"]: set(r["t"]) for r in pages.select(
+        "page_id", urls.tokens(F.col("url")).alias("t")).collect()}
+    for r in urls.judge(pages, labelled, min_support=0.05).collect():
+        fits = [v for k, v in want.items() if set(k) <= has[r["page_id"]]]
+        assert r["confidence"] == (pytest.approx(max(fits)) if fits else None), shapes[r["page_id"]]
+
+
+def test_a_frequent_url_of_many_parts(spark):
+    """Forty parts that occur together are not 2 ** 40 combinations."""
+    long = "s://h.org/" + "/".join(f"p{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    made = [(long, True)] * 8 + [(f"s://h{i % 9}.net/q{chr(97 + i % 7)}", i % 5 == 0) for i in range(400)]
+    labelled = spark.createDataFrame(made, "url string, bad boolean")
+    pages = spark.createDataFrame(
+        [(1, long), (2, "s://h.org/paa/other"), (3, "s://h1.net/qa")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, labelled).collect()}
+    assert got[1] == got[2] == "block"
+
+
 def test_mined_rules_are_those_of_apriori(spark):
     rnd = random.Random(3)
     made = []
@@ -138,7 +183,7 @@ def test_mined_rules_are_those_of_apriori(spark):
     made += [(None, True), ("http://a/x", None)]
     labelled = spark.createDataFrame(made, "url string, bad boolean")
     known = labelled.where("bad is not null").select(urls.tokens(F.col("url")).alias("tokens"), "bad")
-    rules = {tuple(r["tokens"]): r["confidence"] for r in urls.mine(known, 0.05, 0.6).collect()}
+    rules = spelled_out(*urls.mine(known, 0.05, 0.6))
     sets = [({"scheme:http", f"host:{u[7]}", f"path:{u[9]}"}, b) for u, b in made[:-2]]
     want = brute.apriori(sets, 0.05, 0.6)
     assert rules == pytest.approx(want) and rules
