@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items meet where they share a seed, a run of SHORTEST words. For each such
-pair, tiles are laid: the longest common runs of words that no tile covers yet are found with running
+Documents and benchmark items meet where they share a seed, a run of SHORTEST words, that is one of the
+item's rarest: so many that a document without them cannot cover the item. For each such pair, tiles are
+laid: the longest common runs of words that no tile covers yet are found with running
 Karp-Rabin hashes and marked, again and again, down to SHORTEST words. The share of an item's words
 under tiles does not depend on their order, so passages whose parts are moved are found as well.
 
@@ -69,7 +70,8 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 def _stretches(rows: DataFrame, marks: bytes) -> DataFrame:
     """``row, words, seeds``: of each document the seeds that the filter lets through and the words
-    under them, with 0 between stretches that do not adjoin. Documents without any are left out."""
+    under them, each once, with 0 between stretches that do not adjoin. Documents without any are left
+    out."""
 
     def of(h: np.ndarray, at: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
         bits = np.frombuffer(marks, np.uint8)
@@ -81,7 +83,7 @@ def _stretches(rows: DataFrame, marks: bytes) -> DataFrame:
         out: tuple[list, list, list] = ([], [], [])
         for d in np.unique(doc):
             f = first[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
-            parts = np.split(f, np.flatnonzero(np.diff(f) > 1) + 1)
+            parts = np.split(f, np.flatnonzero(np.diff(f) > SHORTEST) + 1)
             words = []
             for p in parts:
                 words += [h[p[0] : p[-1] + SHORTEST], np.zeros(1, np.uint64)]
@@ -156,47 +158,104 @@ def tiles(pattern: list[int], text: list[int], shortest: int = SHORTEST) -> list
             length = max(shortest, length // 2)
 
 
-def _tiled(pairs: DataFrame) -> DataFrame:
-    """``row, item, n_tiles, covered, n`` of pairs with the words of both."""
+def _tiled(pairs: DataFrame, least: float) -> DataFrame:
+    """``row, item, n_tiles, covered, n`` of pairs with the words and seeds of both. No more of an item
+    can be tiled than lies under shared seeds, so pairs with too few of these are left out at once."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k in range(batch.num_rows):
-                item, text = (batch.column(c)[k].as_py() for c in ("item_words", "words"))
-                low = (1 << 61) - 2
-                laid = tiles([w % low + 1 for w in item], [w and w % low + 1 for w in text])
-                out.append((len(laid), sum(x[2] for x in laid)))
-            n, covered = zip(*out, strict=True) if out else ((), ())
+            low = (1 << 61) - 2
+            for row, item, n, item_words, item_seeds, words, held in zip(
+                    *(c.to_pylist() for c in batch.columns), strict=True):
+                shared = np.flatnonzero(np.isin(item_seeds, held))
+                if _under(shared, n).sum() < least * n:
+                    continue
+                laid = tiles([w % low + 1 for w in item_words], [w and w % low + 1 for w in words])
+                out.append((row, item, len(laid), sum(x[2] for x in laid), n))
+            columns = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("item"), pa.array(n, pa.int64()),
-                 pa.array(covered, pa.int64()), batch.column("n")],
+                [pa.array(c, pa.int64()) for c in columns],
                 names=["row", "item", "n_tiles", "covered", "n"])
 
-    return pairs.mapInArrow(per_batch, "row long, item long, n_tiles long, covered long, n long")
+    return pairs.select("row", "item", "n", "item_words", "item_seeds", "words", "seeds").mapInArrow(
+        per_batch, "row long, item long, n_tiles long, covered long, n long")
+
+
+def _under(first: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie under seeds that begin at some places."""
+    edges = np.zeros(n + SHORTEST, np.int64)
+    edges[first] += 1
+    edges[first + SHORTEST] -= 1
+    return np.cumsum(edges)[:n] > 0
+
+
+def needed(places: np.ndarray, held: np.ndarray, counts: np.ndarray, n: int, least: float) -> np.ndarray:
+    """The rarest seeds of an item, of which a document with ``least`` of its words has one at least:
+    those left once the most frequent ones, as many as cover less than that, are put aside.
+
+    ``places``, ``held`` and ``counts`` are the place, the seed and its number of documents."""
+    order = np.lexsort((held, -counts))
+    seeds_, first = np.unique(held[order], return_index=True)
+    seeds_ = seeds_[np.argsort(first)]  # the most frequent first
+    aside = np.zeros(n, bool)
+    for k, s in enumerate(seeds_):
+        for p in places[held == s]:
+            aside[p : p + SHORTEST] = True
+        if aside.sum() >= least * n:
+            return seeds_[k:]
+    return seeds_[:0]
+
+
+def _needed(items: DataFrame, least: float) -> DataFrame:
+    """``item, seed`` from ``item, n, found``, the places, seeds and document counts of each item."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            for item, n, *found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                places, held, counts = (np.array(f, np.int64) for f in found)
+                rare = needed(places, held, counts, n, least).tolist()
+                out[0].extend([item] * len(rare))
+                out[1].extend(rare)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in out], names=["item", "seed"])
+
+    return items.select("item", "n", "found.at", "found.seed", "found.docs").mapInArrow(
+        per_batch, "item long, seed long")
+
+
+def _marks(seeds_: DataFrame) -> bytes:
+    """The filter's bits; what the tasks send back is its words, FILTER_BITS / 64 at most."""
+    bit = F.pmod("seed", F.lit(FILTER_BITS))
+    one = F.expr(f"shiftleft(1L, cast(pmod(seed, {FILTER_BITS}L) & 63 AS int))")
+    words = seeds_.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
+    marks = np.zeros(FILTER_BITS // 64, np.int64)
+    marks[[r["word"] for r in words]] = [r["bits"] for r in words]
+    return marks.astype("<i8").tobytes()
 
 
 def tilings(rows: DataFrame, items: DataFrame, least: float) -> DataFrame:
     """``row, item, n_tiles, covered, n`` of all pairs with at least ``least`` of the item covered;
-    ``rows`` and ``items`` have unique ``row`` and ``text``."""
+    ``rows`` and ``items`` have unique ``row`` and ``text``.
+
+    Documents meet items by the items' rarest seeds only (see ``needed``), so a phrase that many of
+    both have brings no pairs about.
+    """
     items = materialise(_items(items), "items")
     of_items = items.select("item", "n", F.posexplode("seeds").alias("at", "seed"))
-    bits = of_items.select(F.pmod("seed", F.lit(FILTER_BITS)).alias("bit")).distinct().collect()
-    marks = np.zeros(FILTER_BITS // 8, np.uint8)
-    at = np.array([r["bit"] for r in bits], np.int64)
-    np.bitwise_or.at(marks, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-    found = packed(_stretches(rows, marks.tobytes()), "stretches")
-    # No more of an item can be tiled than lies under shared seeds.
-    under = F.size(F.array_distinct(F.flatten(F.transform(
-        F.collect_set("at"), lambda p: F.sequence(p, p + SHORTEST - 1)))))
-    pairs = (
-        found.select("row", F.explode("seeds").alias("seed")).join(of_items, "seed")
-        .groupBy("row", "item").agg((under / F.first("n")).alias("most"))
-        .where(F.col("most") >= least).select("row", "item")
-    )
-    words = items.select("item", "n", F.col("words").alias("item_words"))
-    joined = materialise(pairs, "pairs").join(found.select("row", "words"), "row").join(words, "item")
-    tiled = _tiled(joined.select("row", "item", "n", "words", "item_words"))
+    found = packed(_stretches(rows, _marks(of_items)), "stretches")
+    # A seed of each item is taken once; those that no document has take no part.
+    met = found.select("row", F.explode("seeds").alias("seed"))
+    counts = met.groupBy("seed").agg(F.count("*").alias("docs"))
+    known = of_items.join(counts, "seed").groupBy("item", "n").agg(
+        F.collect_list(F.struct("at", "seed", "docs")).alias("found"))
+    rare = materialise(_needed(known, least), "rare_seeds")
+    pairs = materialise(met.join(rare, "seed").select("row", "item").distinct(), "pairs")
+    words = items.select(
+        "item", "n", F.col("words").alias("item_words"), F.col("seeds").alias("item_seeds"))
+    joined = pairs.join(found, "row").join(words, "item")
+    tiled = _tiled(joined, least)
     return materialise(tiled.where(F.col("covered") >= least * F.col("n")), "tilings")
 
 

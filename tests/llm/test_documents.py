@@ -4,6 +4,7 @@ import random
 import zlib
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +264,60 @@ def test_reordered_passages_are_found(spark):
     assert decontaminate.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_whoever_covers_an_item_has_a_needed_seed():
+    rnd = random.Random(12)
+    for _ in range(400):
+        n = rnd.randrange(5, 40)
+        held = np.array([rnd.randrange(30) for _ in range(n - 4)])
+        frequent = [rnd.randrange(1, 5) for _ in range(30)]
+        places, counts = np.arange(n - 4), np.array([frequent[s] for s in held])
+        rare = set(decontaminate.needed(places, held, counts, n, 0.6).tolist())
+        for _ in range(20):
+            shared = {s for s in held.tolist() if rnd.random() < rnd.random()}
+            under = {w for p, s in enumerate(held) if s in shared for w in range(p, p + 5)}
+            assert len(under) < 0.6 * n or shared & rare
+
+
+def test_leaks_are_those_of_all_pairs(spark):
+    """Few words, so that most texts share seeds: what the rarest seeds leave out has no leak."""
+    rnd = random.Random(13)
+    words = lambda n: [rnd.choice("abc") for _ in range(n)]
+    items = [words(rnd.randrange(4, 30)) for _ in range(12)]
+    texts = [words(rnd.randrange(60)) for _ in range(40)]
+    for t in texts[::4]:
+        t[5:5] = rnd.choice(items)[rnd.randrange(6):]
+    bench = spark.createDataFrame(
+        [(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = decontaminate.contaminated(docs_of(spark, [" ".join(t) for t in texts]), bench).collect()
+    want = set()
+    number = {"a": 1, "b": 2, "c": 3}
+    for d, t in enumerate(texts):
+        for i, w in enumerate(items):
+            laid = decontaminate.tiles([number[x] for x in w], [number[x] for x in t])
+            if laid and sum(x[2] for x in laid) >= 0.6 * len(w):
+                want.add((d, i, sum(x[2] for x in laid)))
+    got = {(r["doc_id"], r["item_id"], r["covered_words"]) for r in found}
+    assert got == want and want
+
+
+def test_a_common_phrase_brings_no_pairs(spark, monkeypatch):
+    """In all documents and items, but too short for a leak: few documents meet an item."""
+    rnd = random.Random(14)
+    noise = lambda n: " ".join(f"n{rnd.randrange(10**6)}" for _ in range(n))
+    phrase = "this phrase is in all of the texts"
+    texts = [f"{noise(20)} {phrase} {noise(20)}" for _ in range(400)]
+    bench = [(i, f"{noise(10)} {phrase} {noise(10)}") for i in range(50)]
+    texts[7] = bench[3][1]
+    met = []
+    tiled = decontaminate._tiled
+    monkeypatch.setattr(
+        decontaminate, "_tiled", lambda pairs, least: met.append(pairs.count()) or tiled(pairs, least))
+    found = decontaminate.contaminated(
+        docs_of(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(7, 3)]
+    assert met == [1]
+
+
 # ---- quality
 
 
