@@ -19,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from contactline.llm.common import named, numbered
 from contactline.llm.graph import components
+from contactline.operators.skew import hot_key_left_join
 from contactline.runtime import materialise
 
 #: Vectors of a block, about.
@@ -177,11 +179,22 @@ def _join_blocks(table: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"row": row[some], "n_links": count[some], "linked": tree[some]})
 
 
+def _numbered_labels(usable: DataFrame) -> DataFrame:
+    """Labels as longs: whole numbers as they are, others as the smallest row that has them."""
+    if isinstance(usable.schema["label"].dataType, IntegralType):
+        return usable.withColumn("label", F.col("label").cast("long"))
+    usable = materialise(usable, "labelled_vectors")
+    numbers = usable.groupBy("label").agg(F.min("row").alias("_number"))
+    return hot_key_left_join(usable, numbers, ["label"], ["row"]).select(
+        "row", F.col("_number").alias("label"), "embedding")
+
+
 def link(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, one row per row of ``vec_id, embedding, label``.
 
     Two vectors are linked if their labels are equal and not null, their dimensions are equal, and
-    their cosine in double precision is at least ``cosine`` (above 0). Vectors that are null, empty
+    their cosine in double precision is at least ``cosine`` (above 0). Labels may be of any type that
+    can be grouped. Vectors that are null, empty
     or zero or hold null or non-finite components are linked with nothing. Rows that repeat a
     vec_id, or have none, are vectors of their own; a component is named by its smallest vec_id.
     """
@@ -191,8 +204,8 @@ def link(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     ) & F.exists("embedding", lambda c: c != 0)
     doubles = F.transform("embedding", lambda c: c.cast("double") + F.lit(0.0))  # -0.0 is 0.0
     usable = rows.where(F.coalesce(good, F.lit(False))).select(
-        "row", F.col("label").cast("long").alias("label"), doubles.alias("embedding"))
-    members = materialise(usable, "vectors")
+        "row", "label", doubles.alias("embedding"))
+    members = materialise(_numbered_labels(usable), "vectors")
     distinct = materialise(
         members.groupBy("label", "embedding").agg(
             F.min("row").alias("row"), F.count("*").alias("n")), "distinct_vectors")

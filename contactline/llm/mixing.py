@@ -115,15 +115,19 @@ def mix(
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: ``docs``, all columns, each as many times as it is taken, and ``copy`` (from
-    1). Texts are moved once; the choice is made without them."""
+    1), or ``copy_`` and so on where ``docs`` has that name. Texts are moved once; the choice is made
+    without them."""
     rows = numbered_whole(docs)
     chosen = mix(rows.select(F.col("row").alias("doc_id"), "text", "rest.source"), **how).where(
         "copies > 0").select(F.col("doc_id").alias("_row"), "copies")
     copies = rows.join(chosen, F.col("row") == F.col("_row")).select(
         "text", "rest", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    names = [c for c in docs.columns if c != "copy"]
+    number = "copy"
+    while number in {c.lower() for c in docs.columns}:
+        number += "_"
     return copies.select(
-        *[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in names], "copy")
+        *[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns],
+        F.col("copy").alias(number))
 
 
 #: DuckDB SQL for the rows of ``mix`` over ``documents``.

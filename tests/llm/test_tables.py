@@ -350,6 +350,9 @@ def test_targets_and_copies(spark):
     whole = mixing.mixture(df)
     assert whole.columns == [*df.columns, "copy"]
     assert whole.count() == sum(r["copies"] for r in got)
+    clash = mixing.mixture(df.withColumn("Copy", F.lit("kept")))
+    assert clash.columns == [*df.columns, "Copy", "copy_"]
+    assert {r[0] for r in clash.select("Copy").distinct().collect()} == {"kept"}
 
 
 # ---- vectors
@@ -430,3 +433,13 @@ def test_vectors_of_odd_ids(spark):
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.link(df).collect()), key=str)
     assert got == [(1, 2, 1), (1, 2, 1), (2, 0, 2), (None, 2, 1)]
     assert embeddings.link(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind,labels", [
+    ("string", ["a", "b", "a", None, "1"]), ("double", [1.2, 1.7, 1.2, None, 1.0]),
+    ("boolean", [True, False, True, None, None]), ("tinyint", [1, 2, 1, None, 3])])
+def test_labels_of_any_type(spark, kind, labels):
+    rows = [(i, [1.0, 0.001 * i], label) for i, label in enumerate(labels)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.link(df).collect()}
+    assert got == {0: (1, 0), 1: (0, 1), 2: (1, 0), 3: (0, 3), 4: (0, 4)}
