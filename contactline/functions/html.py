@@ -1,15 +1,17 @@
 """Page parsing: one Arrow-batched function for the texts, one for the links of a page.
 
 The parser is only a stack of open elements over the standard library's tokenizer; everything that
-happens to the texts and links afterwards is column expressions.
+happens to the texts and links afterwards is column expressions. Which elements matter is part of the
+rules (``Rules``).
 """
 
 from __future__ import annotations
 
 import re
 import sys
+from dataclasses import dataclass
+from functools import cache
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -17,16 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactline.functions.seams import address_text
-from contactline.rules import (
-    HIDDEN_ARIA,
-    HIDDEN_ATTRIBUTE,
-    HIDDEN_STYLES,
-    HIDDEN_TAGS,
-    LINK_ZONE_TAGS,
-    PRIORITY_CLASSES,
-    PRIORITY_IDS,
-    PRIORITY_TAGS,
-)
+from contactline.rules import DEFAULT_RULES, HIDDEN_ARIA, HIDDEN_ATTRIBUTE, Rules
 
 _TEXTS = [
     T.StructField("mailtos", T.ArrayType(T.StringType())),
@@ -38,7 +31,6 @@ LINKS_TYPE = T.ArrayType(T.StructType([
     T.StructField("pos", T.IntegerType()),
     T.StructField("in_zone", T.BooleanType()),
     T.StructField("href", T.StringType()),
-    T.StructField("full_url", T.StringType()),
     T.StructField("text", T.StringType()),
 ]))
 PAGE_TYPE = T.StructType([*_TEXTS, T.StructField("links", LINKS_TYPE)])
@@ -50,28 +42,43 @@ _VOID = frozenset(
 )
 # Elements whose text is not part of a page's text even where they are shown.
 _TEXT_APART = frozenset(("script", "style", "template", "rt", "rp"))
-_HIDDEN = frozenset(HIDDEN_TAGS)
-_PRIORITY = frozenset(PRIORITY_TAGS)
-_ZONES = frozenset(LINK_ZONE_TAGS)
-_CLASSES = frozenset(PRIORITY_CLASSES)
-_IDS = frozenset(PRIORITY_IDS)
-# Elements that matter by their name; others only by their attributes.
-_MARKED = _TEXT_APART | _HIDDEN | _PRIORITY | _ZONES | {"a"}
 
 
-def _is_hidden(tag: str, attrs: dict) -> bool:
-    if tag in _HIDDEN or HIDDEN_ATTRIBUTE in attrs or attrs.get(HIDDEN_ARIA) == "true":
-        return True
-    style = (attrs.get("style") or "").replace(" ", "").lower()
-    return any(s in style for s in HIDDEN_STYLES)
+@dataclass(frozen=True)
+class _Parts:
+    """Which elements are hidden, come first, or hold links for visitors."""
+
+    hidden: frozenset[str]
+    hidden_styles: tuple[str, ...]
+    priority: frozenset[str]
+    classes: frozenset[str]
+    ids: frozenset[str]
+    zones: frozenset[str]
+
+    @property
+    def marked(self) -> frozenset[str]:
+        """Elements that matter by their name; others only by their attributes."""
+        return _TEXT_APART | self.hidden | self.priority | self.zones | {"a"}
+
+    def is_hidden(self, tag: str, attrs: dict) -> bool:
+        if tag in self.hidden or HIDDEN_ATTRIBUTE in attrs or attrs.get(HIDDEN_ARIA) == "true":
+            return True
+        style = (attrs.get("style") or "").replace(" ", "").lower()
+        return any(s in style for s in self.hidden_styles)
+
+    def is_priority(self, tag: str, attrs: dict) -> bool:
+        return (
+            tag in self.priority
+            or (attrs.get("id") or "") in self.ids
+            or not self.classes.isdisjoint((attrs.get("class") or "").split())
+        )
 
 
-def _is_priority(tag: str, attrs: dict) -> bool:
-    return (
-        tag in _PRIORITY
-        or (attrs.get("id") or "") in _IDS
-        or not _CLASSES.isdisjoint((attrs.get("class") or "").split())
-    )
+def _parts_of(rules: Rules) -> _Parts:
+    return _Parts(
+        frozenset(rules.hidden_tags), tuple(rules.hidden_styles), frozenset(rules.priority_tags),
+        frozenset(rules.priority_classes), frozenset(rules.priority_ids),
+        frozenset(rules.link_zone_tags))
 
 
 class _OpenElements(HTMLParser):
@@ -144,9 +151,9 @@ class _Page(_OpenElements):
     A priority element is kept as a range of the visible text nodes.
     """
 
-    def __init__(self, base: str):
+    def __init__(self, parts: _Parts):
         super().__init__()
-        self.base = base
+        self.parts, self.marked = parts, parts.marked
         self.mailtos: list[str] = []
         self.nodes: list[str] = []
         self.ranges: list[list[int]] = []
@@ -155,12 +162,13 @@ class _Page(_OpenElements):
         self.hidden = self.apart = self.zones = 0
 
     def opened(self, tag, attrs):
-        if not attrs and tag not in _MARKED:
+        if not attrs and tag not in self.marked:
             return None
         href = attrs.get("href") if tag == "a" else None
-        hidden, apart, zone = _is_hidden(tag, attrs), tag in _TEXT_APART, tag in _ZONES
+        hidden = self.parts.is_hidden(tag, attrs)
+        apart, zone = tag in _TEXT_APART, tag in self.parts.zones
         span = None
-        if not hidden and not self.hidden and _is_priority(tag, attrs):
+        if not hidden and not self.hidden and self.parts.is_priority(tag, attrs):
             span = [len(self.nodes), -1]
             self.ranges.append(span)
         self.hidden += hidden
@@ -187,8 +195,7 @@ class _Page(_OpenElements):
     def _start_anchor(self, href):
         if href.strip().lower().startswith("mailto:"):
             self.mailtos.append(href)
-        link = {"pos": len(self.links), "in_zone": self.zones > 0, "href": href.strip(),
-                "full_url": _resolve(self.base, href.strip()), "text": ""}
+        link = {"pos": len(self.links), "in_zone": self.zones > 0, "href": href.strip(), "text": ""}
         self.links.append(link)
         self.anchor = (link, [])
 
@@ -221,18 +228,8 @@ class _Page(_OpenElements):
         return address_text(self.nodes, self.ranges)
 
 
-def _resolve(base: str, href: str) -> str | None:
-    """Absolute form of a link; null where it cannot be parsed as a URL."""
-    try:
-        url = urljoin(base, href)
-        urlsplit(url)
-        return url
-    except ValueError:
-        return None
-
-
-def read_page(html: str | None, base: str | None = None) -> _Page:
-    return _Page(base or "").run(html or "")
+def read_page(html: str | None, parts: _Parts = _parts_of(DEFAULT_RULES)) -> _Page:
+    return _Page(parts).run(html or "")
 
 
 # A text can hold an address only with an "@" or with something like "[at]".
@@ -249,32 +246,50 @@ def _parser(kind):
     return lambda fn: F.pandas_udf(fn, kind).asNondeterministic()
 
 
-@_parser(TEXTS_TYPE)
-def parse_texts(html: pd.Series) -> pd.DataFrame:
+@cache
+def texts_parser(rules: Rules = DEFAULT_RULES):
     """mailto links, text of the priority elements and all visible text of each page."""
-    pages = (read_page(h) for h in html)
-    return pd.DataFrame(
-        [(p.mailtos, p.priority_text, p.visible_text) for p in pages],
-        columns=["mailtos", "priority_text", "visible_text"],
-    )
+    parts = _parts_of(rules)
+
+    @_parser(TEXTS_TYPE)
+    def parse_texts(html: pd.Series) -> pd.DataFrame:
+        pages = (read_page(h, parts) for h in html)
+        return pd.DataFrame(
+            [(p.mailtos, p.priority_text, p.visible_text) for p in pages],
+            columns=["mailtos", "priority_text", "visible_text"],
+        )
+
+    return parse_texts
+
+
+@cache
+def links_parser(rules: Rules = DEFAULT_RULES):
+    """Anchors of each page, as written."""
+    parts = _parts_of(rules)
 
+    @_parser(LINKS_TYPE)
+    def parse_links(html: pd.Series) -> pd.Series:
+        return pd.Series([read_page(h, parts).links for h in html], dtype=object)
 
-@_parser(LINKS_TYPE)
-def parse_links(html: pd.Series, base: pd.Series) -> pd.Series:
-    """Anchors of each page, resolved against the URL it was asked for."""
-    return pd.Series([read_page(h, b).links for h, b in zip(html, base)], dtype=object)
+    return parse_links
 
 
-@_parser(PAGE_TYPE)
-def parse_page(html: pd.Series, base: pd.Series) -> pd.DataFrame:
+@cache
+def page_parser(rules: Rules = DEFAULT_RULES):
     """Everything at once. Texts that cannot hold an address come back empty: most pages have
     none, and their text need not travel back to the JVM."""
-    pages = (read_page(h, b) for h, b in zip(html, base))
-    return pd.DataFrame(
-        [(p.mailtos, _if_address(p.priority_once), _if_address(p.visible_text), p.links)
-         for p in pages],
-        columns=["mailtos", "priority_text", "visible_text", "links"],
-    )
+    parts = _parts_of(rules)
+
+    @_parser(PAGE_TYPE)
+    def parse_page(html: pd.Series) -> pd.DataFrame:
+        pages = (read_page(h, parts) for h in html)
+        return pd.DataFrame(
+            [(p.mailtos, _if_address(p.priority_once), _if_address(p.visible_text), p.links)
+             for p in pages],
+            columns=["mailtos", "priority_text", "visible_text", "links"],
+        )
+
+    return parse_page
 
 
 # Ship these functions to the workers by value: no need to install the package there.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,12 +13,22 @@ from contactline.rules import DEFAULT_RULES, SECOND_LEVEL_LABELS, Rules
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 _NETLOC_RX = rf"\A(?:{_SCHEME}:)?//([^/?#]*)"
 _PATH_RX = rf"\A(?:{_SCHEME}:)?(?://[^/?#]*)?([^?#]*)"
-_PARAMS_RX = r"\A((?:.*/)?[^/;]*);[^/]*\z"
+_PARAMS_RX = r"(?s)\A((?:.*/)?[^/;]*);([^/]*)\z"
+_PARTS_RX = rf"(?s)\A(?:({_SCHEME}):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
 # Schemes whose paths may end in ;parameters.
 _WITH_PARAMS = (
     "", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtsps", "rtspu", "sip", "sips",
     "mms", "sftp", "tel",
 )
+# Schemes under which a link may leave out what its page's address has.
+_RELATIVE = (
+    "", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero",
+    "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss",
+)
+# Signs that compatibility forms make a delimiter of: no host may have them.
+_DELIMITING = "".join(
+    chr(c) for c in range(0x80, 0xFFFF)
+    if not 0xD800 <= c < 0xE000 and set(unicodedata.normalize("NFKC", chr(c))) & set("/?#@:"))
 # A bracketed host: an IPv6 address (a dotted end counts as two groups), or a later version.
 _GROUP = r"[0-9A-Fa-f]{1,4}"
 _IPV6 = (
@@ -119,18 +131,115 @@ def host_for_blocklist(url: Column) -> Column:
 
 def unparsable(url: Column) -> Column:
     """Square brackets in the host that are not a pair, or whose first pair does not hold an IP
-    address of version 6 or later: such a URL cannot be parsed."""
+    address of version 6 or later, or signs in it that stand for delimiters: such a URL cannot be
+    parsed."""
     def judge(host: Column) -> Column:
         inner = F.regexp_extract(host, r"\[([^\]]*)", 1)
         inner = F.regexp_replace(inner, r"(?<=:)\d{1,3}(?:\.\d{1,3}){3}(?=%|\z)", "0:0")
         inner = F.when(inner.startswith("v"), inner).otherwise(
             F.regexp_replace(inner, r"%[^%]+\z", ""))
         opened, closed = host.contains("["), host.contains("]")
-        return (opened != closed) | (opened & ~inner.rlike(_BRACKETED))
+        odd = host.rlike(f"[{_DELIMITING}]")
+        return (opened != closed) | (opened & ~inner.rlike(_BRACKETED)) | odd
 
     return once(netloc(url), judge)
 
 
+def _split(url: Column, scheme_of_page: Column) -> Column:
+    """All parts of a URL, absent ones empty; without a scheme it has that of its page."""
+    def of(u: Column) -> Column:
+        own = F.lower(F.regexp_extract(u, _PARTS_RX, 1))
+        return once(F.when(own != "", own).otherwise(scheme_of_page), lambda s: parts(u, s))
+
+    def parts(u: Column, s: Column) -> Column:
+        whole = F.regexp_extract(u, _PARTS_RX, 3)
+        with_params = s.isin(*_WITH_PARAMS)
+        return F.struct(
+            s.alias("scheme"),
+            F.regexp_extract(u, _PARTS_RX, 2).alias("netloc"),
+            F.when(with_params, F.regexp_replace(whole, _PARAMS_RX, "$1")).otherwise(whole).alias("path"),
+            F.when(with_params, F.regexp_extract(whole, _PARAMS_RX, 2)).otherwise("").alias("params"),
+            F.regexp_extract(u, _PARTS_RX, 4).alias("query"),
+            F.regexp_extract(u, _PARTS_RX, 5).alias("fragment"),
+        )
+
+    return once(_tidy(url), of)
+
+
+def _step(done: Column, segment: Column) -> Column:
+    return (
+        F.when(segment == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(segment == ".", done)
+        .otherwise(F.concat(done, F.array(segment)))
+    )
+
+
+def _merged(page: Column, path: Column) -> Column:
+    """A link's path under the folder of its page's path, dot segments resolved in a fold over the
+    segments."""
+    own = F.split(path, "/")
+    folder = once(F.split(page, "/"), lambda p: F.when(
+        F.element_at(p, -1) == "", p).otherwise(F.slice(p, 1, F.size(p) - 1)))
+    below = once(F.concat(folder, own), lambda both: F.filter(
+        both, lambda s, i: (s != "") | (i == 0) | (i == F.size(both) - 1)))
+
+    def resolved(segments: Column) -> Column:
+        dots = F.exists(segments, lambda s: s.isin(".", ".."))
+        folded = F.aggregate(segments, F.expr("cast(array() as array<string>)"), _step)
+        ends = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
+            F.expr("cast(array() as array<string>)"))
+        return F.array_join(F.when(dots, F.concat(folded, ends)).otherwise(segments), "/")
+
+    joined = once(F.when(path.startswith("/"), own).otherwise(below), resolved)
+    return once(joined, lambda j: F.when(j == "", "/").otherwise(j))
+
+
+def _joined(b: Column, r: Column) -> Column:
+    """Parts of a link in place of those of its page."""
+    own = r.netloc != ""
+    same_page = (r.path == "") & (r.params == "")
+    path = F.when(own, r.path).when(same_page, b.path).otherwise(_merged(b.path, r.path))
+    params = F.when(~own & same_page, b.params).otherwise(r.params)
+    query = F.when(~own & same_page & (r.query == ""), b.query).otherwise(r.query)
+
+    def given(mark: str, part: Column) -> Column:
+        return once(part, lambda p: F.when(p != "", F.concat(F.lit(mark), p)).otherwise(""))
+
+    def behind_host(host: Column, tail: Column) -> Column:
+        rooted = (tail == "") | tail.startswith("/")
+        return (
+            F.when(host != "", F.concat(F.lit("//"), host, F.when(rooted, "").otherwise("/"), tail))
+            .when(tail.startswith("//") | ((r.scheme != "") & rooted), F.concat(F.lit("//"), tail))
+            .otherwise(tail)
+        )
+
+    whole = once(F.concat(path, given(";", params)), lambda tail: behind_host(
+        F.when(own, r.netloc).otherwise(b.netloc), tail))
+    front = F.when(r.scheme != "", F.concat(r.scheme, F.lit(":"))).otherwise("")
+    return F.concat(front, whole, given("?", query), given("#", r.fragment))
+
+
+def resolve(page: Column, link: Column) -> Column:
+    """Absolute form of a link on a page; null where page, link or result cannot be parsed.
+
+    A page without address leaves links as they are, and an empty link is the page. Links of another
+    scheme, or of one that is never relative, stay as written.
+    """
+    def of(x: Column) -> Column:
+        def join(b: Column, r: Column) -> Column:
+            relative = (r.scheme == b.scheme) & r.scheme.isin(*_RELATIVE)
+            return F.when(relative, _joined(b, r)).otherwise(x.link)
+
+        known = once(_split(x.page, F.lit("")), lambda b: once(
+            _split(x.link, b.scheme), lambda r: join(b, r)))
+        whole = F.when(x.page == "", x.link).when(x.link == "", x.page).when(
+            ~unparsable(x.page) & ~unparsable(x.link), known)
+        return once(whole, lambda u: F.when(~unparsable(u), u))
+
+    both = F.struct(F.coalesce(page, F.lit("")).alias("page"), F.coalesce(link, F.lit("")).alias("link"))
+    return once(both, of)
+
+
 def is_blocked(url: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """True for an absent or unparsable URL and for hosts of the blocklist."""
     listed = [s.lstrip(".") for s in rules.blocked_suffixes] + list(rules.blocked_domains)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from contactline.functions import addresses as ad
 from contactline.functions import urls
-from contactline.functions.html import parse_page
-from contactline.functions.text import any_of
+from contactline.functions.html import page_parser
+from contactline.functions.text import any_of, once
 from contactline.operators.cells import PART, in_parts
 from contactline.rules import DEFAULT_RULES, Rules
 
@@ -54,18 +54,23 @@ def common_pages(base: Column, rules: Rules = DEFAULT_RULES) -> Column:
 def relevant_links(links: Column, base: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """Candidates of a page's own links; one row of stage 0 if a link cannot be parsed, since that
     ends the search for links on the site."""
-    pages = F.filter(links, lambda x: is_page_href(x.href))
-    kept = F.filter(
-        pages,
-        lambda x: same_site(x.full_url, base)
-        & is_relevant_link(x.text, urls.path(x.full_url), rules),
-    )
-    found = F.transform(kept, lambda x: F.struct(
-        F.when(x.in_zone, STAGE_ZONE).otherwise(STAGE_BODY).alias("stage"),
-        x.pos.alias("pos"), x.full_url.alias("url")))
     broken = F.array(F.struct(F.lit(STAGE_BROKEN).alias("stage"), F.lit(0).alias("pos"),
                               F.lit("").alias("url")))
-    return F.when(F.exists(pages, lambda x: x.full_url.isNull()), broken).otherwise(found)
+
+    def staged(pages: Column) -> Column:
+        kept = F.filter(
+            pages,
+            lambda x: same_site(x.url, base) & is_relevant_link(x.text, urls.path(x.url), rules),
+        )
+        found = F.transform(kept, lambda x: F.struct(
+            F.when(x.in_zone, STAGE_ZONE).otherwise(STAGE_BODY).alias("stage"), x.pos.alias("pos"),
+            x.url.alias("url")))
+        return F.when(F.exists(pages, lambda x: x.url.isNull()), broken).otherwise(found)
+
+    pages = F.filter(links, lambda x: is_page_href(x.href))
+    return once(F.transform(pages, lambda x: F.struct(
+        x.in_zone.alias("in_zone"), x.pos.alias("pos"), x.text.alias("text"),
+        urls.resolve(base, x.href).alias("url"))), staged)
 
 
 def found_addresses(page: Column, html: Column) -> Column:
@@ -92,7 +97,7 @@ def parse_pages(pages: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     rest = [c for c in pages.columns if c != "html"]
     return (
         pages.withColumn("html", html)
-        .withColumn("_page", parse_page("html", "requested_url"))
+        .withColumn("_page", page_parser(rules)("html"))
         .select(
             *rest,
             (F.col("html") != "").alias("has_html"),

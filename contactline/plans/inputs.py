@@ -123,8 +123,10 @@ SELECT o_orderkey AS service_num,
 FROM {orders}
 """
 
-# URLs of many spellings, one per page.
+# The URL of each page as given, and one of another spelling.
 URLS = """
+SELECT page_id, url FROM {pages}
+UNION ALL
 SELECT page_id,
        CASE page_id % 12
             WHEN 0 THEN replace(replace(url, 'https://', ''), 'http://', '')
@@ -146,12 +148,15 @@ _BLOCK_PROBES = (
     "yell.com:443,WWW.Facebook.com,x.com,find-and-update.company-information.service.gov.uk,"
     "care.example.org,nhs.net,mynhs.net,a.b.c.trustpilot.com,uk"
 )
+# The URL of each page as given, and one that a blocklist is tried on.
 PROBED_URLS = f"""
+SELECT page_id, url FROM {{pages}}
+UNION ALL
 SELECT page_id,
        CASE page_id % 3
             WHEN 0 THEN 'https://' || {_pick(_BLOCK_PROBES, 'page_id % 16')} || '/' || CAST(page_id AS STRING)
             WHEN 1 THEN {_pick(_BLOCK_PROBES, 'page_id % 16')} || '/x'
-            ELSE CASE page_id % 6 WHEN 2 THEN url ELSE '' END END AS url
+            ELSE '' END AS url
 FROM {{pages}}
 """
 
@@ -173,7 +178,30 @@ SELECT event_id AS fetch_id,
 FROM {events}
 """
 
-# Page bodies with addresses in their footer and links to pages worth a visit.
+# Page bodies with two more links, of every form that a link may have.
+LINKS = (
+    "..|.|./|../|../..|../../../x/|?q=1|?|;p|a;p/../b;q?r#s|a/./b/..|/../x//y/./|//other.org|"
+    "//other.org/a/../b|HTTP://x.org/..|https:a/b|x//y/|./?x=../y|g;x=1/./y|.../..a/.b|contact#top|"
+    "/|ftp://x/a/..|../team;t?u=/./#v|mail:to/../x"
+)
+N_LINKS = LINKS.count("|") + 1
+
+
+def _link(index: str) -> str:
+    return f"split_part('{LINKS}', '|', CAST({index} AS INT) + 1)"
+
+
+LINKED_PAGES = f"""
+SELECT page_id,
+       CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '/a/b;c'
+            WHEN 2 THEN replace(replace(url, '?', '/d/?'), '#', '/e/#') ELSE url || '&f=/g/../h' END AS base,
+       replace(html, '<footer>', '<footer><a href="' || {_link(f'page_id % {N_LINKS}')}
+            || '">one</a> <a href="' || {_link(f'(page_id * 7 + 3) % {N_LINKS}')} || '">two</a> ') AS html
+FROM {{pages}}
+"""
+
+# Page bodies with addresses in their footer and links to pages worth a visit. Every 17th site has a
+# namesake that cannot be reached.
 _PAGE_HOST = "replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), 'example.', '')"
 _PAGE_ROOT = f"regexp_extract({_PAGE_HOST}, '([^.]*[.][^.]*)$', 1)"
 _PAGE_LOCAL = _pick(LOCALS, f"page_id % {N_LOCALS}")
@@ -192,14 +220,17 @@ SELECT page_id AS fetch_id, {_PAGE_ROOT} AS site_key,
                  ELSE {_pick(PATHS, 'CASE WHEN page_id % 12 < 2 THEN 0 ELSE page_id % 12 - 2 END')} END
             END AS final_url,
        CASE page_id % 13 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN NULL ELSE 200 END AS status,
-       CASE WHEN page_id % 17 = 0 THEN '' ELSE replace(replace(html, 'href="/t', 'href="/team-t'),
+       replace(replace(html, 'href="/t', 'href="/team-t'),
             '<footer>', '<footer><p>' || {_PAGE_LOCAL} || ' [at] ' || {_PAGE_DOMAIN}
             || '</p><a href="mailto:' || {_PAGE_LOCAL2} || '%40' || {_PAGE_DOMAIN}
             || '?subject=Hi">write</a><b>' || {_PAGE_LOCAL2} || '</b>@' || {_PAGE_ROOT} || '<!-- x --> ')
-       END AS html,
-       CASE page_id % 17 WHEN 0 THEN 'net::ERR_NAME_NOT_RESOLVED' WHEN 5 THEN 'Timeout 20000ms exceeded'
-            ELSE NULL END AS error
+         AS html,
+       CASE page_id % 17 WHEN 5 THEN 'Timeout 20000ms exceeded' ELSE NULL END AS error
 FROM {{pages}}
+UNION ALL
+SELECT -page_id - 1, 'gone' || {_PAGE_ROOT}, 'https://gone' || {_PAGE_ROOT} || '/', 1,
+       'https://gone' || {_PAGE_ROOT} || '/', NULL, '', 'net::ERR_NAME_NOT_RESOLVED'
+FROM {{pages}} WHERE page_id % 17 = 0
 """
 
 # Services whose site is one of the page sites, one per page.

@@ -407,6 +407,59 @@ _RESOLVED = (
 )
 
 
+# Links of ``links`` (link_id, base, href) resolved: parts by position of the delimiters, then the
+# segments of the path one after the other.
+_WITHOUT_SCHEME = "regexp_replace({0}, '^[A-Za-z][A-Za-z0-9+.-]*:', '')"
+_TAIL = "regexp_replace({0}, '^//[^/?#]*', '')"
+
+
+def _cut_up(name: str, url: str) -> str:
+    """Columns ``<name>_s`` (scheme), ``_h`` (host), ``_p`` (path and parameters), ``_q`` and ``_f``."""
+    rest = _WITHOUT_SCHEME.format(url)
+    tail = _TAIL.format(rest)
+    before = f"split_part({tail}, '#', 1)"
+    return f"""lower(regexp_extract({url}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS {name}_s,
+         regexp_extract({rest}, '^//([^/?#]*)', 1) AS {name}_h,
+         split_part({before}, '?', 1) AS {name}_p,
+         CASE WHEN contains({before}, '?') THEN substr({before}, position('?' IN {before}) + 1) ELSE '' END AS {name}_q,
+         CASE WHEN contains({tail}, '#') THEN substr({tail}, position('#' IN {tail}) + 1) ELSE '' END AS {name}_f"""
+
+
+_FULL_URLS = f"""cut_up AS (SELECT link_id, href, {_cut_up('b', 'base')}, {_cut_up('r', 'href')} FROM links),
+dirs AS (
+  SELECT *, regexp_extract(b_p, '^(.*/)', 1) AS dir,
+         regexp_extract(r_p, ';[^/;]*$', 0) AS r_params,
+         CASE WHEN contains(r_p, ';') THEN regexp_replace(r_p, '^((?:.*/)?[^/;]*);[^/]*$', '\\1') ELSE r_p END AS r_path
+  FROM cut_up),
+raw AS (
+  SELECT *, string_split(CASE WHEN starts_with(r_path, '/') THEN r_path
+                              ELSE CASE WHEN dir = '' AND b_h <> '' THEN '/' ELSE dir END || r_path END, '/') AS given
+  FROM dirs),
+kept AS (
+  SELECT *, CASE WHEN starts_with(r_path, '/') THEN given
+                 ELSE [given[i] FOR i IN range(1, len(given) + 1) IF given[i] <> '' OR i IN (1, len(given))] END AS segments
+  FROM raw),
+walked AS (
+  SELECT *, list_reduce(list_transform(segments, lambda s: [s]),
+              lambda a, x: CASE WHEN x[1] = '..' THEN a[:-2] WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END,
+              []::VARCHAR[]) AS path_parts
+  FROM kept),
+paths AS (
+  SELECT *, array_to_string(CASE WHEN segments[-1] IN ('.', '..') THEN list_append(path_parts, '') ELSE path_parts END, '/') AS path
+  FROM walked),
+full_urls AS (
+  SELECT link_id,
+         CASE WHEN r_s NOT IN ('', b_s) THEN href
+              WHEN r_h <> '' THEN b_s || '://' || r_h || r_p ELSE b_s || '://' || b_h
+                || CASE WHEN r_p = '' THEN b_p
+                        ELSE CASE WHEN starts_with(path, '/') THEN '' ELSE '/' END || path
+                             || CASE WHEN r_params = ';' THEN '' ELSE r_params END END END
+         || CASE WHEN r_s NOT IN ('', b_s) THEN ''
+                 ELSE CASE WHEN r_q <> '' THEN '?' || r_q WHEN r_h = '' AND r_p = '' AND b_q <> '' THEN '?' || b_q ELSE '' END
+                      || CASE WHEN r_f <> '' THEN '#' || r_f ELSE '' END END AS full_url
+  FROM paths)"""
+
+
 def _candidates(homes: str) -> str:
     """Ranked candidates of ``homes`` (fetch_id, base_url, final_url)."""
     return f"""links AS (
@@ -669,17 +722,26 @@ dom AS (SELECT DISTINCT site_key, page_seq, {_root(_netloc('url'))} AS root_doma
 {_first_complete('adr', 'dom')}
 SELECT site_key, last_seq FROM complete""",
     "page_links": f"""
-WITH bodies AS (SELECT page_id AS fetch_id, url AS base, html AS body FROM pages),
-{_ANCHORS}
-SELECT fetch_id AS page_id, pos, {_ZONE} AS in_zone, href, {_RESOLVED} AS full_url,
-       {_shown('inner_html')} AS text
-FROM anchors
-WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(lower(href), 'mailto:')""",
+WITH bodies AS (SELECT page_id AS fetch_id, base, html AS body FROM ({in_sql(inputs.LINKED_PAGES)}) p),
+{_ANCHORS},
+links AS (SELECT row_number() OVER () AS link_id, * FROM anchors
+          WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(lower(href), 'mailto:')),
+{_FULL_URLS}
+SELECT fetch_id AS page_id, pos, {_ZONE} AS in_zone, href, full_url, {_shown('inner_html')} AS text
+FROM links JOIN full_urls USING (link_id)""",
     "visible_text": rf"""
 SELECT page_id, trim(regexp_replace({_shown('html')}, '\s+', ' ', 'g')) AS visible_text,
        trim(regexp_replace({_shown("regexp_extract(html, '<footer>.*?</footer>', 0, 's')")},
             '\s+', ' ', 'g')) AS priority_text
 FROM pages""",
+    "other_page_parts": rf"""
+WITH p AS (SELECT page_id, regexp_replace(html, '<footer>.*?(</footer>|$)', ' ', 's') AS body FROM pages),
+f AS (SELECT page_id, body, list_aggregate(regexp_extract_all(body,
+        '<nav>.*?</nav>|<div class="ad">.*?</div>|<h1>.*?</h1>', 0, 's'), 'string_agg', ' ') AS first
+      FROM p)
+SELECT page_id, trim(regexp_replace({_shown('body')}, '\s+', ' ', 'g')) AS visible_text,
+       trim(regexp_replace({_shown("coalesce(first, '')")}, '\s+', ' ', 'g')) AS priority_text
+FROM f""",
     "page_addresses": f"""
 WITH {_SITE_BODIES}
 SELECT p.fetch_id, f.site_key, p.source, p.raw, p.email, p.ignore_reason IS NULL AS is_valid,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from contactline.functions import addresses as ad
 from contactline.functions import urls
-from contactline.functions.html import parse_links, parse_texts
+from contactline.functions.html import links_parser, texts_parser
 from contactline.functions.text import SPACE, strip
 from contactline.operators import contacts as ct
 from contactline.operators import crawl as cr
@@ -33,7 +33,7 @@ from contactline.plans.enrich import (
 )
 from contactline.plans.inputs import in_spark
 from contactline.rules import (
-    DEFAULT_RULES, ENRICHED_COLUMNS, MAX_PAGES, SERVICE_NAME, STATUS,
+    DEFAULT_RULES, ENRICHED_COLUMNS, MAX_PAGES, SERVICE_NAME, STATUS, Rules,
 )
 from contactline.runtime import materialise, new_folder
 from contactline.sources import results as rs
@@ -355,17 +355,17 @@ def _site_pages(spark, sf_dir) -> DataFrame:
 
 @registered
 def page_links(spark, sf_dir):
-    """Every anchor of every page that can lead to a page."""
-    links = _table(spark, sf_dir, "pages").select("page_id", F.inline(parse_links("html", "url")))
+    """Every anchor of every page that can lead to a page, links of all relative forms among them."""
+    pages = in_spark(spark, sf_dir, inputs.LINKED_PAGES)
+    links = pages.select("page_id", "base", F.inline(links_parser()("html")))
     return links.where(pg.is_page_href(F.col("href"))).select(
-        "page_id", F.col("pos").cast("long").alias("pos"), "in_zone", "href", "full_url", "text"
+        "page_id", F.col("pos").cast("long").alias("pos"), "in_zone", "href",
+        urls.resolve(F.col("base"), F.col("href")).alias("full_url"), "text"
     )
 
 
-@registered
-def visible_text(spark, sf_dir):
-    """Visible and priority text of every page, blanks collapsed."""
-    parsed = _table(spark, sf_dir, "pages").select("page_id", parse_texts("html").alias("p"))
+def _texts(pages: DataFrame, rules: Rules) -> DataFrame:
+    parsed = pages.select("page_id", texts_parser(rules)("html").alias("p"))
     flat = lambda c: strip(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
     return parsed.select(
         "page_id", flat(F.col("p.visible_text")).alias("visible_text"),
@@ -373,6 +373,21 @@ def visible_text(spark, sf_dir):
     )
 
 
+@registered
+def visible_text(spark, sf_dir):
+    """Visible and priority text of every page, blanks collapsed."""
+    return _texts(_table(spark, sf_dir, "pages"), DEFAULT_RULES)
+
+
+@registered
+def other_page_parts(spark, sf_dir):
+    """The same where a run has other page parts: footers hidden, navigation and titles first."""
+    rules = replace(
+        DEFAULT_RULES, hidden_tags=(*DEFAULT_RULES.hidden_tags, "footer"),
+        priority_tags=("nav", "h1"), priority_classes=("ad",), priority_ids=())
+    return _texts(_table(spark, sf_dir, "pages"), rules)
+
+
 @registered
 def page_addresses(spark, sf_dir):
     """Addresses of every page by source: mailto links, source text, priority parts, text."""

@@ -216,6 +216,12 @@ class Rules:
     government_suffixes: tuple[str, ...] = GOVERNMENT_SUFFIXES
     category_words: tuple[tuple[str, tuple[str, ...]], ...] = tuple(CATEGORY_WORDS.items())
     info_prefix: str = INFO_PREFIX
+    hidden_tags: tuple[str, ...] = HIDDEN_TAGS
+    hidden_styles: tuple[str, ...] = HIDDEN_STYLES
+    priority_tags: tuple[str, ...] = PRIORITY_TAGS
+    priority_classes: tuple[str, ...] = PRIORITY_CLASSES
+    priority_ids: tuple[str, ...] = PRIORITY_IDS
+    link_zone_tags: tuple[str, ...] = LINK_ZONE_TAGS
     column_aliases: tuple[tuple[str, tuple[str, ...]], ...] = tuple(
         (name, tuple(aliases)) for name, aliases in COLUMN_ALIASES.items())
 

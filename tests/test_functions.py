@@ -3,10 +3,11 @@
 import random
 import re
 import time
-from urllib.parse import urlparse
+from urllib.parse import urljoin, urlparse, urlsplit
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from contactline.functions import addresses as ad
 from contactline.functions import text, urls
@@ -41,6 +42,30 @@ def test_url_parts_agree_with_the_standard_library(one):
     assert one(urls.path, samples) == [w.path for w in want]
 
 
+def test_links_resolve_as_in_the_standard_library(spark):
+    def want(page, link):
+        try:
+            whole = urljoin(page, link)
+            urlsplit(whole)
+            return whole
+        except ValueError:
+            return None
+
+    rng = random.Random(8)
+    bits = ["/", "/", "/", "a", "b", ".", "..", "../", "./", ";p", "?q", "#f", "http:", "https:", "//",
+            "mailto:", "ftp:", ":", " ", "\t", "[", "]", "[::1]", "é", "\u2100", "\u2028", "@", "%"]
+    links = ["".join(rng.choices(bits, k=rng.randint(0, 9))) for _ in range(6000)]
+    pages = ["", "http://h", "http://h/", "https://u@h:1/a/b;p?q#f", "http://h/a//b/", "x/y", "mailto:z",
+             "ftp://h/../a/", "http:a/b", "//h/a;p/b"]
+    pages += ["".join(rng.choices(bits, k=rng.randint(1, 6))) for _ in range(40)]
+    cases = [(pages[i % len(pages)], x) for i, x in enumerate(links)]
+    df = spark.createDataFrame([(i, p, x) for i, (p, x) in enumerate(cases)], "i int, page string, link string")
+    rows = df.select("i", urls.resolve(F.col("page"), F.col("link")).alias("out")).collect()
+    got = {r.i: r.out for r in rows}
+    wrong = [(p, x, got[i], want(p, x)) for i, (p, x) in enumerate(cases) if got[i] != want(p, x)]
+    assert wrong == []
+
+
 def test_url_forms(one):
     assert one(urls.with_scheme, [" a.b ", "http://x", "HTTPS://x", "https://y"]) == [
         "https://a.b", "http://x", "https://HTTPS://x", "https://y"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from contactline.functions.html import read_page
 from contactline.operators import crawl as cr
 from contactline.operators import pages as pg
-from contactline.rules import ADDRESS_PATTERN
+from contactline.rules import ADDRESS_PATTERN, Rules
 from contactline.sources.pages import PAGE_FETCH
 
 BASE = "https://oakcare.co.uk/"
@@ -57,11 +57,22 @@ def test_texts():
 
 def test_links_in_order():
     page = read_page(
-        "<p><a href='/x'> A <b>b </b><a href='c'>d</a></p><nav><a>no</a><ul><a href='http://[z'>", BASE
-    )
-    got = [(k["href"], k["full_url"], k["text"], k["in_zone"]) for k in page.links]
-    assert got == [
-        ("/x", BASE + "x", "Ab", False), ("c", BASE + "c", "d", False), ("http://[z", None, "", True)]
+        "<p><a href='/x'> A <b>b </b><a href='c'>d</a></p><nav><a>no</a><ul><a href='http://[z'>")
+    got = [(k["href"], k["text"], k["in_zone"]) for k in page.links]
+    assert got == [("/x", "Ab", False), ("c", "d", False), ("http://[z", "", True)]
+
+
+def test_other_page_parts(spark):
+    html = ("<footer>a@x.uk</footer><nav>b@x.uk</nav><p class=team>c@x.uk</p>"
+            "<aside>d@x.uk <a href=/team>t</a></aside><p style='opacity: 0'>e@x.uk</p>")
+    rules = Rules(
+        hidden_tags=("footer",), hidden_styles=("opacity:0",), priority_tags=("nav",),
+        priority_classes=("team",), priority_ids=(), link_zone_tags=("aside",))
+    parsed = pg.parse_pages(fetches(spark, [html]), rules)
+    rows = pg.page_addresses(parsed).collect()
+    assert {r.email for r in rows if r.source == "priority"} == {"b@x.uk", "c@x.uk"}
+    assert {r.email for r in rows if r.source == "text"} == {"b@x.uk", "c@x.uk", "d@x.uk"}
+    assert [x.stage for x in parsed.first().links] == [pg.STAGE_ZONE]
 
 
 def plan(spark, html):
