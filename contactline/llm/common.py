@@ -38,15 +38,17 @@ def numbered(df: DataFrame, key: str, *columns: str) -> tuple[DataFrame, bool]:
     the key itself.
 
     Where the keys are unique and not null, ``row`` is the key and nothing is moved. Otherwise all
-    rows are sorted by key (nulls last) and the first of the columns and numbered, so rows that
-    repeat a key count as later ones.
+    rows are sorted by key (nulls last), the first of the columns and the others as text, and
+    numbered: rows that repeat a key count as later ones, and only rows equal in all columns are
+    exchangeable.
     """
     bounded_batches(df.sparkSession)
     df = df.select(F.col(key).cast("long").alias(key), *columns)
     odd = df.select(key).groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1))
     if odd.isEmpty():
         return df.select(F.col(key).alias("row"), key, *columns), True
-    order = df.orderBy(F.col(key).asc_nulls_last(), columns[0])
+    ties = [F.to_json(F.struct(*columns[1:]))] if len(columns) > 1 else []
+    order = df.orderBy(F.col(key).asc_nulls_last(), columns[0], *ties)
     return materialise(
         order.select(F.monotonically_increasing_id().alias("row"), key, *columns), "numbered"), False
 
