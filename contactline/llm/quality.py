@@ -134,8 +134,17 @@ class Ensemble:
         return 1.0 / (1.0 + F.exp(-total))
 
 
+#: Labelled documents that a fit takes, about.
+FITTED = 40_000
+
+
+def _share(key: str, wanted: int, n: int) -> Column:
+    """About ``wanted`` of ``n`` rows, by a hash of the key."""
+    return F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * min(1.0, wanted / max(n, 1)))
+
+
 def fit(
-    labelled: DataFrame, max_rows: int = 40_000, trees: int = 12, depth: int = 4,
+    labelled: DataFrame, max_rows: int = FITTED, trees: int = 12, depth: int = 4,
     lasso: float = 5e-4, seed: int = 7,
 ) -> Ensemble:
     """Rules and weights from ``key, stats, label`` (0 or 1; others are left out).
@@ -149,9 +158,8 @@ def fit(
     if len(by_label) < 2:
         share = (by_label.get(1, 0) + 1) / (n + 2)
         return Ensemble(float(np.log(share / (1 - share))), ())
-    share = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / n))
     sample = materialise(
-        labelled.where(share).select(
+        labelled.where(_share("key", max_rows, n)).select(
             "key", "stats", F.col("label").cast("double").alias("label")).orderBy("key"),
         "labelled").select(array_to_vector("stats").alias("features"), "label", "stats")
     forest = RandomForestClassifier(
@@ -175,14 +183,19 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def learn(stats: DataFrame, labels: DataFrame, **how) -> Ensemble:
-    """An ensemble from ``doc_id, stats`` and ``doc_id, quality``. Labels of held-out documents,
-    null labels and null ids are not used; of several labels of a document the largest counts."""
-    known = labels.where(
+def known_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, label`` from ``doc_id, quality``. Labels of held-out documents, null labels and null
+    ids are not used; of several labels of a document the largest counts."""
+    return labels.where(
         F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))
     ).groupBy("doc_id").agg(F.max("quality").alias("label"))
+
+
+def learn(stats: DataFrame, labels: DataFrame, **how) -> Ensemble:
+    """An ensemble from ``doc_id, stats`` and ``doc_id, quality`` (see ``known_labels``)."""
     return fit(
-        stats.join(known, "doc_id").select(F.col("doc_id").alias("key"), "stats", "label"), **how)
+        stats.join(known_labels(labels), "doc_id").select(
+            F.col("doc_id").alias("key"), "stats", "label"), **how)
 
 
 def _stats(docs: DataFrame) -> DataFrame:
@@ -202,9 +215,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how)
     ).select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
-    """The rows of ``docs``, all columns, whose predicted label is 1."""
-    score = learn(_stats(docs), labels, **how).score(F.col("_stats_of_text"))
+def accepted(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = FITTED, **how
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose predicted label is 1.
+
+    About ``max_rows`` labels are chosen first, so that the fit needs the statistics of their
+    documents only; all texts are looked at once, when they are scored.
+    """
+    known = materialise(known_labels(labels), "known_labels")
+    chosen = known.where(_share("doc_id", max_rows, known.count()))
+    fitted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    stats = packed(statistics(fitted, "doc_id", "label"), "statistics")
+    ensemble = fit(stats.withColumnRenamed("doc_id", "key"), 2 * max_rows, **how)
+    score = ensemble.score(F.col("_stats_of_text"))
     whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     scored = statistics(whole, "_row").withColumnRenamed("stats", "_stats_of_text")
     return scored.where(score >= threshold).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
