@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 from collections import defaultdict
 
 
@@ -103,3 +105,64 @@ def greedy_tiles(pattern: list, text: list, shortest: int) -> list[tuple[int, in
         k, p, t = -best[0], best[1], best[2]
         p_free[p : p + k] = t_free[t : t + k] = [False] * k
         laid.append((p, t, k))
+
+
+def statistics(text: str | None) -> list[float]:
+    """The statistics of quality.STATISTICS, each by its definition."""
+    data, w = (text or "").encode(), words(text)
+    n, pairs = max(len(data), 1), list(zip(w, w[1:]))
+    share = lambda keep: sum(map(keep, data)) / n
+    blanks = sum(b == 32 or 9 <= b <= 13 for b in data)
+    lines = data.count(b"\n") + 1
+    return [
+        len(data), len(w), lines, (len(data) - blanks) / max(len(w), 1),
+        share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57),
+        share(lambda b: chr(b) in ".,;:?'\"-()"), share(lambda b: chr(b) in "#$%&*+/<=>@[\\]^_`{}~"),
+        share(lambda b: b == 33), share(lambda b: b == 124), blanks / n, share(lambda b: b >= 128),
+        len(set(w)) / max(len(w), 1), len(set(pairs)) / max(len(w) - 1, 1),
+        sum(a == b for a, b in pairs) / max(len(w) - 1, 1), len(data) / lines,
+    ]
+
+
+def rule_score(intercept: float, rules, stats: list[float]) -> float:
+    total = intercept
+    for rule, weight in rules:
+        if all(stats[i] <= v if op == "<=" else stats[i] > v for i, op, v in rule):
+            total += weight
+    return 1 / (1 + math.exp(-total))
+
+
+def cut_whole(text: str, gone: list[bool]) -> str:
+    """A text without the characters all of whose bytes go."""
+    out, at = [], 0
+    for c in text:
+        size = len(c.encode())
+        if not all(gone[at : at + size]):
+            out.append(c)
+        at += size
+    return "".join(out)
+
+
+def leaked(text: str | None, item: str, shortest: int = 5, least: float = 0.6) -> bool:
+    """Whether a text holds so much of an item in tiles; words are runs of letters and digits."""
+    t, p = (re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+            for x in (text, item))
+    grams = lambda w: {tuple(w[i : i + shortest]) for i in range(len(w) - shortest + 1)}
+    if not grams(p) & grams(t):
+        return False
+    return sum(k for _, _, k in greedy_tiles(p, t, shortest)) >= least * len(p)
+
+
+def copies(rows: list[tuple[int, int, str]], most: int = 3) -> dict[int, int]:
+    """Copies of ``doc_id, size, source`` by systematic sampling in the order of size and hash."""
+    digits = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:13], 16)
+    sources = sorted({s for _, _, s in rows})
+    sizes = {s: sum(n for _, n, x in rows if x == s) for s in sources}
+    goal = water_fill(sizes, {s: (1, 2, 3)[i % 3] for i, s in enumerate(sources)}, most)
+    out = {}
+    for s in sources:
+        step, unit = goal[s] / sizes[s] if sizes[s] else 0.0, digits(f"mix offset {s}") / 16**13
+        ordered = sorted((n, digits(f"mix{i}"), i) for i, n, x in rows if x == s)
+        for k, (_, _, i) in enumerate(ordered, 1):
+            out[i] = math.floor(unit + k * step) - math.floor(unit + (k - 1) * step)
+    return out

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -30,7 +31,8 @@ def sentence(rnd, n):
 
 
 def near_expected(texts, size):
-    sets = {i: brute.shingles(t, size) for i, t in enumerate(texts)}
+    texts = texts if isinstance(texts, dict) else dict(enumerate(texts))
+    sets = {i: brute.shingles(t, size) for i, t in texts.items()}
 
     def linked(a, b):
         x, y = sets[a], sets[b]
@@ -350,9 +352,85 @@ def test_compiled_rules_score_as_written(spark):
         ((0, "<=", 2.0),), rules[0], ((0, "<=", 2.0), (1, "<=", 1.0)), ((0, ">", 2.0),)}
 
 
+def test_paths_are_those_of_the_trees(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rnd = random.Random(21)
+    rows = [([rnd.random(), rnd.randrange(5) / 3, rnd.gauss(0, 1)], float(rnd.random() < 0.4)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "stats array<double>, label double").select(
+        array_to_vector("stats").alias("features"), "label")
+    forest = RandomForestClassifier(numTrees=3, maxDepth=4, seed=3).fit(df)
+    found = set()
+
+    def walk(node, conditions):
+        if conditions:
+            found.add(tuple(sorted(conditions)))
+        if node.getClass().getSimpleName() == "InternalNode":
+            i, v = node.split().featureIndex(), node.split().threshold()
+            walk(node.leftChild(), conditions | {(i, "<=", v)})
+            walk(node.rightChild(), conditions | {(i, ">", v)})
+
+    for tree in forest._java_obj.trees():
+        walk(tree.rootNode(), frozenset())
+    assert set(quality.paths(forest.toDebugString)) == found and len(found) > 20
+
+
+@pytest.fixture
+def ensembles(monkeypatch):
+    """Ensembles that are fitted in a test."""
+    fitted, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a, **k: fitted.append(fit(*a, **k)) or fitted[-1])
+    return fitted
+
+
+def test_scores_are_those_of_the_definition(spark, ensembles):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    more = spark.createDataFrame(
+        [(-1, None), (-2, ""), (-3, " \n\t"), (-4, "A a\nA! 1|2 $é\r\n"), (-5, "x" * 200_000)], docs.schema)
+    docs = docs.union(more)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.statistics(docs, "doc_id").collect():
+        assert r["stats"] == pytest.approx(brute.statistics(texts[r["doc_id"]]))
+    rows = quality.classify(docs, labels).collect()
+    ensemble, = ensembles
+    assert ensemble.rules and len(rows) == len(texts)
+    for r in rows:
+        want = brute.rule_score(ensemble.intercept, ensemble.rules, brute.statistics(texts[r["doc_id"]]))
+        assert r["score"] == pytest.approx(want)
+    kept = quality.accepted(docs, labels).select("doc_id").collect()
+    assert {r[0] for r in kept} == {r["doc_id"] for r in rows if r["predicted"]}
+    assert ensembles[0] == ensembles[1]
+
+
 # ---- pipeline
 
 
+def test_pipeline_against_brute_force(spark, ensembles):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, SF).collect()
+    given = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    ensemble, = ensembles
+    ids = sorted(i for i, r in given.items() if brute.rule_score(
+        ensemble.intercept, ensemble.rules, brute.statistics(r["text"])) >= 0.3)
+    good = len(ids)
+    _, component = near_expected({i: given[i]["text"] for i in ids}, 5)
+    ids = [i for i in ids if component[i] == i]
+    single = len(ids)
+    gone = brute.repeats([(given[i]["text"] or "").encode() for i in ids])
+    texts = {i: brute.cut_whole(given[i]["text"] or "", g) for i, g in zip(ids, gone, strict=True)}
+    cut = sum(texts[i] != (given[i]["text"] or "") for i in ids)
+    clean = [i for i in ids if not any(brute.leaked(texts[i], x) for x in items)]
+    copies = brute.copies([(i, len(brute.words(texts[i])), given[i]["source"]) for i in clean])
+    want = Counter({(i, texts[i], given[i]["source"]): n for i, n in copies.items() if n})
+    assert Counter((r["doc_id"], r["text"] or "", r["source"]) for r in got) == want
+    # every stage has had something to do
+    assert len(given) > good > single > len(clean) and cut and set(copies.values()) != {1}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
