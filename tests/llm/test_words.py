@@ -87,6 +87,18 @@ def test_copies_of_nothing(spark):
     assert copies.exact_copies(docs_of(spark, ["a"] * 50)).where("kept").count() == 1
 
 
+def test_copies_that_share_the_smallest_id(spark, tmp_path):
+    """The query against its SQL where rows come twice."""
+    import duckdb
+
+    rows = [(3, "a  b"), (1, "a b"), (1, "a\tb"), (2, "c"), (2, "c"), (4, None), (5, ""), (5, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = queries.op11_copies(spark, str(tmp_path))
+    assert differences(found, con, queries.ORACLES["op11_copies"]) == []
+
+
 def test_rounds_settle_all_bits():
     for bits in range(1, 40):
         steps = copies._rounds(bits)
