@@ -2,6 +2,7 @@
 
 import random
 
+from contactline.operators import listed
 from contactline.operators.listed import listed_words
 
 
@@ -24,3 +25,25 @@ def test_a_hundred_thousand_words(spark):
     rows = spark.range(0, 200_000, 1000).selectExpr("id", "concat('info@care', id, '.org') AS email")
     found = listed_words(rows, "id", "email", words).collect()
     assert sorted(r.id for r in found) == list(range(0, 100_000, 1000))
+
+
+def test_long_words_meet_no_text_that_lacks_them(spark, monkeypatch):
+    """Numbers of a long list share every short run of digits."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    numbers = [f"care{rnd.randrange(10_000, 99_999)}." for _ in range(3000)]
+    rows = spark.createDataFrame(
+        [(i % 1900, f"info@care{rnd.randrange(10_000, 99_999)}.org" if i % 2 else f"a@{numbers[i]}uk")
+         for i in range(2000)], "id long, email string")
+    words = spark.createDataFrame([(w,) for w in numbers], "word string")
+    unique = rows.groupBy("id").agg(F.min("email").alias("email"))
+    some = {(r.id, w) for r in unique.collect() for w in set(numbers) if w in r.email}
+    assert len(some) > 900
+    for most in (500_000, 0):  # grams sent to the tasks, or joined
+        monkeypatch.setattr(listed, "BROADCAST_GRAMS", most)
+        found = listed.listed_words(unique, "id", "email", words)
+        assert sorted(map(tuple, found.collect())) == sorted(some)
+        with monkeypatch.context() as m:  # meetings before the check
+            m.setattr(F, "contains", lambda text, word: F.lit(True))
+            assert listed.listed_words(unique, "id", "email", words).count() == len(some)
