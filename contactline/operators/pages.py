@@ -11,6 +11,7 @@ from contactline.functions.html import page_parser
 from contactline.functions.text import any_of, once
 from contactline.operators.cells import PART, in_parts
 from contactline.rules import DEFAULT_RULES, Rules
+from contactline.runtime import bounded_batches
 
 STAGE_BROKEN, STAGE_ZONE, STAGE_BODY, STAGE_COMMON = 0, 1, 2, 3
 
@@ -93,6 +94,7 @@ def parse_pages(pages: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
 
     A narrow operation on the scan: page bodies never cross a shuffle.
     """
+    bounded_batches(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
     rest = [c for c in pages.columns if c != "html"]
     return (

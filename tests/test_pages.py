@@ -132,3 +132,20 @@ def plain_and_spelled(text):
     dots = re.sub(r"\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\))\s*", ".", at)
     spelled = re.sub(r"\s*([@.])\s*", r"\1", dots)
     return set(re.findall(ADDRESS_PATTERN, text)) | set(re.findall(ADDRESS_PATTERN, spelled))
+
+
+def test_pages_go_to_the_parser_in_bounded_batches(spark):
+    """A task's memory does not grow with the pages that it has."""
+    import pandas as pd
+
+    from contactline import runtime
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    rows = spark.range(0, 3000, 1, 1).select(
+        F.col("id").alias("fetch_id"), F.lit("https://a.org/").alias("requested_url"),
+        F.repeat(F.lit("x"), 8000).alias("html"))
+    parsed = pg.parse_pages(rows)
+    most = F.pandas_udf(lambda s: pd.Series([s.str.len().sum()] * len(s)), "long")
+    assert rows.select(most("html").alias("n")).agg(F.max("n")).first()[0] <= 1.1 * runtime.BATCH
+    assert parsed.where("has_html").count() == 3000
