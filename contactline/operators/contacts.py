@@ -22,10 +22,12 @@ from contactline.rules import (
 from contactline.runtime import materialise
 
 def site_domains(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Root domains of a site's page URLs, also of pages without content."""
+    """Root domains of a site's page URLs, also of pages without content. A URL is looked at once,
+    however many rows have it; unwritten, the optimizer would leave the first ``distinct`` out."""
     domain = root_domain(host_or_first_segment(F.col(url)))
     return (
-        pages.select("site_key", domain.alias("root_domain"))
+        materialise(pages.select("site_key", url).distinct(), "site_urls")
+        .select("site_key", domain.alias("root_domain"))
         .where(F.col("root_domain") != "")
         .distinct()
     )
