@@ -35,7 +35,7 @@ from contactline.plans.inputs import in_spark
 from contactline.rules import (
     DEFAULT_RULES, ENRICHED_COLUMNS, MAX_PAGES, SERVICE_NAME, STATUS, Rules,
 )
-from contactline.runtime import materialise, new_folder
+from contactline.runtime import bounded_batches, materialise, new_folder
 from contactline.sources import results as rs
 from contactline.sources.results import CSV_WRITE
 from contactline.sources.pages import read_page_fetches, stream_page_fetches
@@ -356,6 +356,7 @@ def _site_pages(spark, sf_dir) -> DataFrame:
 @registered
 def page_links(spark, sf_dir):
     """Every anchor of every page that can lead to a page, links of all relative forms among them."""
+    bounded_batches(spark)
     pages = in_spark(spark, sf_dir, inputs.LINKED_PAGES)
     links = pages.select("page_id", "base", F.inline(links_parser()("html")))
     return links.where(pg.is_page_href(F.col("href"))).select(
@@ -365,6 +366,7 @@ def page_links(spark, sf_dir):
 
 
 def _texts(pages: DataFrame, rules: Rules) -> DataFrame:
+    bounded_batches(pages.sparkSession)
     parsed = pages.select("page_id", texts_parser(rules)("html").alias("p"))
     flat = lambda c: strip(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
     return parsed.select(
@@ -564,12 +566,20 @@ def enriched_from_pages(spark, sf_dir):
 # ---------------------------------------------------------------- streaming
 
 
+#: Page loads that a file of the stream holds at most, and batches of a stream of many files, about.
+FILE_LOADS, BATCHES = 1000, 4
+
+
 def _page_stream(spark, sf_dir) -> DataFrame:
-    """The page loads as a stream of several batches."""
+    """The page loads as a stream of several batches. Their number does not grow with the tables, as
+    each batch goes through what its sites have brought before; the files of a batch do, so that all
+    tasks have some."""
     source = new_folder(spark, "stream-source")
     pages = _site_pages(spark, sf_dir)
-    pages.write.option("maxRecordsPerFile", max(1, pages.count() // 4)).parquet(source)
-    return stream_page_fetches(spark, source, 2)
+    most = max(1, min(pages.count() // 4, FILE_LOADS))
+    pages.write.option("maxRecordsPerFile", most).parquet(source)
+    files = len(spark.read.parquet(source).inputFiles())
+    return stream_page_fetches(spark, source, max(2, -(-files // BATCHES)))
 
 
 @registered

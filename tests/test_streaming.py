@@ -152,3 +152,26 @@ def test_state_does_not_grow_with_what_is_read(spark, tmp_path):
     assert [p["stateOperators"][0]["numRowsUpdated"] for p in progress] == [11, 1, 1, 1, 1, 1]
     assert spark.read.parquet(out).count() == 16
     assert "RocksDB" not in (spark.conf.get(inc._PROVIDER, None) or "")
+
+
+def test_batches_of_a_page_stream_do_not_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    """Tables of many files are as many batches as small ones, and their files are enough for all tasks."""
+    from contactline.plans import queries
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(40)
+    pages = spark.createDataFrame(pages.collect(), pages.schema)
+    monkeypatch.setattr(queries, "FILE_LOADS", 5)
+    batches = {}
+    for times in (1, 8):
+        more = pages.crossJoin(spark.range(times).withColumnRenamed("id", "k")).withColumn(
+            "page_id", F.col("page_id") + F.col("k") * 10_000).drop("k")
+        more.repartition(times).write.parquet(f"{tmp_path}/{times}/pages.parquet")
+        seen = []
+        stream = queries._page_stream(spark, f"{tmp_path}/{times}")
+        stream.writeStream.foreachBatch(
+            lambda batch, i: seen.append((len(batch.inputFiles()), batch.count()))).option(
+            "checkpointLocation", f"{tmp_path}/mark{times}").trigger(availableNow=True).start(
+            ).awaitTermination()
+        batches[times] = len(seen)
+        assert sum(n for _, n in seen) >= 40 * times
+    assert 2 <= batches[8] <= queries.BATCHES and batches[1] >= 2
